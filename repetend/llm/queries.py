@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repetend.llm import quality
+from repetend.llm import langid, mpeg, packing, quality, secret_scan, sharding, simhash
 from repetend.llm._common import table
 
 
@@ -12,7 +12,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_mpeg_audio": op5_mpeg_audio,
+    "op7_simhash": op7_simhash,
+    "op8_jump_sharding": op8_jump_sharding,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
