@@ -47,12 +47,17 @@ def map_slices(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], di
     return df.mapInArrow(run, schema)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or a new one where it is unset (as in tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="repetend-"))
+    return context.getCheckpointDir()
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that all executors share, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="repetend-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -33,7 +33,7 @@ DIMENSIONS, SEED, SYMBOLS = 512, 20_231, 64
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 #: Least cosine for a text to count as written in its language; see reject().
-LEAST = 0.2
+LEAST = 0.05
 #: Trigrams bundled at a time.
 BLOCK = 4096
 

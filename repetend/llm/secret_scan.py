@@ -18,14 +18,14 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repetend.llm._common import map_slices
+from repetend.llm._common import SLICE_ROWS, map_slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -196,3 +196,17 @@ def digests(docs: DataFrame) -> DataFrame:
         return run
 
     return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), kernel, schema)
+
+
+def redact_texts(docs: DataFrame) -> DataFrame:
+    """docs with every span in text replaced; all other columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                texts = [x and redact(x, scan(x)) for x in part.column(place).to_pylist()]
+                yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+
+    return docs.mapInArrow(run, docs.schema)

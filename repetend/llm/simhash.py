@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repetend.llm._common import map_slices, reliable
+from repetend.llm._common import map_slices, reliable, row_id_columns
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -51,18 +51,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, tie: Column | None = None) -> DataFrame:
+    """doc_id and the fingerprint as a signed long; with tie, that column too."""
+    more = [] if tie is None else [T.StructField("tie", T.LongType())]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), *more])
 
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         def run(batch: pa.RecordBatch) -> dict:
             found = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))} | {f.name: batch.column(f.name) for f in more}
 
         return run
 
-    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), kernel, schema)
+    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text"), *([] if tie is None else [tie.alias("tie")])), kernel, schema)
 
 
 def _half(fp: Column, which: int) -> Column:
@@ -110,10 +111,27 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of each row."""
-    rows = reliable(fingerprints(docs, shingle))
+    rows = reliable(fingerprints(docs.select("doc_id", "text"), shingle))
     distinct = reliable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), radius))
-    roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(named, "root").select("fp", "component_id")
+    roots = rooted(distinct, radius)
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, least) with each fingerprint's root."""
+    found = components(links(distinct.select("fp"), radius))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The row of least doc_id of each component, with all its columns; null ids come last, ties go by the text's hash."""
+    rows = reliable(fingerprints(docs.select("doc_id", "text"), shingle, F.xxhash64("text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
+    distinct = reliable(rows.groupBy("fp").agg(first.alias("least")))
+    kept = rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least"))
+    id_, tie = row_id_columns(docs, ["kept_id", "kept_tie"])
+    kept = kept.select(F.col("least.doc_id").alias(id_), F.col("least.tie").alias(tie))
+    same = docs["doc_id"].eqNullSafe(kept[id_]) & (F.xxhash64(docs["text"]) == kept[tie])
+    marked = docs.withColumn(tie + "_", F.xxhash64("text")).join(kept, same, "left_semi")
+    return marked.dropDuplicates(["doc_id", tie + "_"]).select(*docs.columns)
