@@ -1,7 +1,128 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine: (spark, sf_dir) to a DataFrame, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repetend.operators import periodogram, sequences, verdicts
+from repetend.operators.periodogram import PeriodogramConfig
+from repetend.plans.oracles import ORACLE_SQL as ORACLE_SQL
+
+#: Without a random background every step has an SQL form.
+PLAIN = PeriodogramConfig(replicates=0)
 FLAGSHIP = "verdicts"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str, unknown: bool = False) -> DataFrame:
+    return sequences.from_text(_table(spark, sf_dir, "documents"), "doc_id", unknown=unknown)
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.from_text(_table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a strong period of 60 at their head."""
+    head = F.concat(F.repeat(F.substring("seq", 1, 60), F.lit(8)), F.substring("seq", 1, 20), "seq")
+    return _documents(spark, sf_dir).withColumn("seq", F.when(F.length("seq") >= 360, head).otherwise(F.col("seq")))
+
+
+def _six(x: str | Column, name: str | None = None) -> Column:
+    column = F.col(x) if isinstance(x, str) else x
+    return (F.floor(column * 1e6 + 0.5) / 1e6).alias(name or x)
+
+
+def sequence_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = sequences.records(_documents(spark, sf_dir, unknown=True), min_length=1000)
+    return recs.select("record_id", "length_bp", "n_count", _six(sequences.n_fraction(F.col("seq")), "n_fraction"), "status")
+
+
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.composition(_documents(spark, sf_dir)).withColumn("gc_share", _six("gc_share"))
+
+
+def kmer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodogram.distance_histogram(_documents(spark, sf_dir))
+
+
+def kmer_histogram_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodogram.distance_histogram_sql(_benchmark(spark, sf_dir))
+
+
+def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.diversity(sequences.records(_benchmark(spark, sf_dir)))
+    return found.select("record_id", "distinct", _six("distinct_per_bp"), _six("entropy_bits"), _six("singleton_share"))
+
+
+def motif_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _benchmark(spark, sf_dir).filter(F.length("seq") >= 5)
+    motif = F.col("motif")
+    motifs = long.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 4), lambda i: F.substring("seq", i, F.lit(5)))).alias("motif")).distinct()
+    return motifs.select("motif", sequences.reverse_complement(motif).alias("rc"), sequences.canonical_motif(motif).alias("canonical"), sequences.is_homopolymer(motif).alias("homopolymer"))
+
+
+def _peaks(recs: DataFrame) -> DataFrame:
+    return periodogram.long_peaks(periodogram.periodograms(recs, PLAIN))
+
+
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _peaks(_documents(spark, sf_dir))
+    return found.select("record_id", "array_length", "rank", "period", "peak_height", _six("score"), _six("score2"), _six("score2_norm"))
+
+
+def peaks_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = periodogram.wide_peaks(periodogram.periodograms(_documents(spark, sf_dir), PLAIN))
+    return wide.withColumns({c: _six(c) for c in ("score", "score_2", "score_3")})
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verdicts.clusters(_peaks(_documents(spark, sf_dir)), min_period=20)
+    return found.select("record_id", "cluster", _six("rep_period"), _six("total_score"), "n_peaks", "min_rank", F.array_join(F.col("periods").cast("array<string>"), ",").alias("periods"))
+
+
+def _verdicts(recs: DataFrame) -> DataFrame:
+    """One pass over the sequences: the ids come with the periodograms, a record's peaks may be none."""
+    pgrams = periodogram.periodograms(recs, PLAIN)
+    found = verdicts.verdicts(periodogram.long_peaks(pgrams), recs)
+    reason = F.regexp_replace("reason", ":.*", "")
+    return found.select("record_id", "verdict", "founder", "multiplicity", "tile", _six("founder_score"), _six("tile_score"), _six("confidence"), "n_clusters", reason.alias("reason"))
+
+
+def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(_documents(spark, sf_dir))
+
+
+def verdicts_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(_controls(spark, sf_dir))
+
+
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_rows(spark, sf_dir).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
+
+
+def emitted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = _controls(spark, sf_dir)
+    found = _peaks(recs)
+    return verdicts.emitted_periods(verdicts.short_verdicts(verdicts.verdicts(found, recs)), found)
+
+
+QUERIES = {
+    "sequence_qc": sequence_qc,
+    "composition": composition,
+    "kmer_histogram": kmer_histogram,
+    "kmer_histogram_sql": kmer_histogram_sql,
+    "diversity": diversity,
+    "motif_forms": motif_forms,
+    "peaks": peaks,
+    "peaks_wide": peaks_wide,
+    "clusters": clusters,
+    "verdicts": verdict_rows,
+    "verdicts_controls": verdicts_controls,
+    "verdict_counts": verdict_counts,
+    "emitted_periods": emitted_periods,
+}
