@@ -53,7 +53,7 @@ def clusters(tol: float = 0.015, min_period: int = 20) -> str:
 numbered AS (
   SELECT *, sum(breaks) OVER (PARTITION BY record_id ORDER BY period, rank ROWS UNBOUNDED PRECEDING) AS cluster FROM gapped),
 clusters AS (
-  SELECT record_id, cluster, CASE WHEN sum(score2_norm) > 0 THEN sum(score2_norm * period) / sum(score2_norm) ELSE avg(period) END AS p,
+  SELECT record_id, cluster, floor(CASE WHEN sum(score2_norm) > 0 THEN sum(score2_norm * period) / sum(score2_norm) ELSE avg(period) END * 1e9 + 0.5) / 1e9 AS p,
     sum(score2_norm) AS s, count(*) AS n_peaks, min(rank) AS min_rank, max(array_length) AS array_length,
     string_agg(CAST(period AS VARCHAR), ',' ORDER BY period, rank) AS periods
   FROM numbered GROUP BY record_id, cluster)"""
