@@ -26,6 +26,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -261,7 +262,9 @@ def _written(piece: str, kind: int) -> bytes:
     return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN_PIECE else piece.encode()
 
 
+@lru_cache(1)
 def load(path: str | None = None) -> Transducer:
+    """Transducers of a model file, kept with their words and pairs for later tasks of the same worker."""
     if path is None:
         import public_tokenizers
 
