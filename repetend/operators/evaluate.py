@@ -57,7 +57,7 @@ def lift(spans: DataFrame, indels: DataFrame) -> DataFrame:
     """
     end = F.col("start") + F.col("len")
     own = spans.join(indels, "record_id", "left")
-    moved = F.when(F.col("at") <= F.col("start"), F.col("delta"))
-    grown = F.when((F.col("at") > F.col("start")) & (F.col("at") < end), F.col("delta"))
+    moved = F.when(F.col("at") < F.col("start"), F.col("delta"))
+    grown = F.when((F.col("at") >= F.col("start")) & (F.col("at") < end), F.col("delta"))
     out = own.groupBy("record_id", "start", "len").agg(F.coalesce(F.sum(moved), F.lit(0)).alias("moved"), F.coalesce(F.sum(grown), F.lit(0)).alias("grown"))
     return out.select("record_id", "start", "len", (F.col("start") + F.col("moved")).alias("new_start"), F.greatest(F.col("len") + F.col("grown"), F.lit(0)).alias("new_len"))

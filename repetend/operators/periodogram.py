@@ -22,10 +22,27 @@ PEAK = T.StructType(
 SLICE = 16
 
 
-def map_records(df: DataFrame, kernel_: Callable[[pa.RecordBatch], dict], schema: T.StructType, rows: int = SLICE) -> DataFrame:
+#: Inputs with less than so many bytes for each core are dealt to all cores before a costly kernel.
+SPREAD_BYTES, SPREAD_PARTS = 128 << 20, 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out by record if it is small: a small file is one task, whatever its kernel costs.
+
+    Larger inputs have a task for each split, and shuffling sequences would only add to them. Rows stay the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores * SPREAD_PARTS, "record_id") if size < cores * SPREAD_BYTES else df
+
+
+def map_records(df: DataFrame, kernel_: Callable[[pa.RecordBatch], dict], schema: T.StructType, rows: int = SLICE, *, costly: bool = True) -> DataFrame:
     """A pure function of slices of rows, run over Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    df = spread(df) if costly else df
+
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +71,7 @@ def distance_histogram(recs: DataFrame, k: int = 6) -> DataFrame:
             "h": pa.array(np.concatenate([h for _, h in found]).astype(np.int64)),
         }
 
-    return map_records(recs.select("record_id", "seq"), run, schema, 256)
+    return map_records(recs.select("record_id", "seq"), run, schema, 256, costly=False)
 
 
 def distance_histogram_sql(recs: DataFrame, k: int = 6) -> DataFrame:

@@ -13,7 +13,8 @@ from repetend.operators.sequences import round_half_away
 
 
 def _trimmed(x: Column, digits: int) -> Column:
-    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.?0+$", "")
+    said = F.format_string(f"%.{digits}f", x)
+    return F.regexp_replace(said, r"\.?0+$", "") if digits else said
 
 
 def peaks_text(peaks: str = "peaks") -> Column:

@@ -181,4 +181,115 @@ SELECT motif, rc, list_min(list_concat(
     "verdicts_controls": chain(CONTROLS, *TO_VERDICTS) + f"\nSELECT record_id, verdict, founder, multiplicity, tile, {rounded('founder_score')}, {rounded('tile_score')}, {rounded('confidence')}, n_clusters, reason FROM verdicts",
     "verdict_counts": chain(DOCUMENTS, *TO_VERDICTS) + "\nSELECT verdict, reason, count(*) AS n FROM verdicts GROUP BY verdict, reason",
     "emitted_periods": chain(CONTROLS, *TO_VERDICTS, SHORT, PERIODS) + "\nSELECT record_id, CAST(period_bp AS INTEGER) AS period_bp, CAST(period_score AS DOUBLE) AS period_score, source FROM periods",
+    "event_sequences": """
+SELECT CAST(user_id AS VARCHAR) AS record_id, string_agg(s, '' ORDER BY ts, event_id) AS seq, CAST(count(*) AS INTEGER) AS length_bp,
+  CAST(count(CASE WHEN s = 'N' THEN 1 END) AS INTEGER) AS n_count,
+  CASE WHEN count(CASE WHEN s = 'N' THEN 1 END) / count(*)::DOUBLE > 0.2 THEN 'too_many_ns' ELSE 'ok' END AS status
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'N' END AS s
+  FROM events WHERE user_id IS NOT NULL) GROUP BY user_id""",
+    "class_cascade": f"""
+WITH v AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS record_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'hor' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'simple_tr' ELSE 'unresolved' END AS verdict FROM customer),
+t AS (
+  SELECT CAST(o_custkey * 2 AS VARCHAR) AS record_id, CASE WHEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) > 0 THEN 'localized_subrepeat' ELSE 'confirms_host' END AS decision,
+    count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*)::DOUBLE AS density FROM orders GROUP BY o_custkey),
+s AS (SELECT CAST(p_partkey * 3 AS VARCHAR) AS record_id, p_size * 2.0::DOUBLE AS pct FROM part),
+j AS (
+  SELECT record_id, coalesce(verdict, 'unresolved') AS hor_verdict, coalesce(decision, '') AS tv_decision, density, pct,
+    CASE WHEN coalesce(pct, 0) >= 30 THEN '_with_ssr' ELSE '' END AS suffix
+  FROM v FULL JOIN t USING (record_id) FULL JOIN s USING (record_id))
+SELECT record_id, hor_verdict, tv_decision, {rounded("density", "tv_density")}, 'no' AS ssr_flag, pct AS ssr_raw_total_coverage_pct,
+  {rounded("density * 100", "subrepeat_coverage_pct")},
+  CASE WHEN pct >= 80 THEN 'pure_ssr' WHEN tv_decision = 'localized_subrepeat' AND density >= 0.4 THEN 'tr_with_subrepeat' || suffix
+    WHEN hor_verdict = 'hor' THEN 'hor' || suffix WHEN hor_verdict = 'simple_tr' THEN 'tr' || suffix ELSE 'unresolved' || suffix END AS combined_class
+FROM j""",
+    "self_matches": chain(CONTROLS)
+    + f""",
+sym AS (SELECT record_id, length(seq) AS n, seq, unnest(range(0, length(seq) - 60)) AS i FROM seqs WHERE length(seq) >= 240),
+hit AS (SELECT record_id, n, i, CASE WHEN substr(seq, i + 1, 1) = substr(seq, i + 61, 1) THEN 1 ELSE 0 END AS m FROM sym),
+rate AS (SELECT *, sum(m) OVER w AS s, count(*) OVER w AS c FROM hit WINDOW w AS (PARTITION BY record_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)),
+above AS (SELECT record_id, n, i, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS run FROM rate WHERE c = 60 AND s * (1.0::DOUBLE / 60) >= 0.55),
+runs AS (SELECT record_id, n, min(i) AS a, least(max(i) + 60, n) AS b FROM above GROUP BY record_id, n, run HAVING count(*) >= 120),
+seen AS (SELECT *, max(b) OVER (PARTITION BY record_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs),
+part AS (SELECT record_id, count(*) AS k, sum(greatest(0, b - greatest(a, coalesce(before, a)))) AS covered FROM seen GROUP BY record_id)
+SELECT record_id, 60 AS period, CAST(CASE WHEN length(seq) < 240 THEN -1 ELSE coalesce(k, 0) END AS INTEGER) AS n_intervals,
+  {rounded("CASE WHEN length(seq) >= 240 THEN coalesce(covered, 0) / length(seq)::DOUBLE END", "occupancy")}
+FROM seqs LEFT JOIN part USING (record_id)""",
+    "column_information": chain(DOCUMENTS)
+    + f""",
+long AS (SELECT record_id, seq, length(seq) // 64 AS n FROM seqs WHERE length(seq) >= 640),
+sym AS (SELECT record_id, n, i, substr(seq, i + 1, 1) AS b FROM (SELECT record_id, seq, n, unnest(range(0, length(seq))) AS i FROM long)),
+share AS (SELECT record_id, b, count(*) / sum(count(*)) OVER (PARTITION BY record_id)::DOUBLE AS q FROM sym GROUP BY record_id, b),
+cells AS (SELECT record_id, n, i % 64 AS c, b, count(*) AS k FROM sym WHERE i < n * 64 GROUP BY record_id, n, c, b),
+level AS (SELECT record_id, n, c, sum(k / n::DOUBLE * log2(k / n::DOUBLE / q)) AS ic FROM cells JOIN share USING (record_id, b) GROUP BY record_id, n, c),
+change AS (
+  SELECT a.record_id, count(CASE WHEN a.b <> z.b THEN 1 END) / count(*)::DOUBLE AS rate FROM sym a JOIN sym z ON a.record_id = z.record_id AND z.i = a.i + 64
+  WHERE z.i < a.n * 64 GROUP BY a.record_id)
+SELECT record_id, CAST(n AS INTEGER) AS rows, {rounded("avg(ic)", "column_ic")}, {rounded("count(CASE WHEN ic >= 0.2 THEN 1 END) / 64.0::DOUBLE", "fraction_conserved_columns")},
+  {rounded("any_value(rate)", "vertical_edge_rate")}
+FROM level JOIN change USING (record_id) GROUP BY record_id, n""",
+    "interval_union": """
+WITH spans AS (SELECT l_partkey, l_orderkey % 1000 AS s, l_orderkey % 1000 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+seen AS (SELECT *, max(e) OVER (PARTITION BY l_partkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans WHERE e > s),
+runs AS (SELECT *, sum(CASE WHEN s <= before THEN 0 ELSE 1 END) OVER (PARTITION BY l_partkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM seen)
+SELECT l_partkey, min(s) AS "start", max(e) AS "end", count(*) AS n FROM runs GROUP BY l_partkey, run""",
+    "interval_occupancy": f"""
+WITH spans AS (SELECT l_partkey, l_orderkey % 1000 AS s, l_orderkey % 1000 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+cells AS (SELECT DISTINCT l_partkey, unnest(range(greatest(s, 100), least(e, 600))) AS x FROM spans)
+SELECT p_partkey AS l_partkey, count(x) AS covered, {rounded("count(x) / 500.0::DOUBLE", "share")} FROM part LEFT JOIN cells ON p_partkey = l_partkey GROUP BY p_partkey""",
+    "harmonic_families": chain(BENCHMARK, hist(), peaks())
+    + f""",
+pairs AS (SELECT b.record_id, b.period AS base, p.score2_norm, floor(p.period / b.period::DOUBLE + 0.5) AS m, p.period FROM peaks b JOIN peaks p USING (record_id)),
+families AS (SELECT record_id, base, count(*) AS n_members, sum(score2_norm) AS share FROM pairs WHERE m >= 1 AND m <= 20 AND abs(period - m * base) <= 0.02 * m * base GROUP BY record_id, base)
+SELECT record_id, CAST(base AS INTEGER) AS base, n_members, {rounded("share")} FROM (
+  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY floor(share * 1e9 + 0.5) DESC, base) AS r FROM families) WHERE r = 1""",
+    "coordinate_lift": """
+WITH spans AS (SELECT DISTINCT CAST(o_orderkey % 500 AS VARCHAR) AS record_id, o_custkey % 300 AS s, o_orderkey % 97 AS len FROM orders),
+indels AS (SELECT CAST(l_orderkey % 500 AS VARCHAR) AS record_id, l_partkey % 400 AS pos, CASE WHEN l_returnflag = 'R' THEN -l_linenumber ELSE l_linenumber END AS delta FROM lineitem)
+SELECT record_id, s AS "start", len, CAST(s + coalesce(sum(CASE WHEN pos < s THEN delta END), 0) AS BIGINT) AS new_start,
+  CAST(greatest(0, len + coalesce(sum(CASE WHEN pos >= s AND pos < s + len THEN delta END), 0)) AS BIGINT) AS new_len
+FROM spans LEFT JOIN indels USING (record_id) GROUP BY record_id, s, len""",
+    "category_accuracy": f"""
+SELECT c_mktsegment AS category, count(*) AS n, CAST(sum(ok) AS BIGINT) AS n_right, {rounded("avg(ok)", "accuracy")} FROM (
+  SELECT *, CASE WHEN c_custkey % 7 <> 0 AND (c_nationkey % 2 = 0) = (c_acctbal > 0) THEN 1 ELSE 0 END AS ok FROM customer) GROUP BY c_mktsegment""",
+    "fold_accuracy": f"""
+WITH each AS (SELECT c_mktsegment AS category, c_custkey % 5 AS fold, avg(CASE WHEN (c_nationkey % 2 = 0) = (c_acctbal > 0) THEN 1 ELSE 0 END) AS a FROM customer GROUP BY 1, 2)
+SELECT category, count(*) AS n_folds, {rounded("avg(a)", "mean_accuracy")}, {rounded("stddev_samp(a)", "sd_accuracy")} FROM each GROUP BY category""",
+    "grid_alternatives": """
+WITH g AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS case_id, CAST((s_suppkey % 9 + 4) * 12 AS INTEGER) AS m, CAST(s_suppkey % 4 + 1 AS INTEGER) AS o, CAST(s_suppkey % 3 + 1 AS INTEGER) AS k FROM supplier)
+SELECT case_id, 1 AS rank, m * o AS tile, o AS multiplicity, m AS founder, 'primary' AS kind FROM g
+UNION ALL SELECT case_id, 2, m, k, m // k, 'submotif_hor_inside_monomer' FROM g WHERE k >= 2 AND o = 1
+UNION ALL SELECT case_id, 3, m // k, 1, m // k, 'submotif_as_monomer' FROM g WHERE k >= 2 AND o = 1
+UNION ALL SELECT case_id, 2, m * o, o * k, m // k, 'submotif_level_inside_horunit' FROM g WHERE k >= 2 AND o > 1
+UNION ALL SELECT case_id, 3, m, k, m // k, 'submotif_hor_inside_monomer' FROM g WHERE k >= 2 AND o > 1""",
+    "window_plans": chain(CONTROLS, *TO_VERDICTS)
+    + f""",
+bestp AS (SELECT record_id, max(score2_norm) AS top, arg_max(period, (score2_norm, rank)) AS period FROM peaks GROUP BY record_id),
+host AS (
+  SELECT v.record_id, verdict, founder, greatest(coalesce(multiplicity, 1), 1) AS copies, multiplicity, top, length(seq) AS n,
+    coalesce(CASE WHEN verdict = 'hor' AND tile > 0 THEN tile WHEN verdict = 'simple_tr' AND founder > 0 THEN founder END, period) AS host
+  FROM verdicts v JOIN seqs USING (record_id) LEFT JOIN bestp USING (record_id)),
+gated AS (
+  SELECT *, CASE WHEN host IS NULL OR host <= 0 OR top IS NULL THEN 'no_host' WHEN verdict = 'hor' AND multiplicity = 2 THEN 'skip_k2' END AS g,
+    coalesce(verdict = 'hor' AND copies >= 3 AND founder > 0, false) AS ladder FROM host),
+inner_ AS (
+  SELECT h.record_id, p.period, row_number() OVER (PARTITION BY h.record_id ORDER BY p.score2_norm DESC, p.rank) AS place
+  FROM gated h JOIN peaks p USING (record_id)
+  WHERE g IS NULL AND p.period >= 20 AND p.period < host * (1.0::DOUBLE / 3) AND p.score2_norm >= 0.03::DOUBLE * top
+    AND NOT (ladder AND EXISTS (SELECT 1 FROM range(1, 30) AS r(m) WHERE m < copies AND abs(p.period - m * founder) / (m * founder) <= 0.05))),
+cand AS (
+  SELECT record_id, 0 AS place, 'founder' AS kind, founder AS period FROM gated WHERE g IS NULL AND ladder AND founder <= host * (1.0::DOUBLE / 3) * 1.01
+  UNION ALL SELECT record_id, place, 'other', period FROM inner_ WHERE place <= 5),
+cands AS (SELECT record_id, string_agg(kind || ':' || printf('%.2f', period::DOUBLE), ',' ORDER BY place) AS cands, max(period) AS widest FROM cand GROUP BY record_id),
+sized AS (
+  SELECT h.*, coalesce(c.cands, '') AS cands, CASE WHEN g IS NULL AND widest IS NULL THEN 'no_candidates' ELSE g END AS gate,
+    CAST(floor(least(greatest(host / 3, widest * 3, 200), host) + 0.5) AS INTEGER) AS w
+  FROM gated h LEFT JOIN cands c USING (record_id)),
+stepped AS (SELECT *, greatest(w // 4, 1) AS step FROM sized)
+SELECT record_id, {rounded("host")}, gate, CASE WHEN gate IS NULL OR gate = 'no_candidates' THEN cands END AS cands,
+  CASE WHEN gate IS NULL THEN CAST(least(w, n) AS INTEGER) END AS window_bp,
+  CASE WHEN gate IS NULL THEN CAST(CASE WHEN w >= n THEN 1 ELSE (n - w) // step + 1 + CASE WHEN (n - w) % step > 0 THEN 1 ELSE 0 END END AS INTEGER) END AS n_windows,
+  CASE WHEN gate IS NULL THEN CAST(greatest(n - w, 0) AS INTEGER) END AS last_start
+FROM stepped""",
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repetend.operators import periodogram, sequences, verdicts
+from repetend.kernels.rescoring import RescoreConfig
+from repetend.operators import detect, evaluate, generate, irregularity, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
 from repetend.operators.periodogram import PeriodogramConfig
+from repetend.plans import pipelines
 from repetend.plans.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: Without a random background every step has an SQL form.
@@ -111,6 +113,185 @@ def emitted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.emitted_periods(verdicts.short_verdicts(verdicts.verdicts(found, recs)), found)
 
 
+#: Kinds of events that are symbols; other kinds are unknown.
+EVENT_KINDS = ("click", "view", "purchase", "signup")
+
+
+def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = sequences.records(sequences.from_events(_table(spark, sf_dir, "events"), EVENT_KINDS), min_length=1)
+    return recs.select("record_id", "seq", "length_bp", "n_count", "status")
+
+
+def background_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the ten random replicates."""
+    return periodogram.long_peaks(periodogram.periodograms(_documents(spark, sf_dir)))
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = _controls(spark, sf_dir)
+    pgrams = periodogram.periodograms(recs, PLAIN)
+    found = verdicts.verdicts(periodogram.long_peaks(pgrams), recs)
+    return tandem.plan_windows(tandem.candidates(tandem.hosts(recs, found, pgrams)))
+
+
+def window_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, gate, candidates and windows of each record."""
+    ends = F.get("wins", F.size("wins") - 1)
+    return _planned(spark, sf_dir).select("record_id", _six("host"), "gate", F.array_join(F.transform("cands", lambda c: F.concat(c["kind"], F.lit(":"), F.format_string("%.2f", c["period"]))), ",").alias("cands"), "window_bp", F.size("wins").alias("n_windows"), ends["s"].alias("last_start"))
+
+
+def tandem_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = _controls(spark, sf_dir)
+    pgrams = periodogram.periodograms(recs, PLAIN)
+    return tandem.validate(recs, verdicts.verdicts(periodogram.long_peaks(pgrams), recs), pgrams, windows_cfg=PLAIN)
+
+
+def motif_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.regions(motifs.scan(_motif_controls(spark, sf_dir)))
+
+
+def motif_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = motifs.scan(_motif_controls(spark, sf_dir))
+    return found.drop("regions", "top_motifs", "ssr_raw_top_motifs")
+
+
+def _motif_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, every third after 30 copies of its first three symbols; the period is unknown."""
+    recs = _documents(spark, sf_dir)
+    third = (F.col("record_id").cast("bigint") % 3 == 0) & (F.length("seq") >= 3)
+    return recs.withColumn("seq", F.when(third, F.concat(F.repeat(F.substring("seq", 1, 3), F.lit(30)), "seq")).otherwise(F.col("seq")))
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of the whole pipeline with its defaults."""
+    return pipelines.analyze(_controls(spark, sf_dir)).summary
+
+
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis(spark, sf_dir).groupBy("combined_class").agg(F.count("*").alias("n"))
+
+
+def class_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer join and the cascade over rows made from customers, orders and parts."""
+    customers, orders, parts = (_table(spark, sf_dir, t) for t in ("customer", "orders", "part"))
+    found = customers.select(
+        F.col("c_custkey").cast("string").alias("record_id"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "hor").when(F.col("c_mktsegment") == "AUTOMOBILE", "simple_tr").otherwise("unresolved").alias("verdict"),
+        F.col("c_acctbal").alias("founder"), F.col("c_nationkey").alias("multiplicity"), F.col("c_acctbal").alias("tile"), F.lit(None).cast("double").alias("confidence"),
+    )
+    each = orders.groupBy((F.col("o_custkey") * 2).cast("string").alias("record_id")).agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f"))
+    checked = each.select(
+        "record_id", F.when(F.col("f") > 0, "localized_subrepeat").otherwise("confirms_host").alias("decision_hint"), F.lit(None).cast("double").alias("host_period"), F.lit(None).cast("double").alias("best_candidate_period"),
+        F.lit(None).cast("string").alias("best_candidate_kind"), (F.col("f") / F.col("n")).alias("density"), F.lit(0.0).alias("spatial_contrast"), F.lit(None).cast("double").alias("phase_contrast"),
+        F.col("n").alias("n_windows_total"), F.col("f").alias("n_windows_present"), F.lit("made").alias("reason"),
+    )
+    ssr = parts.select(
+        (F.col("p_partkey") * 3).cast("string").alias("record_id"), F.lit("no").alias("ssr_flag"), F.lit(None).cast("string").alias("dominant_motif"), F.lit(None).cast("int").alias("dominant_motif_length"),
+        F.lit(0).alias("dominant_motif_repeats"), F.lit(0.0).alias("dominant_motif_coverage_pct"), F.lit(0.0).alias("total_ssr_coverage_pct"), F.lit(None).cast("string").alias("top_motifs"), (F.col("p_size") * 2.0).alias("ssr_raw_total_coverage_pct"),
+    )
+    merged = summary.merge(found, checked, ssr)
+    return merged.select("record_id", "hor_verdict", "tv_decision", _six("tv_density"), "ssr_flag", "ssr_raw_total_coverage_pct", _six("subrepeat_coverage_pct"), "combined_class")
+
+
+def irregularities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = _controls(spark, sf_dir)
+    periods = periodogram.periodograms(recs, PLAIN).select("record_id", periodogram.top_period().alias("period"))
+    return irregularity.scan(recs.join(periods, "record_id", "left"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report(_documents(spark, sf_dir))
+
+
+def rescored_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best peaks of the documents, aligned at 50 anchors."""
+    recs = _controls(spark, sf_dir)
+    return rescore.rescore(_peaks(recs).filter("rank <= 5"), recs, RescoreConfig(samples=50, max_period=400))
+
+
+def self_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each control that recur 60 symbols later."""
+    recs = _controls(spark, sf_dir)
+    rows = recs.select("record_id", F.lit(1).alias("rank"), F.lit(60).alias("period"))
+    found = rescore.rescore(rows, recs, RescoreConfig(samples=1, k=0))
+    return found.select("record_id", "period", F.coalesce("scan_n_intervals", F.lit(-1)).alias("n_intervals"), _six("scan_occupancy_frac", "occupancy"))
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector over the controls with their own periods."""
+    recs = sequences.records(_controls(spark, sf_dir), min_length=400)
+    return detect.properties(detect.detect(recs, detect.auto_periods(recs, PLAIN)))
+
+
+def column_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conservation of the columns of each long document, wrapped to 64 symbols."""
+    recs = _documents(spark, sf_dir).filter(F.length("seq") >= 640)
+    found = detect.detect(recs, recs.select("record_id", F.lit(64).alias("period_bp"), F.lit(0.9).alias("period_score")))
+    return detect.width_features(found).filter("width_bp = 64").select("record_id", "rows", _six("column_ic"), _six("fraction_conserved_columns"), _six("vertical_edge_rate"))
+
+
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined spans of each part's line items: a span begins at the order's number and is as long as the quantity."""
+    return evaluate.union_intervals(_spans(spark, sf_dir), ["l_partkey"])
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_orderkey") % 1000
+    return _table(spark, sf_dir, "lineitem").select("l_partkey", start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"))
+
+
+def interval_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(100).cast("bigint").alias("h_start"), F.lit(600).cast("bigint").alias("h_end"))
+    return evaluate.occupancy(_spans(spark, sf_dir), hosts, ["l_partkey"]).select("l_partkey", "covered", _six("share"))
+
+
+def harmonic_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.harmonic_family(_peaks(_benchmark(spark, sf_dir))).select("record_id", "base", "n_members", _six("share"))
+
+
+def coordinate_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of orders moved by the line items of the same customer bucket."""
+    bucket = lambda c: (F.col(c) % 500).cast("string").alias("record_id")
+    spans = _table(spark, sf_dir, "orders").select(bucket("o_orderkey"), (F.col("o_custkey") % 300).alias("start"), (F.col("o_orderkey") % 97).alias("len")).distinct()
+    delta = F.when(F.col("l_returnflag") == "R", -F.col("l_linenumber")).otherwise(F.col("l_linenumber")).cast("bigint")
+    return evaluate.lift(spans, _table(spark, sf_dir, "lineitem").select(bucket("l_orderkey"), (F.col("l_partkey") % 400).alias("at"), delta.alias("delta")))
+
+
+def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by market segment of the balance's sign against the nation's parity; some customers have no result."""
+    customers = _table(spark, sf_dir, "customer")
+    manifest = customers.select(F.col("c_custkey").alias("record_id"), F.col("c_mktsegment").alias("category"), F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("expected"))
+    found = customers.filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("record_id"), F.when(F.col("c_acctbal") > 0, "even").otherwise("odd").alias("class"))
+    return evaluate.accuracy(manifest, found).withColumn("accuracy", _six("accuracy"))
+
+
+def fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer")
+    manifest = customers.select(F.col("c_custkey").alias("record_id"), F.col("c_mktsegment").alias("category"), F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("expected"))
+    found = customers.select(F.col("c_custkey").alias("record_id"), F.when(F.col("c_acctbal") > 0, "even").otherwise("odd").alias("class"))
+    return evaluate.fold_accuracy(manifest, found, hash_column="record_id").select("category", "n_folds", _six("mean_accuracy"), _six("sd_accuracy"))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each supplier's number and size; lengths are multiples of 12, so parts divide them."""
+    n = F.col("s_suppkey")
+    return _table(spark, sf_dir, "supplier").select(
+        n.cast("string").alias("case_id"), ((n % 9 + 4) * 12).cast("int").alias("monomer_len"), (n % 4 + 1).cast("int").alias("hor_order"), F.lit(12).alias("n_blocks"),
+        F.lit(0.1).alias("sub_rate_intra"), F.lit(0.02).alias("sub_rate_inter"), (n % 3 + 1).cast("int").alias("submono_k"),
+    )
+
+
+def grid_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.alternatives(_grid(spark, sf_dir))
+
+
+def simulated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the simulated arrays of the grid, beside their parameters."""
+    made = generate.simulate_grid(_grid(spark, sf_dir))
+    recs = sequences.records(made.select("record_id", "seq"), min_length=400)
+    found = verdicts.verdicts(periodogram.long_peaks(periodogram.periodograms(recs)), recs)
+    return made.select("record_id", "monomer_len", "hor_order", "submono_k", "array_length", _six("hor_signal")).join(found, "record_id")
+
+
 QUERIES = {
     "sequence_qc": sequence_qc,
     "composition": composition,
@@ -125,4 +306,27 @@ QUERIES = {
     "verdicts_controls": verdicts_controls,
     "verdict_counts": verdict_counts,
     "emitted_periods": emitted_periods,
+    "event_sequences": event_sequences,
+    "background_peaks": background_peaks,
+    "window_plans": window_plans,
+    "tandem_validation": tandem_validation,
+    "motif_regions": motif_regions,
+    "motif_summary": motif_summary,
+    "analysis": analysis,
+    "class_counts": class_counts,
+    "class_cascade": class_cascade,
+    "irregularities": irregularities,
+    "reports": reports,
+    "rescored_peaks": rescored_peaks,
+    "self_matches": self_matches,
+    "detections": detections,
+    "column_information": column_information,
+    "interval_union": interval_union,
+    "interval_occupancy": interval_occupancy,
+    "harmonic_families": harmonic_families,
+    "coordinate_lift": coordinate_lift,
+    "category_accuracy": category_accuracy,
+    "fold_accuracy": fold_accuracy,
+    "grid_alternatives": grid_alternatives,
+    "simulated_verdicts": simulated_verdicts,
 }

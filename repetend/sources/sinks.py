@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def general(x: Column, digits: int) -> Column:
-    """%g: so many significant digits, without zeros at the end; from 1e-5 down and 1e`digits` up with an exponent."""
+    """%g: so many significant digits, without zeros at the end; from 1e-5 down and 1e`digits` up with an exponent.
+
+    Halves are those of the shortest decimal text, and go up.
+    """
     trim = lambda s: F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     # the exponent after rounding, as printf has it
     said = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.regexp_extract(said, r"e([+-]\d+)$", 1).cast("int")
+    exponent = F.regexp_extract(said, r"e([+-]\d+)$", 1).try_cast("int")
     places = F.greatest(F.lit(digits - 1) - exponent, F.lit(0))
     fixed = F.lit(None).cast("string")
     for n in range(digits + 4):
@@ -22,13 +25,13 @@ def general(x: Column, digits: int) -> Column:
     mantissa = F.regexp_extract(said, r"^([^e]*)e", 1)
     tail = F.regexp_extract(said, r"(e[+-]\d+)$", 1)
     plain = (exponent >= -4) & (exponent < digits)
-    return F.when(F.isnan(x), "nan").when(x == 0, "0").when(plain, trim(fixed)).otherwise(F.concat(trim(mantissa), tail))
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "nan").when(x == 0, "0").when(plain, trim(fixed)).otherwise(F.concat(trim(mantissa), tail))
 
 
 def fixed(x: Column, digits: int, *, trim: bool = False) -> Column:
     """Fixed places; trim drops zeros at the end."""
-    said = F.format_string(f"%.{digits}f", x)
-    return F.regexp_replace(said, r"\.?0+$", "") if trim else said
+    said = F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+    return F.when(F.instr(said, ".") > 0, F.regexp_replace(said, r"\.?0+$", "")).otherwise(said) if trim else said
 
 
 def shortest(x: Column) -> Column:
