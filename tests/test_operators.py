@@ -236,3 +236,16 @@ def test_grid_and_detection_of_it(spark):
     kinds = {(r.case_id, r["rank"]): (r.tile, r.multiplicity, r.founder) for r in generate.alternatives(grid.filter("case_id <> 'bad'")).collect()}
     assert kinds == {("h", 1): (300, 3, 100), ("s", 1): (90, 1, 90), ("p", 1): (180, 2, 90), ("p", 2): (180, 6, 30), ("p", 3): (90, 3, 30)}
     made.unpersist()
+
+
+def test_stream_of_files(spark, tmp_path):
+    from repetend.streaming import records
+
+    rnd = random.Random(21)
+    (tmp_path / "in").mkdir()
+    unit = dna(rnd, 90)
+    (tmp_path / "in" / "a.fa").write_text(">one\n" + unit * 80 + "\n>two x\nACGT\n")
+    query = records.write_verdicts(records.read_fasta_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(60)
+    rows = {r.record_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (rows["one"].verdict, rows["one"].founder) == ("simple_tr", 90.0) and rows["two"].reason == "no_clusters"
