@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repetend.kernels.rescoring import RescoreConfig
-from repetend.operators import detect, evaluate, generate, irregularity, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
+from repetend.operators import detect, evaluate, generate, homology, irregularity, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
 from repetend.operators.periodogram import PeriodogramConfig
 from repetend.plans import pipelines
 from repetend.plans.oracles import ORACLE_SQL as ORACLE_SQL
@@ -292,6 +292,12 @@ def simulated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("record_id", "monomer_len", "hor_order", "submono_k", "array_length", _six("hor_signal")).join(found, "record_id")
 
 
+def homologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of the copies at the three best periods of each control."""
+    recs = _controls(spark, sf_dir)
+    return homology.probe(recs, _peaks(recs).filter("rank <= 3 and period >= 15"))
+
+
 QUERIES = {
     "sequence_qc": sequence_qc,
     "composition": composition,
@@ -329,4 +335,5 @@ QUERIES = {
     "fold_accuracy": fold_accuracy,
     "grid_alternatives": grid_alternatives,
     "simulated_verdicts": simulated_verdicts,
+    "homologies": homologies,
 }

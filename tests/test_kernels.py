@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from repetend.kernels import detector, motifs, periodogram, register, rescoring, symbols, width, xorshift
+from repetend.kernels import detector, homology, motifs, periodogram, register, rescoring, symbols, width, xorshift
 
 
 def dna(rnd, n):
@@ -206,3 +206,13 @@ def test_blocks_cover_and_align():
             assert found[0][0] == 0 and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
             if len(found) > 1:
                 assert all(b - a >= cfg.min_segment_rows for a, b in found)
+
+
+def test_homology():
+    rnd = random.Random(9)
+    unit = dna(rnd, 80)
+    alike = homology.probe(symbols.codes("".join(mutated(rnd, unit, 0.02) for _ in range(50))), 80)
+    assert alike.n_blocks >= 49 and alike.score > 0.8 and homology.probe(symbols.codes(dna(rnd, 4000)), 80) is None
+    turned = motifs.reverse_complement(unit)
+    assert np.array_equal(homology.sketches(symbols.codes(unit), 80, 0, 5), homology.sketches(symbols.codes(turned), 80, 0, 5))
+    assert homology.probe(symbols.codes((unit + dna(rnd, 80)) * 20), 80, homology.HomologyConfig(floor=0)).n_subtypes == 2
