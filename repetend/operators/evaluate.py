@@ -53,11 +53,16 @@ def harmonic_family(peaks: DataFrame, tol: float = 0.02, most: int = 20) -> Data
 def lift(spans: DataFrame, indels: DataFrame) -> DataFrame:
     """Spans (record_id, start, len) moved by insertions and deletions (record_id, at, delta) before and inside them.
 
-    An indel before a span moves its start; one inside changes its length, which stays at least 0.
+    An indel before a span moves its start; one at its start or inside changes its length, which stays at least 0. Ends
+    of spans and indels are sorted together and summed along, so no span meets every indel of its record.
     """
-    end = F.col("start") + F.col("len")
-    own = spans.join(indels, "record_id", "left")
-    moved = F.when(F.col("at") < F.col("start"), F.col("delta"))
-    grown = F.when((F.col("at") >= F.col("start")) & (F.col("at") < end), F.col("delta"))
-    out = own.groupBy("record_id", "start", "len").agg(F.coalesce(F.sum(moved), F.lit(0)).alias("moved"), F.coalesce(F.sum(grown), F.lit(0)).alias("grown"))
-    return out.select("record_id", "start", "len", (F.col("start") + F.col("moved")).alias("new_start"), F.greatest(F.col("len") + F.col("grown"), F.lit(0)).alias("new_len"))
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("side")), F.struct((F.col("start") + F.col("len")).alias("pos"), F.lit(1).alias("side")))
+    points = spans.select("record_id", "start", "len", F.inline(ends)).withColumn("delta", F.lit(0).cast("bigint"))
+    changes = indels.select("record_id", F.col("at").cast("bigint").alias("pos"), F.lit(2).alias("side"), F.col("delta").cast("bigint").alias("delta"))
+    # at one place ends stand before indels: those count as inside
+    order = Window.partitionBy("record_id").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = points.unionByName(changes, allowMissingColumns=True).withColumn("sum", F.sum("delta").over(order)).filter("side < 2")
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("sum")))
+    out = summed.groupBy("record_id", "start", "len").agg(at(0).alias("before"), at(1).alias("within"))
+    length = F.col("len") + F.col("within") - F.col("before")
+    return out.select("record_id", "start", "len", (F.col("start") + F.col("before")).alias("new_start"), F.greatest(length, F.lit(0).cast("bigint")).alias("new_len"))
