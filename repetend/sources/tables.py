@@ -48,7 +48,7 @@ def top_periods(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("place", F.row_number().over(order)).filter("place = 1").select("record_id", F.col("period").alias("top_period"))
 
 
-def read_kite_periods(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_wide_periods(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """record_id and period of the wide peak file: the period of the best score."""
     return read_tsv(spark, path, {"case_id": "string", "monomer_size": "double"}).select(F.col("case_id").alias("record_id"), F.col("monomer_size").alias("period"))
 
