@@ -144,6 +144,41 @@ CONTROLS = seqs("documents", "doc_id", name="own") + """,
 seqs AS (SELECT record_id, CASE WHEN length(seq) >= 360 THEN repeat(substr(seq, 1, 60), 8) || substr(seq, 1, 20) || seq ELSE seq END AS seq FROM own)"""
 TO_VERDICTS = (hist(), peaks(), clusters(), verdicts())
 
+#: Documents, every third after 30 copies of its first three symbols.
+MOTIF_CONTROLS = (
+    seqs("documents", "doc_id", name="own")
+    + """,
+seqs AS (SELECT record_id, CASE WHEN CAST(record_id AS BIGINT) % 3 = 0 AND length(seq) >= 3 THEN repeat(substr(seq, 1, 3), 30) || seq ELSE seq END AS seq FROM own)"""
+)
+#: (motif length, least repeats) of the motif scan.
+SPECS = ((1, 20), (2, 9), (3, 6), *((n, 5) for n in range(4, 15)))
+
+
+def motif_hits() -> str:
+    """Stretches where symbols recur a motif length later, long enough for a hit; one after the other, as hits don't overlap."""
+    leads = ", ".join(f"lead(b, {n}) OVER w AS l{n}" for n, _ in SPECS)
+    same = " UNION ALL ".join(f"SELECT record_id, {n} AS n, {least} AS least, i FROM sym WHERE b = l{n}" for n, least in SPECS)
+    return f"""letters AS (SELECT record_id, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS b FROM seqs WHERE length(seq) > 0),
+sym AS (SELECT record_id, i, b, {leads} FROM letters WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+same AS ({same}),
+islands AS (SELECT record_id, n, least, i, i - row_number() OVER (PARTITION BY record_id, n ORDER BY i) AS run FROM same),
+stretches AS (
+  SELECT record_id, n, least, min(i) AS a, max(i) + n + 1 AS e, row_number() OVER (PARTITION BY record_id, n ORDER BY min(i)) AS k
+  FROM islands GROUP BY record_id, n, least, run HAVING (max(i) + n + 1 - min(i)) // n >= least),
+scan AS (
+  SELECT record_id, n, least, k, a AS start, (e - a) // n AS repeats, a + (e - a) // n * n AS past FROM stretches WHERE k = 1
+  UNION ALL
+  SELECT s.record_id, s.n, s.least, s.k, greatest(s.a, c.past), (s.e - greatest(s.a, c.past)) // s.n,
+    CASE WHEN (s.e - greatest(s.a, c.past)) // s.n >= s.least THEN greatest(s.a, c.past) + (s.e - greatest(s.a, c.past)) // s.n * s.n ELSE c.past END
+  FROM scan c JOIN stretches s ON s.record_id = c.record_id AND s.n = c.n AND s.k = c.k + 1),
+hits AS (
+  SELECT scan.record_id, n, repeats, start, start + repeats * n - 1 AS "end", substr(seq, start, n) AS motif FROM scan JOIN seqs USING (record_id) WHERE repeats >= least),
+plain AS (
+  SELECT *, row_number() OVER (PARTITION BY record_id, start ORDER BY n) AS place FROM hits WHERE motif <> repeat(substr(motif, 1, 1), n)),
+single AS (SELECT * FROM hits WHERE n = 1 AND record_id NOT IN (SELECT record_id FROM plain)),
+kept AS (SELECT record_id, n, repeats, start, "end", motif FROM plain WHERE place = 1 UNION ALL SELECT record_id, n, repeats, start, "end", motif FROM single)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "sequence_qc": chain(seqs("documents", "doc_id", unknown="N"))
     + f"""
@@ -292,4 +327,12 @@ SELECT record_id, {rounded("host")}, gate, CASE WHEN gate IS NULL OR gate = 'no_
   CASE WHEN gate IS NULL THEN CAST(CASE WHEN w >= n THEN 1 ELSE (n - w) // step + 1 + CASE WHEN (n - w) % step > 0 THEN 1 ELSE 0 END END AS INTEGER) END AS n_windows,
   CASE WHEN gate IS NULL THEN CAST(greatest(n - w, 0) AS INTEGER) END AS last_start
 FROM stepped""",
+    "motif_regions": "WITH RECURSIVE "
+    + ",\n".join((MOTIF_CONTROLS, motif_hits()))
+    + """
+SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY n, start) AS INTEGER) AS ssr_number, CAST(n AS INTEGER) AS motif_length, lower(motif) AS motif_sequence,
+  CAST(repeats AS INTEGER) AS repeats, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end",
+  list_min(list_concat(list_transform(range(1, n + 1), lambda i: substr(motif || motif, i, n)),
+    list_transform(range(1, n + 1), lambda i: substr(repeat(reverse(translate(motif, 'ACGT', 'TGCA')), 2), i, n)))) AS normalized_motif
+FROM kept""",
 }
