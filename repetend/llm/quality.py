@@ -29,22 +29,37 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = r"[#*$%&|<>]"
 
 
+#: Up to so many different repeated windows are looked up one by one; more are found by sorting windows with their places.
+FEW = 16
+
+
 def repeated_words(words: Column) -> Column:
     """How many words stand in a WINDOW of words that the text has twice or more."""
 
-    def covered(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-        ranked = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-        def positions(s: Column) -> Column:
+    def sorted_places(grams: Column) -> Column:
+        def twins(s: Column) -> Column:
             same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
             return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
+        return let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), twins)
+
+    def looked_up(grams: Column, twice: Column) -> Column:
+        return F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+
+    def span(places: Column) -> Column:
         # a start covers WINDOW words, less what the next start covers again
-        spans = lambda p: F.aggregate(p, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-        return let(ranked, lambda s: let(positions(s), spans))
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last"))
+        step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last"))
+        return F.aggregate(places, start, step, lambda a: a["n"])
+
+    def counted(grams: Column) -> Column:
+        twice = let(F.sort_array(grams), lambda s: F.array_distinct(F.filter(s, lambda h, j: F.coalesce(h == F.get(s, j - 1), F.lit(False)))))
+        return let(twice, lambda d: F.when(F.size(d) == 0, F.lit(0).cast("bigint")).when(F.size(d) <= FEW, span(looked_up(grams, d))).otherwise(span(sorted_places(grams))))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
 
-    return F.when(F.size(words) < WINDOW, F.lit(0).cast("bigint")).otherwise(covered(words))
+    return F.when(F.size(words) < WINDOW, F.lit(0).cast("bigint")).otherwise(let(windows(words), counted))
 
 
 def base_features(docs: DataFrame) -> DataFrame:

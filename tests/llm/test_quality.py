@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import xxhash
@@ -57,6 +58,13 @@ def test_against_brute_force(spark, corpus):
             assert abs(r.llr - total / len(own) / 1e6) < 1e-5
 
 
+def test_repeated_words_both_ways(corpus):
+    rnd = random.Random(31)
+    texts = {i: " ".join(rnd.choice("abcdefgh"[: 2 + i % 7]) for _ in range(rnd.randrange(200))) for i in range(120)}
+    rows = quality.base_features(corpus(list(texts.items()))).collect()
+    assert {r.doc_id: r.n_repeat_words for r in rows} == {i: base(t)[4] for i, t in texts.items()}
+
+
 def test_odd_rows_and_no_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.quality(odd, labels).collect()
