@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Unigrams and bigrams of lower-cased words are hashed into a fixed number of buckets. Two multinomials over the
+Unigrams and bigrams of lower-cased words are hashed into buckets, as many as the trained n-grams fill (bucket_count). Two multinomials over the
 buckets are estimated with add-alpha smoothing: the raw one from every document, the target one from documents that
 labels mark as good and not toxic. A document's score is the mean of log(target / raw) over its n-grams, so length
 does not matter, and one fixed threshold decides on every document. Everything is DataFrame expressions.
@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 from repetend.llm._common import SPACE_CLASS, let, reliable, words_of
 
-BUCKETS = 1 << 13
+#: Bounds of the bucket count; the upper one bounds the broadcast of the weights.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 20
+#: Trained n-grams that a bucket holds on average, at least. Fewer, and prose that the target never saw falls below the
+#: threshold; many more, and junk hides in the buckets of prose.
+FILL = 16
 ALPHA = 1.0
 #: At most so many trusted documents train the target (those of smallest id hash); it bounds the broadcast of their ids.
 TRUSTED_ROWS = 20_000
@@ -97,6 +101,12 @@ def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def bucket_count(docs: DataFrame, trusted: DataFrame) -> int:
+    """The greatest power of two that leaves each bucket FILL n-grams of trusted documents on average, within the bounds."""
+    n = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").agg(F.sum(F.greatest(2 * F.size(words_of(F.col("text"))) - 1, F.lit(0)).cast("bigint"))).first()[0]
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(1, (n or 0) // FILL).bit_length() - 1))
+
+
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
     """bucket, weight: at most as many rows as buckets."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
@@ -110,9 +120,16 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) ->
     return counts.select("bucket", F.round(ratio * 1_000_000).cast("bigint").alias("weight"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, alpha: float = ALPHA, trusted_rows: int = TRUSTED_ROWS, threshold: int = THRESHOLD) -> DataFrame:
-    """Base counts, base_failed, the score llr (mean log ratio) and kept, one row for each row of docs."""
-    known = weights(docs, trusted_ids(labels, trusted_rows), buckets, alpha)
+def quality(docs: DataFrame, labels: DataFrame, *, buckets: int | None = None, alpha: float = ALPHA, trusted_rows: int = TRUSTED_ROWS, threshold: int = THRESHOLD) -> DataFrame:
+    """Base counts, base_failed, the score llr (mean log ratio) and kept, one row for each row of docs.
+
+    buckets is bucket_count() where it isn't given.
+    """
+    trusted = trusted_ids(labels, trusted_rows)
+    if buckets is None:
+        trusted = reliable(trusted)
+        buckets = bucket_count(docs, trusted)
+    known = weights(docs, trusted, buckets, alpha)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = base_features(docs).withColumn("row", F.monotonically_increasing_id())
     grams = rows.select("row", *base, F.explode_outer(grams_of(F.col("words"), buckets)).alias("bucket"))

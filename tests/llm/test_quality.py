@@ -74,3 +74,16 @@ def test_odd_rows_and_no_labels(spark, odd):
     long = next(r for r in rows if r.doc_id == 5)
     assert long.n_words == 30_000 and long.n_repeat_words == 30_000 and not long.kept
     assert quality.quality(odd.limit(0), labels).count() == 0
+
+
+def test_buckets_follow_the_trained_ngrams(spark, corpus):
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    docs = corpus([(i, "w " * 10_000) for i in range(60)])
+    assert quality.bucket_count(docs, trusted) == 1 << 15 and quality.bucket_count(docs, trusted.limit(0)) == quality.LEAST_BUCKETS
+
+
+def test_junk_does_not_hide_in_buckets_of_prose(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality.quality(docs, labels).join(labels, "doc_id").filter("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in rows.filter("quality = 0 or (quality = 1 and coalesce(toxic, 0) = 0)").groupBy("quality", "kept").count().collect()}
+    assert n[1, True] > 2000 and not n.get((1, False)) and n[0, False] > 200 and n.get((0, True), 0) <= 2, n
