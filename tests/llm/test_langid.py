@@ -64,3 +64,22 @@ def test_odd_rows(odd, spark):
     kept = langid.reject(odd)
     # the long text is held out and shares hardly a trigram with the rest
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "6", "None"] and kept.columns == odd.columns
+
+
+def test_unlearnt_languages_and_noise_go_and_short_texts_stay(spark):
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = {
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri.",
+    }
+    noise = list(foreign.values()) + [" ".join("".join(rnd.choices(letters, k=rnd.randrange(3, 10))) for _ in range(n)) for n in [200] * 100 + [20] * 100]
+    noise += [f"{rnd.getrandbits(3200):0800x}" for _ in range(20)]
+    short = ["Avec.", "All rights reserved.", "und", "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience."]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    more = [(10**9 + i, t, None) for i, t in enumerate(noise + short)]
+    kept = langid.reject(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string")))
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert {i for i in ids if i >= 10**9} == {10**9 + len(noise) + i for i in range(len(short))}
+    assert ids >= {r.doc_id for r in docs.select("doc_id", "text").collect() if len(langid.trigrams(r.text or ""))}
