@@ -1,10 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
 The lines with a word are hashed, white space and case aside. From every line a window runs on until it holds
-MIN_WORDS words. The least hash of each window is its fingerprint and marks a position; a posting is that position with
+MIN_WORDS words, and another runs back from it. The least hash of each window is its fingerprint and marks a position; a posting is that position with
 the hash of its window. Two texts that share a run of at least MIN_WORDS words share a whole window, so they share a
 posting: the guarantee holds whether the run is one long line or many short ones, and a common line is no hot posting,
-as its windows differ. Each posting is joined with the first one of its window in order of doc_id, then place, never
+as its windows differ. The windows that run on cover a shared run but for less than MIN_WORDS words at its end, and the one
+that runs back from its last line covers these. So every line of a run that any earlier text shares goes, whichever text
+has its other windows first. Each posting is joined with the first one of its window in order of doc_id, then place, never
 with all of them. From the joined position the match is extended line by line both ways, at most EXTENSION lines, and
 the later run is deleted. A line is deleted only where an equal line stands earlier, so the first copy of every line
 stays. Everything is DataFrame expressions.
@@ -16,7 +18,7 @@ a word are never counted nor deleted. All columns stay, and only text changes. A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from repetend.llm._common import SPACE_CHARS, SPACE_CLASS, let, reliable, row_id_columns
@@ -54,10 +56,16 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extension: in
     lines = texts.select(*_KEY, F.posexplode("ls").alias("i", "x")).select(*_KEY, "i", "x.h", F.col("x.w").cast("bigint").alias("w"))
     own = Window.partitionBy(*_KEY)
     lines = lines.withColumn("start", F.sum("w").over(own.orderBy("i")) - F.col("w"))
-    # the lines that begin within min_words words of this one's beginning
+    # the lines that begin within min_words words of this one's beginning, and those that end within as many of its end
     ahead = own.orderBy("start").rangeBetween(0, min_words - 1)
-    windows = lines.select(*_KEY, F.sum("w").over(ahead).alias("words"), F.min(F.struct("h", "i")).over(ahead).alias("least"), F.collect_list("h").over(ahead).alias("hs"))
-    postings = reliable(windows.filter(F.col("words") >= min_words).select(*_KEY, F.col("least.i").alias("p"), F.xxhash64("hs").alias("gram")))
+    behind = own.orderBy(F.col("start") + F.col("w")).rangeBetween(1 - min_words, 0)
+
+    def posting(over: WindowSpec) -> Column:
+        hs = F.xxhash64(F.collect_list("h").over(over))
+        return F.struct(F.sum("w").over(over).alias("words"), F.min(F.struct("h", "i")).over(over)["i"].alias("p"), hs.alias("gram"))
+
+    windows = lines.select(*_KEY, F.array(posting(ahead), posting(behind)).alias("both")).select(*_KEY, F.inline("both"))
+    postings = reliable(windows.filter(F.col("words") >= min_words).select(*_KEY, "p", "gram").distinct())
 
     firsts = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "p")).alias("f")).filter("n > 1")
     # joined on an expression: both sides are dealt out anew, so that the adaptive plan can split a frequent window
