@@ -1,8 +1,8 @@
 """URL filters with dated lists: an as-of join of captures with the list entries in force when they were fetched.
 
 A list is a log of dated events: a pattern was added or removed under a category. The events of a pattern and category,
-in order of date, become intervals in which the entry is in force. A capture looks up its host, every parent domain and
-its host with the first part of the path; an entry counts if its interval holds the day of the fetch. The longest
+in order of date, become intervals in which the entry is in force. A capture looks up its host and every parent domain,
+each alone and with every beginning of the path in whole parts; an entry counts if its interval holds the day of the fetch. The longest
 pattern in force decides, then the latest, then the first category by name.
 
 The join is on equal patterns, with the interval as a condition. A third of all captures may stand on one host, so
@@ -30,11 +30,14 @@ def host_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column, host: Column) -> Column:
-    """The host, its parent domains, and the host with the first part of the path."""
+    """The host and its parent domains, alone and with the first part, the first two parts and so on of the path."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    part = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
-    return F.when(part == "", suffixes).otherwise(F.concat(suffixes, F.array(F.concat(host, F.lit("/"), part))))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    parts = F.split(path, "/")
+    beginnings = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda x: x != "")
+    with_path = F.flatten(F.transform(suffixes, lambda s: F.transform(beginnings, lambda x: F.concat(s, F.lit("/"), x))))
+    return F.when(path == "", suffixes).otherwise(F.concat(suffixes, with_path))
 
 
 def intervals(events: DataFrame) -> DataFrame:

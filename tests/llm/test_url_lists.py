@@ -38,3 +38,13 @@ def test_repeated_rows_and_empty_tables(spark):
     assert len(rows) == 4 and all(r.blocked for r in rows)
     assert url_lists.evaluate(captures.limit(0), listed).count() == 0
     assert not any(r.blocked for r in url_lists.evaluate(captures, listed.limit(0)).collect())
+
+
+def test_entries_with_deeper_paths_and_parent_domains_with_paths(spark):
+    listed = [("a.example.org/one/two", "deep", "add", day(0), 0), ("example.org/ads", "parent", "add", day(0), 0)]
+    cases = [
+        (1, "http://a.example.org/one/two/three?q=/x", "a.example.org/one/two"), (2, "http://a.example.org/one/twofold", None), (3, "http://www.example.org/ads#/a", "example.org/ads"),
+        (4, "http://example.org/x/ads", None), (5, "http://a.example.org/one", None), (6, "http://a.example.org//", None), (7, "http://www.example.org?/ads", None),
+    ]
+    captures, events = frames(spark, [(i, url, day(1), "") for i, url, _ in cases], listed)
+    assert {r.page_id: r.pattern for r in url_lists.evaluate(captures, events).collect()} == {i: want for i, _, want in cases}
