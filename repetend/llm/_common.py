@@ -15,6 +15,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that a kernel holds as Python objects at a time.
 SLICE_ROWS = 256
+#: Rows of a few numbers that make a partition.
+PART_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """reliable(df) in partitions of about PART_ROWS small rows, where it has more; few rows make no thousands of tiny files."""
+    kept = reliable(df)
+    return kept.coalesce(max(1, -(-kept.count() // PART_ROWS)))
+
+
 def row_id_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     """Names for helper columns that no column of df has."""
     taken, names = {c.lower() for c in df.columns}, []

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repetend.llm._common import map_slices, reliable, row_id_columns
+from repetend.llm._common import compact, map_slices, reliable, row_id_columns
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -93,8 +93,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node in a pair; the root is the component's least node."""
-    edges = reliable(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")))
-    labels = reliable(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    edges = compact(pairs.select(F.inline(both)))
+    labels = compact(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         seen = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
         # a root takes the least label that its members have seen, so whole trees hook at once
@@ -102,7 +103,7 @@ def components(pairs: DataFrame) -> DataFrame:
         hooks = lower.groupBy("root").agg(F.min("low").alias("to"))
         hooked = lower.join(hooks, "root").select("node", "root", F.least("low", "to").alias("to"))
         jump = hooked.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        after = reliable(hooked.join(jump, "to", "left").select("node", F.col("root").alias("was"), F.least("to", F.coalesce("far", "to")).alias("root")))
+        after = compact(hooked.join(jump, "to", "left").select("node", F.col("root").alias("was"), F.least("to", F.coalesce("far", "to")).alias("root")))
         changed = after.filter("was <> root").limit(1).count()
         labels = after.select("node", "root")
         if not changed:
@@ -130,8 +131,8 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie"))
     distinct = reliable(rows.groupBy("fp").agg(first.alias("least")))
     kept = rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("least"))
-    id_, tie = row_id_columns(docs, ["kept_id", "kept_tie"])
+    id_, tie, own = row_id_columns(docs, ["kept_id", "kept_tie", "own_tie"])
     kept = kept.select(F.col("least.doc_id").alias(id_), F.col("least.tie").alias(tie))
     same = docs["doc_id"].eqNullSafe(kept[id_]) & (F.xxhash64(docs["text"]) == kept[tie])
-    marked = docs.withColumn(tie + "_", F.xxhash64("text")).join(kept, same, "left_semi")
-    return marked.dropDuplicates(["doc_id", tie + "_"]).select(*docs.columns)
+    marked = docs.withColumn(own, F.xxhash64("text")).join(kept, same, "left_semi")
+    return marked.dropDuplicates(["doc_id", own]).select(*docs.columns)

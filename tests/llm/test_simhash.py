@@ -84,3 +84,11 @@ def test_odd_rows(odd, corpus):
     assert by == {1: 1, 4: 1, 5: 1, 6: 1, None: 1} and all(r.fp == "x" for r in kept)
     same = "one two three four five six"
     assert [r.doc_id for r in simhash.keep_one(corpus([(9, same), (7, same), (None, same)])).collect()] == [7]
+
+
+def test_columns_of_clashing_names_stay(corpus):
+    docs = corpus([(1, "a b c d"), (2, "A b c d"), (3, "x y z")])
+    for name in ("kept_id", "kept_tie", "kept_tie_", "own_tie"):
+        docs = docs.withColumn(name, simhash.F.lit("keepme"))
+    rows = simhash.keep_one(docs).collect()
+    assert {r.doc_id for r in rows} == {1, 3} and all(r.kept_tie_ == r.own_tie == r.kept_id == r.kept_tie == "keepme" for r in rows)
