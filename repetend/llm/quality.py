@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from repetend.llm._common import SPACE_CLASS, let, reliable, words_of
 
-#: Bounds of the bucket count; the upper one bounds the broadcast of the weights.
+#: Bounds of the bucket count; the upper one bounds the weights, which every task gets.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 20
 #: Trained n-grams that a bucket holds on average, at least. Fewer, and prose that the target never saw falls below the
 #: threshold; many more, and junk hides in the buckets of prose.
 FILL = 16
+#: Buckets counted in one row.
+PART_BITS = 3
+PART = 1 << PART_BITS
 ALPHA = 1.0
 #: At most so many trusted documents train the target (those of smallest id hash); it bounds the broadcast of their ids.
 TRUSTED_ROWS = 20_000
@@ -37,17 +40,28 @@ SYMBOLS = r"[#*$%&|<>]"
 FEW = 16
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words stand in a WINDOW of words that the text has twice or more."""
+def held(df: DataFrame, column: str) -> DataFrame:
+    """df with a column evaluated once a row: the optimiser doesn't copy what a one-row explode gives."""
+    return df.withColumn(column, F.explode(F.array(column)))
 
-    def sorted_places(grams: Column) -> Column:
+
+def windows_of(hashes: Column) -> Column:
+    """A hash of each WINDOW of neighbouring words, from the words' hashes."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(hashes) < WINDOW, F.array().cast("array<bigint>")).otherwise(grams)
+
+
+def repeated_words(grams: Column) -> Column:
+    """How many words stand in a window, of the windows' hashes in a column, that the text has twice or more."""
+
+    def sorted_places() -> Column:
         def twins(s: Column) -> Column:
             same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
             return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
         return let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), twins)
 
-    def looked_up(grams: Column, twice: Column) -> Column:
+    def looked_up(twice: Column) -> Column:
         return F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
 
     def span(places: Column) -> Column:
@@ -56,14 +70,9 @@ def repeated_words(words: Column) -> Column:
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last"))
         return F.aggregate(places, start, step, lambda a: a["n"])
 
-    def counted(grams: Column) -> Column:
-        twice = let(F.sort_array(grams), lambda s: F.array_distinct(F.filter(s, lambda h, j: F.coalesce(h == F.get(s, j - 1), F.lit(False)))))
-        return let(twice, lambda d: F.when(F.size(d) == 0, F.lit(0).cast("bigint")).when(F.size(d) <= FEW, span(looked_up(grams, d))).otherwise(span(sorted_places(grams))))
-
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-
-    return F.when(F.size(words) < WINDOW, F.lit(0).cast("bigint")).otherwise(let(windows(words), counted))
+    twice = let(F.sort_array(grams), lambda s: F.array_distinct(F.filter(s, lambda h, j: F.coalesce(h == F.get(s, j - 1), F.lit(False)))))
+    found = let(twice, lambda d: F.when(F.size(d) <= FEW, span(looked_up(d))).otherwise(span(sorted_places())))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("bigint")).otherwise(found)
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -74,26 +83,23 @@ def base_features(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
         words_of(F.col("text")).alias("words"),
-        F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.when(F.instr("text", "\n") == 0, F.lit(0)).otherwise(dup_lines).cast("bigint").alias("n_dup_lines"),
     )
-    # explode of a one-element array keeps the words from being split again for each use
-    held = rows.withColumn("words", F.explode(F.array("words")))
-    return held.select("doc_id", "words", F.size("words").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words")).alias("n_repeat_words"))
+    rows = held(rows, "words").withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    rows = held(rows, "hashes").withColumn("grams", windows_of(F.col("hashes")))
+    return held(rows, "grams").select("doc_id", "words", F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"), "n_symbols", "n_dup_lines", repeated_words(F.col("grams")).alias("n_repeat_words"))
 
 
 def grams_of(words: Column, buckets: int) -> Column:
-    """Buckets of all unigrams and bigrams."""
-
-    def bucket(*w: Column) -> Column:
-        return F.pmod(F.xxhash64(*w), F.lit(buckets)).cast("int")
+    """Buckets of all unigrams and bigrams; a bigram's follows from its words' hashes."""
+    least = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
 
-    def both(w: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: bucket(F.get(w, i), F.get(w, i + 1)))
-        return F.concat(F.transform(w, lambda x: bucket(x)), F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    def both(h: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: least(F.xxhash64(F.get(h, i), F.get(h, i + 1))))
+        return F.concat(F.transform(h, least), F.when(F.size(h) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
-    return let(F.transform(words, lambda x: F.lower(x)), both)
+    return let(F.transform(words, lambda x: F.xxhash64(F.lower(x))), both)
 
 
 def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
@@ -101,41 +107,55 @@ def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def bucket_count(docs: DataFrame, trusted: DataFrame) -> int:
-    """The greatest power of two that leaves each bucket FILL n-grams of trusted documents on average, within the bounds."""
-    n = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").agg(F.sum(F.greatest(2 * F.size(words_of(F.col("text"))) - 1, F.lit(0)).cast("bigint"))).first()[0]
+def bucket_count(texts: DataFrame) -> int:
+    """The greatest power of two that leaves each bucket FILL n-grams of the trusted texts on average, within the bounds."""
+    n = texts.agg(F.sum(F.greatest(2 * F.size(words_of(F.col("text"))) - 1, F.lit(0)).cast("bigint"))).first()[0]
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(1, (n or 0) // FILL).bit_length() - 1))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
-    """bucket, weight: at most as many rows as buckets."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select("good", F.explode(grams_of(words_of(F.col("text")), buckets)).alias("bucket"))
-    counts = reliable(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")))
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
-    all_raw, all_target = (total["all_raw"] or 0), (total["all_target"] or 0)
-    if not all_target:
-        return counts.select("bucket", F.lit(0).cast("bigint").alias("weight"))
-    ratio = F.log((F.col("target") + alpha) / (all_target + alpha * buckets)) - F.log((F.col("raw") + alpha) / (all_raw + alpha * buckets))
-    return counts.select("bucket", F.round(ratio * 1_000_000).cast("bigint").alias("weight"))
+def bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
+    """part (a bucket div PART) and the counts of its PART buckets, in columns name0, name1 and so on.
+
+    Nearly every task meets nearly every bucket, so its partial counts are PART to a row, which is less to look up and
+    to shuffle than a row each.
+    """
+    grams = texts.select(F.explode(grams_of(words_of(F.col("text")), buckets)).alias("bucket"))
+    placed = grams.select(F.shiftright("bucket", PART_BITS).alias("part"), F.col("bucket").bitwiseAND(F.lit(PART - 1)).alias("place"))
+    return placed.groupBy("part").agg(*[F.sum((F.col("place") == i).cast("bigint")).alias(f"{name}{i}") for i in range(PART)])
+
+
+def weights(texts: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> Column:
+    """Millionths of the log ratio of each bucket: one array of all buckets, as a scalar subquery."""
+    raw, target = reliable(bucket_counts(texts, buckets, "raw")), reliable(bucket_counts(trusted, buckets, "target"))
+    total = lambda df, name: df.agg(F.sum(sum(F.col(f"{name}{i}") for i in range(PART)))).first()[0] or 0
+    all_raw, all_target = total(raw, "raw"), total(target, "target")
+
+    def weight(i: int) -> Column:
+        if not all_target:
+            return F.lit(0)
+        n, t = (F.coalesce(f"{name}{i}", F.lit(0)) for name in ("raw", "target"))
+        return F.round((F.log((t + alpha) / (all_target + alpha * buckets)) - F.log((n + alpha) / (all_raw + alpha * buckets))) * 1_000_000).cast("int")
+
+    # every part has a row, so that a bucket is a place of the array; at most MOST_BUCKETS whole numbers
+    parts = texts.sparkSession.range(buckets // PART).withColumnRenamed("id", "part").join(raw, "part", "left").join(target, "part", "left")
+    rows = parts.select("part", F.array(*[weight(i) for i in range(PART)]).alias("w"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct("part", "w"))).alias("all")).select(F.flatten(F.col("all")["w"])).scalar()
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, buckets: int | None = None, alpha: float = ALPHA, trusted_rows: int = TRUSTED_ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """Base counts, base_failed, the score llr (mean log ratio) and kept, one row for each row of docs.
 
-    buckets is bucket_count() where it isn't given.
+    buckets is bucket_count() where it isn't given; it is a multiple of PART.
     """
-    trusted = trusted_ids(labels, trusted_rows)
+    trusted = reliable(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id").select("text"))
     if buckets is None:
-        trusted = reliable(trusted)
-        buckets = bucket_count(docs, trusted)
-    known = weights(docs, trusted, buckets, alpha)
+        buckets = bucket_count(trusted)
+    known = weights(docs.select("text"), trusted, buckets, alpha)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = base_features(docs).withColumn("row", F.monotonically_increasing_id())
-    grams = rows.select("row", *base, F.explode_outer(grams_of(F.col("words"), buckets)).alias("bucket"))
-    # every row's n-grams stand in one partition, so the sums are complete before the shuffle
-    scored = grams.join(F.broadcast(known), "bucket", "left").groupBy("row").agg(*[F.first(c).alias(c) for c in base], F.sum("weight").alias("total"), F.count("weight").alias("n_grams"))
+    # a subquery may not be written into a function of an array, but the optimiser moves the column there: it is read once a task
+    rows = held(base_features(docs).withColumn("grams", grams_of(F.col("words"), buckets)), "grams").withColumn("known", known)
+    scored = rows.select(*base, F.size("grams").cast("bigint").alias("n_grams"), F.aggregate("grams", F.lit(0).cast("bigint"), lambda a, x: a + F.get("known", x)).alias("total"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     llr = F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams") / 1e6)
-    above = F.coalesce(F.col("total") >= threshold * F.col("n_grams"), F.lit(False))
+    above = (F.col("n_grams") > 0) & (F.col("total") >= threshold * F.col("n_grams"))
     return scored.select(*base, failed.alias("base_failed"), (~failed & above).alias("kept"), llr.alias("llr"))

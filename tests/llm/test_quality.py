@@ -13,11 +13,11 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def hashed(*words):
-    """Spark's xxhash64 of strings: each is the seed of the next."""
+def hashed(*values):
+    """Spark's xxhash64 of strings or of longs: each is the seed of the next."""
     seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    for x in values:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
     return signed(seed)
 
 
@@ -30,8 +30,8 @@ def base(text):
 
 
 def grams(text, buckets):
-    w = [x.lower() for x in WORD.findall(text or "")]
-    return [hashed(x) % buckets for x in w] + [hashed(a, b) % buckets for a, b in zip(w, w[1:], strict=False)]
+    w = [hashed(x.lower()) for x in WORD.findall(text or "")]
+    return [x % buckets for x in w] + [hashed(a, b) % buckets for a, b in zip(w, w[1:], strict=False)]
 
 
 def test_against_brute_force(spark, corpus):
@@ -77,9 +77,8 @@ def test_odd_rows_and_no_labels(spark, odd):
 
 
 def test_buckets_follow_the_trained_ngrams(spark, corpus):
-    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
-    docs = corpus([(i, "w " * 10_000) for i in range(60)])
-    assert quality.bucket_count(docs, trusted) == 1 << 15 and quality.bucket_count(docs, trusted.limit(0)) == quality.LEAST_BUCKETS
+    trusted = corpus([(i, "w " * 10_000) for i in range(40)])
+    assert quality.bucket_count(trusted) == 1 << 15 and quality.bucket_count(trusted.limit(0)) == quality.LEAST_BUCKETS
 
 
 def test_junk_does_not_hide_in_buckets_of_prose(spark):
