@@ -20,6 +20,8 @@ from repetend.llm._common import SPACE_CLASS, let, reliable, words_of
 
 #: Bounds of the bucket count; the upper one bounds the weights, which every task gets.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 20
+#: A bigram takes the low bits of its first word's hash and those from here on of its second word's.
+PAIR_BITS = 20
 #: Trained n-grams that a bucket holds on average, at least. Fewer, and prose that the target never saw falls below the
 #: threshold; many more, and junk hides in the buckets of prose.
 FILL = 16
@@ -47,8 +49,8 @@ def held(df: DataFrame, column: str) -> DataFrame:
 
 def windows_of(hashes: Column) -> Column:
     """A hash of each WINDOW of neighbouring words, from the words' hashes."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(hashes) < WINDOW, F.array().cast("array<bigint>")).otherwise(grams)
+    grams = F.transform(hashes, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))
+    return F.when(F.size(hashes) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.slice(grams, 1, F.size(hashes) - WINDOW + 1))
 
 
 def repeated_words(grams: Column) -> Column:
@@ -92,12 +94,13 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def grams_of(words: Column, buckets: int) -> Column:
-    """Buckets of all unigrams and bigrams; a bigram's follows from its words' hashes."""
-    least = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    """Buckets (buckets is a power of two) of all unigrams and bigrams; a bigram's follows from two parts of its words' hashes."""
+    mask = F.lit(buckets - 1).cast("bigint")
 
     def both(h: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: least(F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-        return F.concat(F.transform(h, least), F.when(F.size(h) > 1, pairs).otherwise(F.array().cast("array<int>")))
+        n = F.size(h) - 1
+        pairs = F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: x.bitwiseXOR(F.shiftright(y, PAIR_BITS)).bitwiseAND(mask))
+        return F.concat(F.transform(h, lambda x: x.bitwiseAND(mask)), F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>")))
 
     return let(F.transform(words, lambda x: F.xxhash64(F.lower(x))), both)
 
@@ -119,8 +122,9 @@ def bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
     Nearly every task meets nearly every bucket, so its partial counts are PART to a row, which is less to look up and
     to shuffle than a row each.
     """
-    grams = texts.select(F.explode(grams_of(words_of(F.col("text")), buckets)).alias("bucket"))
-    placed = grams.select(F.shiftright("bucket", PART_BITS).alias("part"), F.col("bucket").bitwiseAND(F.lit(PART - 1)).alias("place"))
+    # held first, so that the explode of many rows is compiled
+    grams = held(texts.select(grams_of(words_of(F.col("text")), buckets).alias("grams")), "grams").select(F.explode("grams").alias("bucket"))
+    placed = grams.select(F.shiftright("bucket", PART_BITS).alias("part"), F.col("bucket").bitwiseAND(F.lit(PART - 1).cast("bigint")).alias("place"))
     return placed.groupBy("part").agg(*[F.sum((F.col("place") == i).cast("bigint")).alias(f"{name}{i}") for i in range(PART)])
 
 
@@ -132,9 +136,9 @@ def weights(texts: DataFrame, trusted: DataFrame, buckets: int, alpha: float) ->
 
     def weight(i: int) -> Column:
         if not all_target:
-            return F.lit(0)
+            return F.lit(0).cast("bigint")
         n, t = (F.coalesce(f"{name}{i}", F.lit(0)) for name in ("raw", "target"))
-        return F.round((F.log((t + alpha) / (all_target + alpha * buckets)) - F.log((n + alpha) / (all_raw + alpha * buckets))) * 1_000_000).cast("int")
+        return F.round((F.log((t + alpha) / (all_target + alpha * buckets)) - F.log((n + alpha) / (all_raw + alpha * buckets))) * 1_000_000).cast("bigint")
 
     # every part has a row, so that a bucket is a place of the array; at most MOST_BUCKETS whole numbers
     parts = texts.sparkSession.range(buckets // PART).withColumnRenamed("id", "part").join(raw, "part", "left").join(target, "part", "left")
@@ -145,7 +149,7 @@ def weights(texts: DataFrame, trusted: DataFrame, buckets: int, alpha: float) ->
 def quality(docs: DataFrame, labels: DataFrame, *, buckets: int | None = None, alpha: float = ALPHA, trusted_rows: int = TRUSTED_ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """Base counts, base_failed, the score llr (mean log ratio) and kept, one row for each row of docs.
 
-    buckets is bucket_count() where it isn't given; it is a multiple of PART.
+    buckets is bucket_count() where it isn't given; it is a power of two, PART or more.
     """
     trusted = reliable(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id").select("text"))
     if buckets is None:

@@ -13,12 +13,9 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def hashed(*values):
-    """Spark's xxhash64 of strings or of longs: each is the seed of the next."""
-    seed = 42
-    for x in values:
-        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
-    return signed(seed)
+def hashed(word):
+    """Spark's xxhash64 of a string."""
+    return signed(xxhash.xxh64_intdigest(word.encode(), 42))
 
 
 def base(text):
@@ -31,7 +28,7 @@ def base(text):
 
 def grams(text, buckets):
     w = [hashed(x.lower()) for x in WORD.findall(text or "")]
-    return [x % buckets for x in w] + [hashed(a, b) % buckets for a, b in zip(w, w[1:], strict=False)]
+    return [x % buckets for x in w] + [(a ^ b >> 20) % buckets for a, b in zip(w, w[1:], strict=False)]
 
 
 def test_against_brute_force(spark, corpus):
