@@ -1,10 +1,12 @@
 """Hierarchical multi-length packing of token sequences.
 
 A document is its token ids and the end id. It is cut into whole windows and one remainder; the remainder is routed to
-the shortest context tier that holds it. Tiers are packed from the longest down: every piece of a tier opens a window
-of the full size, and the gap is filled with the longest pieces that fit, taken from shorter tiers. Windows are then
-numbered from the fullest to the emptiest and dealt round to step groups, so that every group gets the same mix of
-tiers and nearly the same number of tokens.
+the shortest context tier that holds it. Tiers are packed from the longest down. A sequence of a tier holds as many
+windows of the tier's size as fit in the full size. Each is opened by the longest piece left that the tier's size holds, and its gap is
+filled with the longest pieces that fit, which the tier itself and shorter ones give; what stays open of a window goes
+to the next one of the sequence, so that the last one's gap is the sequence's. So long windows take what they need from
+short tiers, and no piece stands in a tier too short for it. Sequences are numbered by tier, from the fullest to the
+emptiest, and dealt round to step groups: every group gets the same mix of tiers and nearly the same number of tokens.
 
 Placement needs lengths only, and there are at most `size` different ones. So the plan is made for counts of lengths,
 not for pieces: its input and output are bounded whatever the corpus holds. A piece finds its place by its rank among
@@ -83,11 +85,8 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, json_path: s
     return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), kernel, schema)
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """(number of windows, lengths in each of them), from the fullest windows to the emptiest.
-
-    Lengths go from the longest down, so long tiers open windows and shorter ones fill their gaps.
-    """
+def plan(counts: dict[int, int], size: int = SIZE, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, list[int]]]:
+    """(number of sequences, their tier, lengths in each of them), by tier from the longest, then from the fullest."""
     left = [counts.get(n, 0) for n in range(size + 1)]
     below = list(range(size + 1))  # below[n]: a length of at most n that may be left; found with path halving
 
@@ -100,33 +99,43 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]
             gap = below[gap]
         return gap
 
+    sizes = sorted({t for t in tiers if t < size} | {size}, reverse=True)
     done = []
-    for length in range(size, 0, -1):
-        while left[length]:
+    for tier, shorter in zip(sizes, [*sizes[1:], 0], strict=True):
+        windows = size // tier
+        while (length := longest(tier)) > shorter:
             opened = max(1, left[length] // (size // length))
             left[length] -= opened
-            stack = [(opened, size - length, (length,))]
+            # sequences alike, the gap of their open window, the windows still to open, the lengths they have
+            stack = [(opened, tier - length + (size % tier if windows == 1 else 0), windows - 1, (length,))]
             while stack:
-                n, gap, has = stack.pop()
-                if not (fill := longest(gap)):
-                    done.append((n, list(has)))
+                n, gap, more, has = stack.pop()
+                fill = longest(min(gap, tier))
+                if not fill and more:
+                    # the next window, which takes the gap over; the last one what no window covers
+                    gap, more = gap + tier + (size % tier if more == 1 else 0), more - 1
+                    fill = longest(min(gap, tier))
+                    if not fill:
+                        more = 0
+                if not fill:
+                    done.append((n, tier, list(has)))
                     continue
                 taken = min(n, left[fill])
                 left[fill] -= taken
                 if n > taken:
-                    stack.append((n - taken, gap, has))
-                stack.append((taken, gap - fill, (*has, fill)))
-    return sorted(done, key=lambda x: (-sum(x[1]), x[1]))
+                    stack.append((n - taken, gap, more, has))
+                stack.append((taken, gap - fill, more, (*has, fill)))
+    return sorted(done, key=lambda x: (-x[1], -sum(x[2]), x[2]))
 
 
-def slots(windows: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, sequence of the first, offset): where pieces of a length go."""
+def slots(sequences: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, sequence of the first, offset, tier): where pieces of a length go."""
     out, ranks, sequence = [], {}, 0
-    for n, lengths in windows:
+    for n, tier, lengths in sequences:
         offset = 0
         for length in lengths:
             first = ranks.get(length, 0)
-            out.append((length, first, first + n, sequence, offset))
+            out.append((length, first, first + n, sequence, offset, tier))
             ranks[length] = first + n
             offset += length
         sequence += n
@@ -134,21 +143,21 @@ def slots(windows: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int
 
 
 def place(cut: DataFrame, *, size: int = SIZE, tiers: tuple[int, ...] = TIERS, group_sequences: int = GROUP_SEQUENCES, salts: int = SALTS) -> DataFrame:
-    """Pieces with sequence_id, offset, tier and step_group. cut is read twice; keep it first."""
+    """Pieces with sequence_id, offset, their tier, the tier of the sequence and step_group. cut is read twice; keep it first."""
     spark = cut.sparkSession
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = reliable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most size * salts rows
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
-    windows = plan(counts, size)
-    groups = max(1, -(-sum(n for n, _ in windows) // group_sequences))
-    targets = spark.createDataFrame(slots(windows), "length long, low long, high long, first long, offset long")
+    sequences = plan(counts, size, tiers)
+    groups = max(1, -(-sum(n for n, *_ in sequences) // group_sequences))
+    targets = spark.createDataFrame(slots(sequences), "length long, low long, high long, first long, offset long, sequence_tier int")
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")))
     placed = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("rank") - 1)
     placed = placed.join(F.broadcast(targets), (placed["length"] == targets["length"]) & (placed["rank"] >= targets["low"]) & (placed["rank"] < targets["high"])).drop(targets["length"])
     tier = F.coalesce(*[F.when(F.col("length") <= t, F.lit(t)) for t in sorted(tiers)], F.lit(size))
     sequence = F.col("first") + F.col("rank") - F.col("low")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset", tier.alias("tier"), (sequence % groups).alias("step_group"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset", tier.alias("tier"), "sequence_tier", (sequence % groups).alias("step_group"))
 
 
 def pack(docs: DataFrame, *, size: int = SIZE, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, group_sequences: int = GROUP_SEQUENCES, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
