@@ -7,8 +7,9 @@ posting: the guarantee holds whether the run is one long line or many short ones
 as its windows differ. The windows that run on cover a shared run but for less than MIN_WORDS words at its end, and the one
 that runs back from its last line covers these. So every line of a run that any earlier text shares goes, whichever text
 has its other windows first. Each posting is joined with the first one of its window in order of doc_id, then place, never
-with all of them. From the joined position the match is extended line by line both ways, at most EXTENSION lines, and
-the later run is deleted. A line is deleted only where an equal line stands earlier, so the first copy of every line
+with all of them. From the joined position the match is extended line by line both ways and the later run is deleted. A
+line has a word at least, so MIN_WORDS lines each way reach both ends of the window; what the run has beyond them has
+windows of its own, so extending further would only name the same lines again. A line is deleted only where an equal line stands earlier, so the first copy of every line
 stays. Everything is DataFrame expressions.
 
 Defined results: null and empty texts stay as they are. Rows with equal doc_id and text are one document: all of them
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from repetend.llm._common import SPACE_CHARS, SPACE_CLASS, let, reliable, row_id_columns
 
-MIN_WORDS, EXTENSION = 50, 100
+MIN_WORDS = 50
 _KEY = ("doc_id", "th")
 
 
@@ -47,7 +48,7 @@ def _before(a: Column, i: Column, n: int) -> Column:
     return F.reverse(F.slice(a, low + 1, i - low))
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extension: int = EXTENSION) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text) and removed: places of the lines to delete, for documents that have any."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("ls"))
     enough = F.aggregate("ls", F.lit(0).cast("bigint"), lambda a, x: a + x["w"]) >= min_words
@@ -76,13 +77,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extension: in
     sources = texts.select(F.col("doc_id").alias("sd_"), F.col("th").alias("st_"), F.col("ls").alias("source"))
     hashed = lambda d, t: F.xxhash64(d, t)
     found = seeds.join(sources, (hashed("sd", "st") == hashed("sd_", "st_")) & F.col("sd").eqNullSafe(F.col("sd_")) & (F.col("st") == F.col("st_")))
-    after = lambda a, i: F.slice(a, i + 1, extension)
-    found = found.select(*_KEY, "p", after(F.col("source"), F.col("sp")).alias("right"), _before(F.col("source"), F.col("sp"), extension).alias("left"))
+    after = lambda a, i: F.slice(a, i + 1, min_words)
+    found = found.select(*_KEY, "p", after(F.col("source"), F.col("sp")).alias("right"), _before(F.col("source"), F.col("sp"), min_words).alias("left"))
     mine = texts.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "ls")
     found = found.join(mine, (hashed("doc_id", "th") == hashed("d_", "t_")) & F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")))
     spans = found.select(
         *_KEY,
-        (F.col("p") - _same(_before(F.col("ls"), F.col("p"), extension), F.col("left"))).alias("lo"),
+        (F.col("p") - _same(_before(F.col("ls"), F.col("p"), min_words), F.col("left"))).alias("lo"),
         (F.col("p") + _same(after(F.col("ls"), F.col("p")), F.col("right")) - 1).alias("hi"),
     ).filter("hi >= lo")
 
@@ -95,9 +96,9 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extension: in
     return places.join(mine, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_"))).select(*_KEY, F.transform("idx", lambda i: F.get("ls", i)["at"]).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extension: int = EXTENSION, removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """docs with later copies of repeated runs of lines deleted from text; `removed` names a column for their places."""
-    found = repeated_lines(docs, min_words=min_words, extension=extension)
+    found = repeated_lines(docs, min_words=min_words)
     id_, th, places = row_id_columns(docs, ["gone_doc_id", "gone_th", "gone_places"])
     gone = found.select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("removed").alias(places))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[th]), "left")

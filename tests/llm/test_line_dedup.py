@@ -6,56 +6,23 @@ from repetend.llm import line_dedup
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def brute(docs, min_words, extension):
-    """Places of deleted lines by document, in order of id, straight from the definition."""
-    first, out, seq = {}, {}, {}
-    for key, text in docs.items():
-        plain = [" ".join(re.split(r"[\x20\x09-\x0D]+", x.strip(SPACE).lower())) for x in (text or "").split("\n")]
-        seq[key] = [(i, x, len(x.split(" "))) for i, x in enumerate(plain) if x]
-    for key in sorted(seq):
-        own, gone = seq[key], set()
-        for a in range(len(own)):
-            b, n = a, 0
-            while b < len(own) and n < min_words:
-                n, b = n + own[b][2], b + 1
-            if n < min_words:
-                break
-            window = tuple(x[1] for x in own[a:b])
-            if window not in first:
-                first[window] = (key, a)
-                continue
-            from_, at = first[window]
-            source, shift = seq[from_], a - at
-            same = lambda i: 0 <= i < len(own) and 0 <= i - shift < len(source) and own[i][1] == source[i - shift][1]
-            lo, hi = a, b - 1
-            while same(lo - 1) and a - lo < extension // 2:
-                lo -= 1
-            while same(hi + 1) and hi - a < extension // 2:
-                hi += 1
-            gone |= {own[i][0] for i in range(lo, hi + 1)}
+def every_earlier(docs, min_words):
+    """Places of the lines that lie in a run of at least min_words words which stands anywhere earlier, from every run."""
+    seen, out = set(), {}
+    for key in sorted(docs):
+        plain = [" ".join(re.split(r"[\x20\x09-\x0D]+", x.strip(SPACE).lower())) for x in (docs[key] or "").split("\n")]
+        own, gone = [(i, x, len(x.split(" "))) for i, x in enumerate(plain) if x], set()
+        for b in range(1, len(own) + 1):  # runs that end before place b, in order of their ends
+            for a in range(b):
+                run = tuple(x[1] for x in own[a:b])
+                if sum(x[2] for x in own[a:b]) >= min_words:
+                    if run in seen:
+                        gone |= {x[0] for x in own[a:b]}
+                    seen.add(run)
         out[key] = gone
     return out
 
 
-def test_against_brute_force(corpus):
-    rnd = random.Random(12)
-    pool = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 12))) for _ in range(40)]
-    for round_ in range(4):
-        docs = {}
-        runs = [[rnd.choice(pool) for _ in range(rnd.randrange(1, 9))] for _ in range(5)]
-        for i in range(40):
-            parts = []
-            for _ in range(rnd.randrange(5)):
-                parts += rnd.choice(runs) if rnd.random() < 0.5 else [rnd.choice(pool), "", f"only {i} {rnd.random()}"]
-            docs[i * 7 % 40] = "\n".join(x.upper() + "  " if rnd.random() < 0.1 else x for x in parts)
-        want = brute(docs, 15, 100)
-        rows = line_dedup.dedup_lines(corpus(list(docs.items()), parts=1 + round_), min_words=15, removed="gone").collect()
-        assert len(rows) == len(docs) and any(want.values())
-        for r in rows:
-            assert set(r.gone) == want[r.doc_id] and len(set(r.gone)) == len(r.gone)
-            assert r.text == "\n".join(x for i, x in enumerate(docs[r.doc_id].split("\n")) if i not in want[r.doc_id])
-
-
 def test_long_passages_go_and_the_first_copy_stays(corpus):
     passage = " ".join(f"p{i}" for i in range(60))
     many = "\n".join(" ".join(f"q{i}x{k}" for k in range(9)) for i in range(8))
@@ -77,23 +44,6 @@ def test_odd_rows(odd, corpus):
     assert out.columns == named.columns and {r.doc_id: (r.text, r.gone_th, r.fp) for r in out.collect()} == {1: (text, 1, "x"), 2: ("", 1, "x")}
 
 
-def every_earlier(docs, min_words):
-    """Places of the lines that lie in a run of at least min_words words which stands anywhere earlier, from every run."""
-    seen, out = set(), {}
-    for key in sorted(docs):
-        plain = [" ".join(re.split(r"[\x20\x09-\x0D]+", x.strip(SPACE).lower())) for x in (docs[key] or "").split("\n")]
-        own, gone = [(i, x, len(x.split(" "))) for i, x in enumerate(plain) if x], set()
-        for b in range(1, len(own) + 1):  # runs that end before place b, in order of their ends
-            for a in range(b):
-                run = tuple(x[1] for x in own[a:b])
-                if sum(x[2] for x in own[a:b]) >= min_words:
-                    if run in seen:
-                        gone |= {x[0] for x in own[a:b]}
-                    seen.add(run)
-        out[key] = gone
-    return out
-
-
 def test_tails_shared_with_a_later_copy_go(corpus):
     passage, tail = " ".join(f"p{i}" for i in range(60)), "a tail of five words\nand one of six words more"
     docs = {1: f"{passage}\nfirst", 2: f"{passage}\n{tail}\nsecond", 3: f"{passage}\n{tail}\nthird", 4: f"x\n{passage}\n{tail}"}
@@ -102,7 +52,7 @@ def test_tails_shared_with_a_later_copy_go(corpus):
 
 
 def test_against_every_earlier_run(corpus):
-    rnd, differ = random.Random(12), 0
+    rnd = random.Random(12)
     pool = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 12))) for _ in range(40)]
     for round_ in range(4):
         docs, runs = {}, [[rnd.choice(pool) for _ in range(rnd.randrange(1, 9))] for _ in range(5)]
@@ -112,7 +62,15 @@ def test_against_every_earlier_run(corpus):
                 parts += rnd.choice(runs) if rnd.random() < 0.5 else [rnd.choice(pool), "", f"only {i} {rnd.random()}"]
             docs[i * 7 % 40] = "\n".join(x.upper() + "  " if rnd.random() < 0.1 else x for x in parts)
         want = every_earlier(docs, 15)
-        differ += want != brute(docs, 15, 100)
         rows = line_dedup.dedup_lines(corpus(list(docs.items()), parts=1 + round_), min_words=15, removed="gone").collect()
         assert {r.doc_id: set(r.gone) for r in rows} == want
-    assert differ
+
+
+def test_runs_of_many_more_lines_than_an_extension_go_whole(corpus):
+    rnd = random.Random(3)
+    run = [f"w{rnd.randrange(30)}" for _ in range(90)]
+    docs = {1: "\n".join([*run, "one"]), 2: "\n".join(["two", *run[7:], "more of two"]), 3: "\n".join([*run[40:], "more of two", *run[:20]])}
+    want = every_earlier(docs, 6)
+    assert len(want[2]) == 83 and len(want[3]) == 71
+    rows = line_dedup.dedup_lines(corpus(list(docs.items())), min_words=6, removed="gone").collect()
+    assert {r.doc_id: set(r.gone) for r in rows} == want

@@ -1,12 +1,16 @@
+import math
+import zlib
+from collections import Counter
+
 import duckdb
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from repetend.llm import langid, packing, queries, secret_scan, simhash  # noqa: E402
-from tests.llm.test_line_dedup import brute  # noqa: E402
+from repetend.llm import langid, packing, queries, secret_scan  # noqa: E402
+from tests.llm.test_line_dedup import every_earlier  # noqa: E402
+from tests.llm.test_near_copies import least_of_groups  # noqa: E402
 from tests.llm.test_packing import check  # noqa: E402
-from tests.llm.test_simhash import classes, fingerprint  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,21 +29,28 @@ def stages(spark, tmp_path_factory):
     return out
 
 
+def gains(rows):
+    """Gain of each trigram by language, counted in plain Python from the rows that may train."""
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(langid.trigrams(r.text).tolist())
+    return {lang: {g: math.log(0.9 * n / sum(c.values()) * langid.SYMBOLS**3 + 0.1) for g, n in c.items()} for lang, c in counts.items()}
+
+
+def gained(grams, row):
+    """Whether a text's mean gain is enough for its number of trigrams."""
+    return len(grams) > 0 and sum(row.get(g, math.log(0.1)) for g in grams.tolist()) / len(grams) >= langid.LEAST_GAIN - langid.SHORT / math.sqrt(len(grams))
+
+
 def test_stages_against_brute_force(stages, spark):
     docs, known, edited, single, safe, packed = ({r.doc_id: r for r in rows} if i < 5 else rows for i, rows in enumerate(stages))
-    names, vectors = langid.prototypes(langid.training_rows(spark.createDataFrame(list(docs.values()), "doc_id long, text string, lang string, source string, n_chars long")))
-    fine = set()
-    for i, r in docs.items():
-        grams = langid.trigrams(r.text or "")
-        if len(grams):
-            vector = langid.bundle(grams, langid.np.ones(len(grams)))
-            if (vectors @ vector).max() >= langid.LEAST * langid.np.linalg.norm(vector):
-                fine.add(i)
+    table = gains(docs.values())
+    fine = {i for i, r in docs.items() if any(gained(langid.trigrams(r.text or ""), row) for row in table.values())}
     assert set(known) == fine and len(fine) > 0.95 * len(docs)
-    gone = brute({i: r.text for i, r in known.items()}, 50, 100)
+    gone = every_earlier({i: r.text for i, r in known.items()}, 50)
     assert {i: r.text for i, r in edited.items()} == {i: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i]) for i, r in known.items()}
-    groups = classes({i: fingerprint(r.text) for i, r in edited.items()})
-    assert set(single) == set(groups.values())
+    assert set(single) == least_of_groups({i: r.text for i, r in edited.items()})
     assert {i: (r.text, r.n_chars) for i, r in safe.items()} == {i: (t := secret_scan.redact(r.text, secret_scan.scan(r.text)), len(t)) for i, r in single.items()}
     check(packed, packing.SIZE)
     assert {r.doc_id for r in packed} == set(safe)
@@ -66,7 +77,3 @@ def test_sql_of_queries(spark):
             columns = ", ".join(sorted(found.columns))
             want = c.execute(f"SELECT {columns} FROM ({sql})").fetchall()
         assert sorted(map(repr, want)) == sorted(repr(tuple(r[x] for x in sorted(found.columns))) for r in found.collect())
-
-
-def test_simhash_keeps_the_least_id(stages):
-    assert all(r.text is not None for r in stages[3]) and simhash.RADIUS == 3
