@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Three transducers are compiled from a model file. The normaliser maps a space to U+2581 and writes one before the text.
-The piece transducer is a trie: a path from its root reads a piece's characters and writes its id. The fallback reads
-one character that is no piece and writes the ids of its bytes. They are composed with each input as it is read: the
-states of the composition are places of the input with the last piece, and its shortest path in the tropical semiring
-(weights add along a path, the least of paths counts) is the encoding.
-
-In a unigram model a piece weighs its negative score. A BPE model's result is not the path of least scores, so its
-merge order is compiled into the weights: two neighbouring pieces weigh infinity together unless merging their joined
-text gives just these two. An encoding all of whose neighbours pass is the one that merging gives for the whole text,
-so each place keeps one piece, and the path is exact.
+Three transducers are compiled from a model file; every arc reads, writes and weighs something. The normaliser's arcs map
+a space to U+2581, write one before the text and, where the model says so, drop spaces at both ends and after a space. The
+pieces' arcs form a trie: a path from its root reads a piece's characters, writes its id and weighs what the piece
+weighs. The fallback's arcs read one character that is no piece and write the ids of its bytes. They are composed with
+each input as it is read. A state of the composition is a place of the input with the piece before it, and the path of
+least weight to the last place, found best first (weights are not negative and add along a path), is the encoding.
+
+In a unigram model a piece weighs its negative score (scores above 0 are refused). A BPE model's result is not the path
+of least scores, so its merge order is compiled into weights of two neighbouring pieces: infinity unless merging their joined
+text gives just these two, else nothing. An encoding all of whose neighbours weigh nothing is the one that merging gives for the
+whole text, so each place is reached with one piece only, and the same search finds it. Of equal weights the longer
+piece goes first.
 
 Where no piece has a U+2581 after another character, paths through a word's end don't depend on what follows; words
 are composed one by one then, and frequent ones are kept, at most KEPT of them.
@@ -27,6 +29,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from pyspark.sql import types as T
 from repetend.llm._common import map_slices
 
 BLANK = "▁"
+#: Runs of spaces (True) and of other characters.
+RUN = {True: re.compile(" +"), False: re.compile("[^ ]+")}
 #: Words and pairs of pieces that a task keeps.
 KEPT, KEPT_PAIRS = 250_000, 1_500_000
 # Fixed values of the model format: kinds of model and of pieces.
@@ -79,6 +84,36 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
             raise ValueError(f"field of kind {kind}")
 
 
+class Normaliser:
+    """A transducer on runs: arcs[state][whether a space] = (next state, written for each character; None copies it, written first)."""
+
+    def __init__(self, prefix: bool, squeeze: bool) -> None:
+        first = BLANK if prefix else ""
+        if squeeze:
+            start = {True: (0, "", ""), False: (1, None, first)}
+            self.arcs = [start, {True: (2, "", ""), False: (1, None, "")}, {True: (2, "", ""), False: (1, None, BLANK)}]
+        else:
+            after = {True: (1, BLANK, ""), False: (1, None, "")}
+            self.arcs = [{c: (to, out, first) for c, (to, out, _) in after.items()}, after]
+
+    def compose(self, text: str) -> str:
+        # a last state that only leads to itself and writes nothing first is a map of characters
+        state, at, written, n = 0, 0, [], len(text)
+        while at < n:
+            here = self.arcs[state]
+            if all(to == state and not first for to, _, first in here.values()):
+                written.append(text[at:].replace(" ", here[True][1]))
+                break
+            blank = text[at] == " "
+            to, out, first = here[blank]
+            end = at + 1
+            if to == state or not blank:
+                end = RUN[blank].match(text, at).end()
+            written.append(first + (text[at:end] if out is None else out * (end - at)))
+            state, at = to, end
+        return "".join(written)
+
+
 class Transducer:
     """A model file's transducers; encode() composes them with a text."""
 
@@ -108,7 +143,12 @@ class Transducer:
         self.fallback, self.unknown = fallback and len(self.bytes) == 256, unknown
         self.scores = {p: s for p, s, k in self.pieces if k == NORMAL}
         self.ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k == NORMAL}
-        self.floor = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
+        self.normaliser = Normaliser(self.prefix, self.squeeze)
+        low, high = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY, max(self.scores.values(), default=0.0)
+        if self.kind == UNIGRAM and high > 0:
+            raise ValueError("scores above 0 aren't supported: the search takes weights that are not negative")
+        self.weigh = [0.0 if self.kind == BPE else -s for _, s, _ in self.pieces]
+        self.unread = 0.0 if self.kind == BPE else -low
         self.root: dict = {}
         for piece, i in self.ids.items():
             node = self.root
@@ -124,14 +164,6 @@ class Transducer:
         self.kept: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    # the normaliser
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", BLANK)
-        return BLANK + text if self.prefix and text else text
-
     # weights of the piece transducer
 
     def merged(self, text: str) -> list[str]:
@@ -170,76 +202,63 @@ class Transducer:
 
     # composition and shortest path
 
-    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, arc) of the arcs that read text from a place on, the shortest first."""
-        node, end, n, out = self.root, at, len(text), []
-        while end < n and (node := node.get(text[end])) is not None:
-            end += 1
-            if (arc := node.get("")) is not None:
-                out.append((end, arc))
-        if not out or out[0][0] > at + 1:
-            out.insert(0, (at + 1, -1 - ord(text[at])))
-        return out
-
     def path(self, text: str) -> list[int]:
-        """Arcs of the shortest path: ids of pieces, or -1 - code point for the fallback."""
-        return self._only(text) if self.kind == BPE else self._least(text)
-
-    def _only(self, text: str) -> list[int]:
-        """The one path of finite weight. Long arcs first; a place that led nowhere is closed, as one path reaches it at most."""
-        n, at, closed, out, stack, pairs = len(text), 0, set(), [], [], self.pairs
-        ahead = self._arcs(text, 0) if n else []
+        """Arcs of the path of least weight: ids of pieces, or -1 - code point for the fallback."""
+        root, weigh, ordered, pairs = self.root, self.weigh, self.kind == BPE, self.pairs
+        n, closed, heap, node = len(text), set(), [], None
+        at, cost = 0, 0.0
         while at < n:
-            while ahead:
-                end, arc = ahead.pop()
-                if end in closed:
+            # arcs that read the text from here on
+            state, end, one = root, at, False
+            while end < n and (state := state.get(text[end])) is not None:
+                end += 1
+                if (arc := state.get("")) is not None:
+                    one = one or end == at + 1
+                    if end not in closed:
+                        heappush(heap, (cost + weigh[arc], -end, arc, node))
+            if not one and at + 1 not in closed:
+                heappush(heap, (cost + self.unread, -1 - at, -1 - ord(text[at]), node))
+            while True:
+                cost, end, arc, node = heappop(heap)
+                if -end in closed:
                     continue
-                if out:
-                    fine = pairs.get((out[-1], arc))
-                    if fine is None:
-                        fine = self.allowed(out[-1], arc)
-                else:
-                    fine = self.first_allowed(arc)
-                if fine:
-                    stack.append((at, ahead))
-                    out.append(arc)
-                    at = end
-                    ahead = self._arcs(text, at) if at < n else []
-                    break
-            else:
-                closed.add(at)
-                out.pop()
-                at, ahead = stack.pop()
-        return out
-
-    def _least(self, text: str) -> list[int]:
-        n, far = len(text), float("inf")
-        cost, back = [0.0] + [far] * n, [(0, 0)] * (n + 1)
-        for at in range(n):
-            for end, arc in self._arcs(text, at):
-                total = cost[at] - (self.pieces[arc][1] if arc >= 0 else self.floor)
-                if total < cost[end]:
-                    cost[end], back[end] = total, (at, arc)
-        out, at = [], n
-        while at:
-            at, arc = back[at]
-            out.append(arc)
+                if ordered:
+                    if node is None:
+                        fine = self.first_allowed(arc)
+                    else:
+                        fine = pairs.get((node[0], arc))
+                        if fine is None:
+                            fine = self.allowed(node[0], arc)
+                    if not fine:
+                        continue
+                break
+            at, node = -end, (arc, node)
+            closed.add(at)
+        out = []
+        while node:
+            out.append(node[0])
+            node = node[1]
         return out[::-1]
 
     def _outputs(self, text: str) -> tuple[int, ...]:
+        """What the arcs of the path write; unknown pieces in a row are one."""
         out: list[int] = []
         for arc in self.path(text):
             if arc >= 0:
                 out.append(arc)
             elif self.fallback:
-                out += [self.bytes[b] for b in chr(-1 - arc).encode("utf-8", "surrogatepass")]
+                out += self.read_as_bytes(arc)
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return tuple(out)
 
+    def read_as_bytes(self, arc: int) -> list[int]:
+        """Output of a fallback arc."""
+        return [self.bytes[b] for b in chr(-1 - arc).encode("utf-8", "surrogatepass")]
+
     def encode(self, text: str) -> list[int]:
         kept, ids = self.kept, []
-        for word in self.words.findall(self.normalise(text)):
+        for word in self.words.findall(self.normaliser.compose(text)):
             found = kept.get(word)
             if found is None:
                 found = self._outputs(word)

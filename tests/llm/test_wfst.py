@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -53,3 +54,36 @@ def test_query_columns(both, odd):
     assert encoded.filter("ids is null").count() == 2
     assert sorted((str(r.doc_id), r.text or "") for r in wfst.decode(encoded).collect()) == sorted((str(r.doc_id), r.text or "") for r in odd.collect())
     assert wfst.digests(odd.limit(0)).count() == 0
+
+
+def test_equals_the_library_on_documents(both):
+    own, library = both
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    assert [own.encode(x) for x in texts] == library.encode(texts)
+
+
+def test_normaliser():
+    drop, keep = wfst.Normaliser(True, True), wfst.Normaliser(True, False)
+    for text in ("", " ", "a", "  a  b ", "a b", "\ta  \n b   c", "▁ a"):
+        squeezed = " ".join(x for x in text.split(" ") if x)
+        assert drop.compose(text) == ("▁" + squeezed.replace(" ", "▁") if squeezed else "")
+        assert keep.compose(text) == ("▁" + text.replace(" ", "▁") if text else "")
+    assert wfst.Normaliser(False, True).compose(" a  b ") == "a▁b" and wfst.Normaliser(False, False).compose(" a ") == "▁a▁"
+
+
+def test_unigram_path_against_every_path():
+    rnd = random.Random(4)
+    names = ["a", "b", "▁", "ab", "ba", "aab", "bb", "▁a", "▁ab", "abab"]
+    pieces = [("<unk>", 0.0, 2), *[(x, -rnd.uniform(0.5, 6), 1) for x in names]]
+    model = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    own = wfst.Transducer(model + field(2, 2, field(3, 0, b"\x01")))
+    scores = {p: s for p, s, _ in own.pieces[1:]}
+
+    def best(text):
+        return max((scores[text[:k]] + best(text[k:]) for k in range(1, len(text) + 1) if text[:k] in scores), default=0.0 if not text else -1e9)
+
+    for _ in range(200):
+        text = "".join(rnd.choice("ab ") for _ in range(rnd.randrange(1, 12)))
+        normal = own.normaliser.compose(text)
+        found = [own.pieces[i][0] for i in own.encode(text)]
+        assert "".join(found) == normal and abs(sum(scores[x] for x in found) - best(normal)) < 1e-6
