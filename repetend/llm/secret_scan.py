@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on every long token.
 
-Candidates are the runs of [A-Za-z0-9+/_=-] with at least MIN_LENGTH symbols. The smallest alphabet that holds all
-symbols of a candidate is its inferred encoding. Three tests are made on it: chi-squared for a uniform alphabet, runs
+Candidates are the parts between equals signs of the runs of [A-Za-z0-9+/_=-], with at least MIN_LENGTH symbols. The
+smallest alphabet that holds all symbols of a candidate is its inferred encoding. Three tests are made on it: chi-squared for a uniform alphabet, runs
 (changes of symbol class) and serial correlation at lag 1. Each gives two p-values: one if the symbols were drawn at
 random from the alphabet, one if the token were ordinary text or an identifier. Fisher's method combines the second
-kind; Benjamini-Hochberg, with weights in proportion to length, bounds the false discoveries among a text's candidates.
-What it selects is reported when the first kind does not reject randomness either. Spans of the patterns always stay;
-a selected candidate that overlaps one adds nothing.
+kind. Benjamini-Hochberg, with weights in proportion to length, bounds the false discoveries among all candidates of the
+corpus: a first pass counts p-values divided by length in STEPS bins a factor e, at most BINS of them, and the second
+takes every candidate from the bin on that the counts allow (cut). What it selects is reported when the first kind does
+not reject randomness either. Spans of the patterns always stay; a selected candidate that overlaps one adds nothing.
 
-Defined results: null text is empty and has no spans; every row is scanned on its own; a null doc_id is kept; columns
+Defined results: null text is empty and has no spans; base spans of a row depend on its text alone, random ones on the
+corpus too, through the cut; a corpus without candidates has none. A null doc_id is kept; columns
 besides doc_id and text are ignored; offsets are code points, the end exclusive. Texts are scanned whole, in linear time.
 """
 
@@ -34,9 +36,12 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 #: Every access and hex span stands in one of these runs.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile("[^=]+=*")
 MIN_LENGTH = 20
-#: Levels: of false discoveries in a text, and of rejecting a random token.
+#: Levels: of false discoveries among the corpus's candidates, and of rejecting a random token.
 DISCOVERY, REJECT = 1e-3, 1e-4
+#: Bins of -log(p / length): steps a unit, and how many at most.
+STEPS, BINS = 8, 8 * 720
 #: Of ordinary text: chance that two letters are equal, changes of symbol class a symbol, correlation of vowels at lag 1.
 COINCIDENCE, CHANGES, VOWELS = 0.066, 0.15, -0.35
 
@@ -106,39 +111,77 @@ def battery(token: str) -> tuple[str, float, float]:
     return name, ordinary, min(1.0, 3 * min(q_chi, q_runs, q_serial))
 
 
-def discover(candidates: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, encoding) of the candidates (start, end, token) that are taken for secrets."""
-    if not candidates:
-        return []
-    mean = sum(e - s for s, e, _ in candidates) / len(candidates)
-    tested = []
-    for start, end, token in candidates:
-        name, ordinary, random = battery(token)
-        tested.append((ordinary * mean / (end - start), start, end, name, random))
-    tested.sort()
-    last = max((i for i, x in enumerate(tested, 1) if x[0] <= DISCOVERY * i / len(tested)), default=0)
-    return sorted((s, e, name) for _, s, e, name, random in tested[:last] if random >= REJECT)
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates."""
+    return [(run.start() + m.start(), run.start() + m.end()) for run in RUN.finditer(text) for m in PART.finditer(run[0]) if len(m[0]) >= MIN_LENGTH]
 
 
-def scan(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, place in KINDS) of all spans, in order of start and then kind."""
+def bin_of(ordinary: float, length: int) -> int:
+    """Bin of a candidate's weighted p-value; the higher, the less ordinary."""
+    return BINS if ordinary <= 0 else max(0, min(BINS, math.floor(STEPS * (math.log(length) - math.log(ordinary)))))
+
+
+def cut_of(counts: dict[int, tuple[int, int]], level: float = DISCOVERY) -> int | None:
+    """The least bin whose candidates and those above it may be taken; from number and total length by bin.
+
+    The greatest weighted p-value of bin b is mean / e ** (b / STEPS), with weights of mean 1. Benjamini-Hochberg
+    takes all n candidates from b on if total * that value is at most level * n.
+    """
+    total = sum(n for n, _ in counts.values())
+    mean = sum(length for _, length in counts.values()) / total if total else 0
+    found, n = None, 0
+    for b in sorted(counts, reverse=True):
+        n += counts[b][0]
+        if total * mean * math.exp(-b / STEPS) <= level * n:
+            found = b
+    return found
+
+
+def tested(text: str) -> list[tuple[int, int, int, float]]:
+    """(start, end, bin, p-value as random symbols) of the candidates."""
+    out = []
+    for start, end in candidates(text):
+        _, ordinary, random = battery(text[start:end])
+        out.append((start, end, bin_of(ordinary, end - start), random))
+    return out
+
+
+def cut(docs: DataFrame) -> int | None:
+    """cut_of() over every candidate of docs; at most BINS + 1 rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lengths = Counter(), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for text in batch.slice(at, SLICE_ROWS).column("text").to_pylist():
+                    for start, end, b, _ in tested(text or ""):
+                        n[b] += 1
+                        lengths[b] += end - start
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(list(n), pa.int32()), "n": pa.array(list(n.values()), pa.int64()), "length": pa.array([lengths[b] for b in n], pa.int64())})
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin int, n long, length long")
+    rows = counted.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
+    return cut_of({r["bin"]: (r["n"], r["length"]) for r in rows})
+
+
+def scan(text: str, least: int | None) -> list[tuple[int, int, int]]:
+    """(start, end, place in KINDS) of all spans, in order of start and then kind; least is the corpus's cut."""
     found = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LENGTH]
-    long = []
     for run in RUN.finditer(text):
         token, at = run[0], run.start()
         if "AKIA" in token:
             found += [(at + m.start(), at + m.end(), 1) for m in ACCESS.finditer(token) if len(m[0]) >= ACCESS_LENGTH]
         if len(token) >= HEX_LENGTH:
             found += [(at + m.start(), at + m.end(), 2) for m in HEX.finditer(token) if len(m[0]) >= HEX_LENGTH]
-        if len(token) >= MIN_LENGTH:
-            long.append((at, run.end(), token))
-    if long:
+    if least is not None:
         base = sorted(found)
         at = 0
-        for start, end, _ in discover(long):
+        for start, end, b, random in tested(text):
+            if b < least or random < REJECT:
+                continue
             while at < len(base) and base[at][1] <= start:
                 at += 1
             if at == len(base) or base[at][0] >= end:
@@ -161,10 +204,12 @@ def secrets(docs: DataFrame) -> DataFrame:
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([docs.schema["doc_id"], T.StructField("spans", T.ArrayType(span)), T.StructField("redacted", T.StringType())])
 
+    least = cut(docs)
+
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         def run(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            spans = [scan(x or "") for x in texts]
+            spans = [scan(x or "", least) for x in texts]
             return {
                 "doc_id": batch.column("doc_id"),
                 "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in row] for row in spans],
@@ -180,11 +225,13 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and spans as text."""
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_random", T.LongType())])
 
+    least = cut(docs)
+
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         said = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
         def run(batch: pa.RecordBatch) -> dict:
-            found = [scan(x or "") for x in batch.column("text").to_pylist()]
+            found = [scan(x or "", least) for x in batch.column("text").to_pylist()]
             base = [said([x for x in row if x[2] < 3]) for row in found]
             return {
                 "doc_id": batch.column("doc_id"),
@@ -200,13 +247,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact_texts(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; all other columns stay."""
+    least = cut(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                texts = [x and redact(x, scan(x)) for x in part.column(place).to_pylist()]
+                texts = [x and redact(x, scan(x, least)) for x in part.column(place).to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
     return docs.mapInArrow(run, docs.schema)
