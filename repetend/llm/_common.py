@@ -50,10 +50,13 @@ def map_slices(df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], di
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a new one where it is unset (as in tests)."""
+    """The checkpoint folder, that of spark.checkpoint.dir. Where it is unset, only a session in one process gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="repetend-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="repetend-"))
     return context.getCheckpointDir()
 
 

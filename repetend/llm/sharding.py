@@ -6,15 +6,17 @@ either stays or jumps to the new one, so only the necessary fraction moves. The
 congruential one of the published algorithm; its products stay exact in 38 decimal digits, so everything is
 DataFrame expressions. A row's slot in its shard is its rank within a salted part of the shard plus the parts before.
 
-Defined results: the key is doc_id; a null doc_id takes key 0; negative ids count as unsigned. Null text has size 8
-and the checksum of no bytes. Equal rows go to one shard and take neighbouring slots. Columns besides doc_id and text
-are ignored; an empty table gives no rows.
+Defined results: the key is doc_id where that is a whole number, negative ones counted as unsigned, else the xxhash64 of
+its string; a null doc_id takes key 0. Null text has size 8 and the checksum of no bytes. Equal rows go to one shard and
+share a part of its slots. The parts follow from id and text together, so many texts of one id are dealt out too. Columns
+besides doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARDS, SALTS = 24, 256
 #: Fixed values of the algorithm.
@@ -41,7 +43,8 @@ def jump(key: Column, shards: int) -> Column:
 
 def shard(docs: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
     """Shard, slot and grown_shard of each row, with its size and checksum."""
-    text, key = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    text, whole = F.coalesce("text", F.lit("")), isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    key = F.coalesce(F.col("doc_id").cast("bigint") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))), F.lit(0).cast("bigint"))
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
@@ -49,7 +52,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFram
         F.lit("key").alias("law"),
         jump(key, shards).alias("shard"),
         jump(key, shards + 1).alias("grown_shard"),
-        F.pmod(key, F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(salts)).cast("int").alias("salt"),
     )
     # a slot needs only its row's small columns, so texts are read once and never shuffled
     counts = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import xxhash
+
 from repetend.llm import sharding
 
 
@@ -37,3 +39,14 @@ def test_odd_rows(odd):
     assert len({(r["shard"], r.slot) for r in rows}) == 10
     assert max(Counter(r["shard"] for r in rows if r.doc_id == 4).values()) == 2
     assert sharding.shard(odd.limit(0)).count() == 0
+
+
+def test_text_ids_and_many_texts_of_one_id(spark, corpus):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z"), ("a", "x"), ("10", None)], "doc_id string, text string")
+    rows = sharding.shard(docs).collect()
+    assert {r.doc_id: r.shard for r in rows} == {k: jump(0 if k is None else xxhash.xxh64_intdigest(k.encode(), 42), 24) for k in ("a", "b", None, "10")}
+    assert all(r.grown_shard in (r.shard, 24) for r in rows)
+    slots = {}
+    for r in sharding.shard(corpus([(None, f"text {i}") for i in range(500)])).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert list(map(sorted, slots.values())) == [list(range(500))]
