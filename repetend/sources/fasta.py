@@ -1,38 +1,57 @@
 """FASTA and FASTQ files as records.
 
-A FASTA file is read by Spark itself with '>' as the record delimiter, so files split and compressed ones decompress
-where Spark does that. The order in a file is kept as an ordinal: the file's name, then the byte order of its splits.
+A FASTA file is read by Spark itself with a line that begins with '>' as the record delimiter, so files split and
+compressed ones decompress where Spark does that. The order in a file is kept as an ordinal: the file's name, then the
+byte order of its splits. Lines may end in CRLF.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repetend.operators import sequences
 
+#: Delimiters of records, without the mark of a file's first record.
+FASTA_BREAK, FASTQ_BREAK = "\n>", "\n@"
+
+
+def fasta_columns(value: Column) -> tuple[Column, Column]:
+    """record_id (first word of the header) and seq of what stands between two record delimiters."""
+    record = F.regexp_replace(value, "^>", "")
+    head = F.regexp_extract(record, r"^([^\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace(record, r"^[^\n]*\n?", ""), r"[\s]+", "")
+    return F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), body.alias("seq")
+
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """record_id (first word of the header), ordinal and seq as it stands, without white space at line ends."""
-    raw = spark.read.option("lineSep", ">").text(path)
-    # the first piece of a file is what stands before the first '>'
-    parts = raw.withColumn("ordinal", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"[\s]+", "")
-    return parts.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), "ordinal", body.alias("seq"))
+    raw = spark.read.option("lineSep", FASTA_BREAK).text(path)
+    # blank lines may stand before the first record
+    parts = raw.withColumn("ordinal", F.monotonically_increasing_id()).filter(F.col("value").rlike(r"\S"))
+    name, seq = fasta_columns(F.col("value"))
+    return parts.select(name, "ordinal", seq)
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """record_id, ordinal and seq of four-line FASTQ records; sequences and qualities stand on one line each."""
-    raw = spark.read.option("lineSep", "\n@").text(path)
-    lines = F.split(F.regexp_replace("value", "^@", ""), "\n")
+    raw = spark.read.option("lineSep", FASTQ_BREAK).text(path)
+    # a quality that begins with the mark is cut off and has too few lines to be a record
+    lines = F.split(F.regexp_replace("value", r"^\s*@", ""), "\n")
     rows = raw.withColumn("ordinal", F.monotonically_increasing_id()).select("ordinal", lines.alias("x")).filter(F.size("x") >= 3)
-    return rows.select(F.regexp_extract(F.get("x", F.lit(0)), r"^\s*(\S*)", 1).alias("record_id"), "ordinal", F.trim(F.get("x", F.lit(1))).alias("seq"))
+    return rows.select(F.regexp_extract(F.get("x", F.lit(0)), r"^\s*(\S*)", 1).alias("record_id"), "ordinal", F.regexp_replace(F.get("x", F.lit(1)), r"^\s+|\s+$", "").alias("seq"))
+
+
+def is_fastq(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether the first line that isn't blank begins with the mark of FASTQ."""
+    first = spark.read.text(path).filter(F.col("value").rlike(r"\S")).first()
+    return first is not None and first["value"].lstrip().startswith("@")
 
 
 def load_records(spark: SparkSession, path: str | list[str], *, min_length: int = sequences.MIN_LENGTH, max_unknown: float = sequences.MAX_UNKNOWN) -> DataFrame:
-    """Normalised records with their status; none is dropped."""
-    return sequences.records(read_fasta(spark, path), min_length=min_length, max_unknown=max_unknown)
+    """Normalised records of FASTA or FASTQ files (all of one kind) with their status; none is dropped."""
+    raw = read_fastq(spark, path) if is_fastq(spark, path) else read_fasta(spark, path)
+    return sequences.records(raw, min_length=min_length, max_unknown=max_unknown)
 
 
 def pair_files(spark: SparkSession, fasta_dir: str, periods_dir: str, *, allow_extra: bool = False) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from repetend.kernels.periodogram import PeriodogramConfig
 from repetend.operators import periodogram, sequences, verdicts
+from repetend.sources import fasta
 
 
 def read_fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Records (record_id, seq) of files that arrive in a folder."""
-    raw = spark.readStream.option("lineSep", ">").text(folder).filter(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\n]*)", 1)
-    return raw.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"))
+    raw = spark.readStream.option("lineSep", fasta.FASTA_BREAK).text(folder).filter(F.col("value").rlike(r"\S"))
+    return raw.select(*fasta.fasta_columns(F.col("value")))
 
 
 def write_verdicts(stream: DataFrame, path: str, checkpoint: str, cfg: PeriodogramConfig = PeriodogramConfig()) -> StreamingQuery:

@@ -249,3 +249,23 @@ def test_stream_of_files(spark, tmp_path):
     query.awaitTermination(60)
     rows = {r.record_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (rows["one"].verdict, rows["one"].founder) == ("simple_tr", 90.0) and rows["two"].reason == "no_clusters"
+
+
+def test_fasta_marks_in_headers_line_ends_and_splits(spark, tmp_path):
+    from repetend.sources import fasta
+
+    rnd = random.Random(1)
+    want = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(rnd.randrange(1, 400)))) for i in range(200)]
+    for end in ("\n", "\r\n"):
+        text = end + "".join(f">{name} len>5 x{end}" + "".join(seq[k : k + 60] + end for k in range(0, len(seq), 60)) for name, seq in want)
+        (tmp_path / "a.fa").write_bytes(text.encode())
+        (tmp_path / "a.fq").write_bytes("".join(f"@{name} x>y{end}{seq}{end}+{end}{'@' * len(seq)}{end}" for name, seq in want).encode())
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                assert [(r.record_id, r.seq) for r in fasta.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("ordinal").collect()] == want
+                assert [(r.record_id, r.seq) for r in fasta.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("ordinal").collect()] == want
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        both = [sorted((r.record_id, r.seq, r.status) for r in fasta.load_records(spark, str(tmp_path / f)).collect()) for f in ("a.fa", "a.fq")]
+        assert both[0] == both[1] and len(both[0]) == 200
