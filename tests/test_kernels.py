@@ -216,3 +216,17 @@ def test_homology():
     turned = motifs.reverse_complement(unit)
     assert np.array_equal(homology.sketches(symbols.codes(unit), 80, 0, 5), homology.sketches(symbols.codes(turned), 80, 0, 5))
     assert homology.probe(symbols.codes((unit + dna(rnd, 80)) * 20), 80, homology.HomologyConfig(floor=0)).n_subtypes == 2
+
+
+def test_least_rotation_of_short_and_long_words():
+    from repetend.kernels import motifs
+
+    rnd = random.Random(2)
+    for n in [*range(12), 5000]:
+        for letters in ("AC", "ACGT", "A"):
+            for _ in range(40 if n < 12 else 1):
+                word = "".join(rnd.choice(letters) for _ in range(n))
+                every = [s[i:] + s[:i] for s in (word, motifs.reverse_complement(word)) for i in range(n)]
+                assert motifs.canonical(word) == min(every, default="")
+    word = "".join(rnd.choice("ACGT") for _ in range(6000))
+    assert motifs.canonical(word) == motifs.canonical(word[4321:] + word[:4321])
