@@ -6,7 +6,8 @@ prototype bundles all its training texts. A text gets the language whose prototy
 vector. Vectors follow from a seed, so executors make them alike.
 
 Training counts each language's trigrams over every training document; bundling is linear, so the prototype comes from
-the counts. The counts have at most SYMBOLS ** 3 rows a language, whatever the corpus holds.
+the counts, which are bundled where they are: DIMENSIONS numbers a language come to the driver, whatever the corpus holds.
+reject() needs the counts themselves, at most SYMBOLS ** 3 rows a language.
 
 reject() decides on the gain, not on the cosine: the mean over a text's trigrams of the log of their chance in a language
 over the even chance of 1 / SYMBOLS ** 3, from the same counts. A cosine falls with a text's length as with its being foreign, so
@@ -131,6 +132,22 @@ def count_trigrams(training: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def sum_vectors(training: DataFrame, dimensions: int, seed: int) -> DataFrame:
+    """lang, place, value: sums of the vectors of all training texts, bundled where the texts are; whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = np.asarray(batch.column("gram"))
+            n, names = np.asarray(batch.column("n")), np.asarray(batch.column("lang").to_pylist(), object)
+            for name in sorted(set(names.tolist())):
+                own = names == name
+                value = bundle(grams[own], n[own], dimensions, seed)
+                yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "place": pa.array(range(dimensions), pa.int32()), "value": value})
+
+    parts = count_trigrams(training).mapInArrow(run, "lang string, place int, value double")
+    return parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
+
+
 def _by_language(counts) -> tuple[list[str], list]:
     """Languages in order of name and the counted rows of each."""
     names = sorted(counts["lang"].unique())
@@ -139,10 +156,12 @@ def _by_language(counts) -> tuple[list[str], list]:
 
 def prototypes(training: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order of name and their unit vectors."""
-    names, parts = _by_language(count_trigrams(training).toPandas())
+    rows = sum_vectors(training, dimensions, seed).toPandas()  # as many rows a language as there are dimensions
+    names = sorted(rows["lang"].unique())
     vectors = np.zeros((len(names), dimensions))
-    for i, own in enumerate(parts):
-        vectors[i] = bundle(own["gram"].to_numpy(), own["n"].to_numpy(), dimensions, seed)
+    for i, name in enumerate(names):
+        own = rows[rows["lang"] == name]
+        vectors[i, own["place"].to_numpy()] = own["value"].to_numpy()
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return names, vectors / np.where(norms > 0, norms, 1)
 
