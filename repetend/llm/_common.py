@@ -63,13 +63,30 @@ def shared_dir(spark: SparkSession) -> str:
 def reliable(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that all executors share, with its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    kept.checkpointed = kept
+    return kept
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of what reliable() or compact() gave. Nothing may read them again, so what was made of them is kept itself."""
+    for df in frames:
+        file = df.checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def compact(df: DataFrame) -> DataFrame:
     """reliable(df) in partitions of about PART_ROWS small rows, where it has more; few rows make no thousands of tiny files."""
     kept = reliable(df)
-    return kept.coalesce(max(1, -(-kept.count() // PART_ROWS)))
+    small = kept.coalesce(max(1, -(-kept.count() // PART_ROWS)))
+    small.checkpointed = kept
+    return small
 
 
 def row_id_columns(df: DataFrame, wanted: list[str]) -> list[str]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repetend.llm._common import compact, map_slices, reliable, row_id_columns
+from repetend.llm._common import compact, map_slices, release, reliable, row_id_columns
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -96,6 +96,7 @@ def components(pairs: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = compact(pairs.select(F.inline(both)))
     labels = compact(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
+    held = labels
     while True:
         seen = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
         # a root takes the least label that its members have seen, so whole trees hook at once
@@ -105,8 +106,10 @@ def components(pairs: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("to"), F.col("to").alias("far"))
         after = compact(hooked.join(jump, "to", "left").select("node", F.col("root").alias("was"), F.least("to", F.coalesce("far", "to")).alias("root")))
         changed = after.filter("was <> root").limit(1).count()
-        labels = after.select("node", "root")
+        release(held)
+        held, labels = after, after.select("node", "root")
         if not changed:
+            release(edges)
             return labels
 
 
