@@ -335,4 +335,29 @@ SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY n, sta
   list_min(list_concat(list_transform(range(1, n + 1), lambda i: substr(motif || motif, i, n)),
     list_transform(range(1, n + 1), lambda i: substr(repeat(reverse(translate(motif, 'ACGT', 'TGCA')), 2), i, n)))) AS normalized_motif
 FROM kept""",
+    "motif_summary": "WITH RECURSIVE "
+    + ",\n".join((MOTIF_CONTROLS, motif_hits()))
+    + """,
+named AS (
+  SELECT record_id, repeats, "end" - start + 1 AS bp, row_number() OVER (PARTITION BY record_id ORDER BY n, start) AS place,
+    list_min(list_concat(list_transform(range(1, n + 1), lambda i: substr(motif || motif, i, n)),
+      list_transform(range(1, n + 1), lambda i: substr(repeat(reverse(translate(motif, 'ACGT', 'TGCA')), 2), i, n)))) AS form
+  FROM kept),
+forms AS (SELECT record_id, form, min(place) AS place, sum(repeats) AS repeats, sum(bp) AS bp FROM named GROUP BY ALL),
+only_ AS (
+  SELECT * FROM forms f WHERE NOT EXISTS (
+    SELECT 1 FROM forms s WHERE s.record_id = f.record_id AND length(s.form) < length(f.form)
+      AND repeat(s.form, length(f.form) // length(s.form)) = f.form)),
+lead_ AS (SELECT * FROM only_ QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY bp DESC, place DESC) = 1),
+totals AS (SELECT record_id, sum(bp) AS bp FROM only_ GROUP BY record_id),
+regions AS (SELECT record_id, count(*) AS n FROM kept GROUP BY record_id),
+shares AS (
+  SELECT c.record_id, length(c.seq) AS length_bp, l.form, l.repeats, coalesce(r.n, 0) AS n_regions,
+    coalesce(floor(100.0 * CAST(l.bp AS DOUBLE) / length(c.seq) * 100 + 0.5) / 100, 0.0) AS lead_pct, coalesce(floor(100.0 * CAST(t.bp AS DOUBLE) / length(c.seq) * 100 + 0.5) / 100, 0.0) AS total_pct
+  FROM seqs c LEFT JOIN lead_ l USING (record_id) LEFT JOIN totals t USING (record_id) LEFT JOIN regions r USING (record_id))
+SELECT record_id, CAST(length_bp AS INTEGER) AS length_bp, CASE WHEN total_pct >= 30.0 THEN 'yes' ELSE 'no' END AS ssr_flag, form AS dominant_motif, CAST(length(form) AS INTEGER) AS dominant_motif_length,
+  CAST(coalesce(repeats, 0) AS BIGINT) AS dominant_motif_repeats, lead_pct AS dominant_motif_coverage_pct, total_pct AS total_ssr_coverage_pct, 'raw_fallback' AS ssr_method,
+  CAST(NULL AS INTEGER) AS consensus_period_bp, CAST(NULL AS VARCHAR) AS consensus_monomer, form AS ssr_raw_dominant_motif, lead_pct AS ssr_raw_dominant_motif_coverage_pct,
+  total_pct AS ssr_raw_total_coverage_pct, CAST(n_regions AS BIGINT) AS ssr_raw_n_regions
+FROM shares""",
 }

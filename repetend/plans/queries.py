@@ -225,8 +225,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conservation of the columns of each long document, wrapped to 64 symbols."""
     recs = _documents(spark, sf_dir).filter(F.length("seq") >= 640)
-    found = detect.detect(recs, recs.select("record_id", F.lit(64).alias("period_bp"), F.lit(0.9).alias("period_score")))
-    return detect.width_features(found).filter("width_bp = 64").select("record_id", "rows", _six("column_ic"), _six("fraction_conserved_columns"), _six("vertical_edge_rate"))
+    return detect.features_at(recs, 64).select("record_id", "rows", _six("column_ic"), _six("fraction_conserved_columns"), _six("vertical_edge_rate"))
 
 
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
