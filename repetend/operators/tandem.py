@@ -100,6 +100,8 @@ def plan_windows(rows: DataFrame, cfg: TandemConfig = TandemConfig()) -> DataFra
     return rows.withColumn("window_bp", F.get("wins", F.lit(0))["e"] - F.get("wins", F.lit(0))["s"])
 
 
+#: Windows of a record that go to a kernel together.
+GROUP = 32
 WINDOW_PEAK = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("period", T.IntegerType()), T.StructField("score2_norm", T.DoubleType())])
 
 
@@ -108,15 +110,22 @@ def window_peaks(planned: DataFrame, cfg: PeriodogramConfig = PeriodogramConfig(
     schema = T.StructType([T.StructField("record_id", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("i", "s", "e")], T.StructField("wpeaks", T.ArrayType(WINDOW_PEAK))])
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {n: batch.column(n) for n in ("record_id", "i", "s", "e")}
-        rows = zip(*(batch.column(n).to_pylist() for n in ("record_id", "s", "e", "part")), strict=True)
-        found = [kernel.analyze(f"{i}__W_{s}_{e}", symbols.codes(part), cfg)[0] for i, s, e, part in rows]
-        columns = [enumerate(zip(p.period.tolist(), p.share.tolist(), strict=True), 1) for p in found]
-        return out | {"wpeaks": [[{"rank": r, "period": d, "score2_norm": x} for r, (d, x) in c] for c in columns]}
-
-    rows = planned.filter("gate is null").select("record_id", "seq", F.posexplode("wins").alias("i", "x"))
-    rows = rows.select("record_id", "i", "x.s", "x.e", F.substring(F.col("seq"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("part"))
-    return map_records(rows, run, schema, 64)
+        out = {n: [] for n in schema.names}
+        for name, first, own, part in zip(*(batch.column(n).to_pylist() for n in ("record_id", "first", "own", "part")), strict=True):
+            code, begin = symbols.codes(part), own[0]["s"]
+            for i, w in enumerate(own, first):
+                p = kernel.analyze(f"{name}__W_{w['s']}_{w['e']}", code[w["s"] - begin : w["e"] - begin], cfg)[0]
+                found = enumerate(zip(p.period.tolist(), p.share.tolist(), strict=True), 1)
+                for n, value in zip(schema.names, (name, i, w["s"], w["e"], [{"rank": r, "period": d, "score2_norm": x} for r, (d, x) in found]), strict=True):
+                    out[n].append(value)
+        return out
+
+    # neighbouring windows overlap, and to find a place of a long sequence costs its distance: GROUP of them are cut out together
+    groups = F.transform(F.sequence(F.lit(0), F.size("wins") - 1, F.lit(GROUP)), lambda at: F.struct(at.alias("first"), F.slice("wins", at + 1, GROUP).alias("own")))
+    rows = planned.filter("gate is null").select("record_id", "seq", F.inline(groups))
+    begin, end = F.get("own", F.lit(0))["s"], F.get("own", F.size("own") - 1)["e"]
+    rows = rows.select("record_id", "first", "own", F.substring(F.col("seq"), begin + 1, end - begin).alias("part"))
+    return map_records(rows, run, schema, 8)
 
 
 def _contrast(share: Column) -> Column:
