@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repetend.llm import langid, line_dedup, mpeg, packing, quality, secret_scan, sharding, simhash, url_lists, wfst
+from repetend.llm import filter_audit, langid, line_dedup, merge_replay, mpeg, packing, quality, secret_scan, sharding, simhash, url_lists, wfst
 from repetend.llm._common import table
 
 
@@ -67,6 +67,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "text", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.array_sort("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -78,6 +86,8 @@ QUERIES = {
     "op8_jump_sharding": op8_jump_sharding,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merge_replay": op12_merge_replay,
 }
 #: SQL that gives the same rows; the other queries hash or compute what SQL can't, and are held against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -108,5 +118,39 @@ met AS (
     ON (c.host = s.pattern OR c.host LIKE '%.' || s.pattern OR (c.part <> '' AND c.host || '/' || c.part = s.pattern))
     AND c.day >= s.since AND (s.until IS NULL OR c.day < s.until))
 SELECT page_id, url, day, host, pattern IS NOT NULL AS blocked, pattern, category, since, n_active FROM met WHERE r = 1
+""",
+    "op11_filter_audit": r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)
+      + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INTEGER)
+      + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+      + 16 * coalesce(CAST(split.doc_id > min(split.doc_id) OVER (PARTITION BY t) AS INTEGER), 0) AS mask
+  FROM split LEFT JOIN marks USING (doc_id)),
+groups AS (SELECT part, mask, count(*) AS n, sum(n_good) AS n_good, sum(n_toxic) AS n_toxic FROM (SELECT part, mask, good AS n_good, toxic AS n_toxic FROM failed) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM orders, range(1, 6) AS r(step)),
+counts AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (before + own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n_good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM groups, steps GROUP BY part, filter_order, step, own, before)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts
 """,
 }
