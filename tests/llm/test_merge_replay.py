@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -30,39 +31,63 @@ def texts(rnd, n):
 def test_as_the_library(ranks):
     rnd = random.Random(2)
     rows = [*texts(rnd, 3000), "", " ", "a" * 5000, "ab" * 3000 + " " * 700, "<|endoftext|>", "1" * 999]
-    encode, own = merge_replay.encoder(), library(ranks)
+    encode, own = merge_replay.Encoder().encode, library(ranks)
     for at in range(0, len(rows), 100):
-        assert encode(rows[at : at + 100]) == [own.encode_ordinary(x) for x in rows[at : at + 100]]
+        assert [x.tolist() for x in encode(rows[at : at + 100])] == [own.encode_ordinary(x) for x in rows[at : at + 100]]
 
 
 def test_ranks_in_any_order():
     """Ranks that no training gives: a merge may make a pair of smaller rank, and tokens no merge reaches."""
     rnd = random.Random(4)
-    waited = 0
-    for _ in range(150):
+    waited = odd = 0
+    for _ in range(300):
         made = {bytes([b]) for b in range(256)}
         more = list({"".join(rnd.choice("ab") for _ in range(rnd.randrange(2, 6))).encode() for _ in range(rnd.randrange(1, 25))})
         rnd.shuffle(more)
         order = list(range(256, 256 + len(more)))
         rnd.shuffle(order)
         ranks = {b: i for i, b in enumerate(sorted(made))} | dict(zip(more, order, strict=True))
-        merges = merge_replay.merges_of(ranks)
+        vocabulary = merge_replay.Vocabulary(ranks)
         words = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 40))) for _ in range(30)]
         own = library(ranks)
-        got = merge_replay.replay([w.encode() for w in words], ranks, merges)
-        for word, ids in zip(words, got, strict=True):
+        raw = [w.encode() for w in words]
+        ids, sizes = merge_replay.replay(raw, vocabulary)
+        held = merge_replay._Words(raw, vocabulary)
+        held.replay()
+        odd += int(held.odd.sum())
+        got = np.split(ids, np.cumsum(sizes)[:-1])
+        for word, one, slow in zip(words, got, merge_replay.in_turn(raw, vocabulary), strict=True):
             if word.encode() not in ranks:
-                assert ids == own.encode_ordinary(word)
+                assert one.tolist() == own.encode_ordinary(word) == slow
                 waited += 1
-    assert waited > 1000
+    assert waited > 1000 and odd > 100
 
 
 def test_a_table_that_is_emptied_gives_the_same(ranks, monkeypatch):
     rows, own = [*texts(random.Random(6), 300)], library(ranks)
     monkeypatch.setattr(merge_replay, "TABLE_BYTES", 0)
-    encode = merge_replay.encoder()
+    encode = merge_replay.Encoder().encode
     for at in range(0, 300, 7):
-        assert encode(rows[at : at + 7]) == [own.encode_ordinary(x) for x in rows[at : at + 7]]
+        assert [x.tolist() for x in encode(rows[at : at + 7])] == [own.encode_ordinary(x) for x in rows[at : at + 7]]
+
+
+def test_splits():
+    """The spelt-out pattern against the module that knows Unicode's kinds, on all code points."""
+    import regex
+
+    want, split = regex.compile(public_tokenizers.PATTERN).findall, merge_replay.splitter(public_tokenizers.PATTERN)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]):
+        text = f"a{c}{c}1 {c}'s{c} \n{c}"
+        assert split(text) == want(text)
+    upper = r"\p{Lu}+|[^\p{Lu}]+"
+    assert merge_replay.splitter(upper)("abCDÉ1") == ["ab", "CDÉ", "1"]
+
+
+def test_no_words():
+    encode = merge_replay.Encoder().encode
+    assert [x.tolist() for x in encode(["", ""])] == [[], []] and encode([]) == []
+    ids, sizes = merge_replay.replay([], merge_replay.vocabulary())
+    assert len(ids) == len(sizes) == 0
 
 
 def digests(rows, own):
