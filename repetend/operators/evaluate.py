@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repetend.operators.running import ranged, running
+from repetend.operators.shared import checkpointed
+
 
 def accuracy(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """Share of right classes by category; a record without a result is wrong. manifest: record_id, category, expected; found: record_id, class."""
@@ -23,20 +26,29 @@ def fold_accuracy(manifest: DataFrame, found: DataFrame, folds: int = 5, hash_co
 
 
 def union_intervals(spans: DataFrame, key: list[str]) -> DataFrame:
-    """Joined spans (half-open start, end) of each key; touching spans become one."""
-    own = Window.partitionBy(*key)
-    before = F.max("end").over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.select(*key, "start", "end").filter("end > start").withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("new").over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
+    """Joined spans (half-open start, end) of each key; touching spans become one. A key of any size spreads over tasks."""
+    rows = ranged(spans.select(*key, "start", "end").filter("end > start"), key, ["start", "end"])
+    seen = running(rows, key, ["start", "end"], maxima={"before": "end"}, before=True)
+    new = checkpointed(seen.withColumn("new", F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).drop("before"))
+    runs = running(new, key, ["start", "end"], sums={"run": "new"})
+    return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
 
 
 def occupancy(spans: DataFrame, hosts: DataFrame, key: list[str]) -> DataFrame:
-    """Share of each host span (h_start, h_end) that the joined spans of its key cover."""
-    joined = union_intervals(spans, key)
-    met = hosts.join(joined, key, "left")
-    part = F.greatest(F.lit(0), F.least("end", "h_end") - F.greatest("start", "h_start"))
-    return met.groupBy(*key, "h_start", "h_end").agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered")).withColumn("share", F.when(F.col("h_end") > F.col("h_start"), F.col("covered") / (F.col("h_end") - F.col("h_start"))))
+    """Share of each host span (h_start, h_end) that the joined spans of its key cover.
+
+    Both ends of a host are looked up among the joined spans in one sorted run: what is covered up to a place is the
+    length of all spans that begin before it, less what the last of them reaches beyond. No host meets a span.
+    """
+    joined = union_intervals(spans, key).select(*key, F.col("start").alias("pos"), F.lit(1).alias("side"), (F.col("end") - F.col("start")).alias("length"), F.col("end").alias("reach"))
+    ends = F.array(*[F.struct(F.col(c).cast("bigint").alias("pos"), F.lit(c).alias("which")) for c in ("h_start", "h_end")])
+    points = hosts.select(*key, "h_start", "h_end").distinct().select(*key, "h_start", "h_end", F.inline(ends)).withColumn("side", F.lit(0))
+    both = ranged(joined.unionByName(points, allowMissingColumns=True), key, ["pos", "side"])
+    found = running(both, key, ["pos", "side"], sums={"begun": "length"}, maxima={"furthest": "reach"}).filter("side = 0")
+    covered = F.col("begun") - F.greatest(F.coalesce(F.col("furthest") - F.col("pos"), F.lit(0)), F.lit(0))
+    at = lambda which: F.max(F.when(F.col("which") == which, covered))
+    each = found.groupBy(*key, "h_start", "h_end").agg(F.greatest(at("h_end") - at("h_start"), F.lit(0)).cast("bigint").alias("covered"))
+    return each.withColumn("share", F.when(F.col("h_end") > F.col("h_start"), F.col("covered") / (F.col("h_end") - F.col("h_start"))))
 
 
 def harmonic_family(peaks: DataFrame, tol: float = 0.02, most: int = 20) -> DataFrame:
@@ -54,14 +66,15 @@ def lift(spans: DataFrame, indels: DataFrame) -> DataFrame:
     """Spans (record_id, start, len) moved by insertions and deletions (record_id, at, delta) before and inside them.
 
     An indel before a span moves its start; one at its start or inside changes its length, which stays at least 0. Ends
-    of spans and indels are sorted together and summed along, so no span meets every indel of its record.
+    of spans and indels are sorted together and summed along, so no span meets every indel of its record, and a record
+    of any number of them spreads over tasks.
     """
-    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("side")), F.struct((F.col("start") + F.col("len")).alias("pos"), F.lit(1).alias("side")))
+    ends = F.array(F.struct(F.col("start").cast("bigint").alias("pos"), F.lit(0).alias("side")), F.struct((F.col("start") + F.col("len")).cast("bigint").alias("pos"), F.lit(1).alias("side")))
     points = spans.select("record_id", "start", "len", F.inline(ends)).withColumn("delta", F.lit(0).cast("bigint"))
     changes = indels.select("record_id", F.col("at").cast("bigint").alias("pos"), F.lit(2).alias("side"), F.col("delta").cast("bigint").alias("delta"))
     # at one place ends stand before indels: those count as inside
-    order = Window.partitionBy("record_id").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
-    summed = points.unionByName(changes, allowMissingColumns=True).withColumn("sum", F.sum("delta").over(order)).filter("side < 2")
+    rows = ranged(points.unionByName(changes, allowMissingColumns=True), ["record_id"], ["pos", "side"])
+    summed = running(rows, ["record_id"], ["pos", "side"], sums={"sum": "delta"}).filter("side < 2")
     at = lambda side: F.max(F.when(F.col("side") == side, F.col("sum")))
     out = summed.groupBy("record_id", "start", "len").agg(at(0).alias("before"), at(1).alias("within"))
     length = F.col("len") + F.col("within") - F.col("before")

@@ -82,19 +82,25 @@ def distance_histogram_sql(recs: DataFrame, k: int = 6) -> DataFrame:
     return words.select("record_id", (F.col("at") - before).alias("d")).filter("d is not null").groupBy("record_id", "d").agg(F.count("*").alias("h"))
 
 
-def periodograms(recs: DataFrame, cfg: PeriodogramConfig = PeriodogramConfig(), *, profiles: bool = False) -> DataFrame:
-    """record_id, length_bp and peaks (array, in order of rank) of each record; with profiles also profile and background."""
+def periodograms(recs: DataFrame, cfg: PeriodogramConfig = PeriodogramConfig(), *, profiles: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """record_id, length_bp and peaks (array, in order of rank) of each record; with profiles also profile and background.
+
+    Columns of recs named in keep go along.
+    """
     fields = [T.StructField("record_id", T.StringType()), T.StructField("length_bp", T.IntegerType()), T.StructField("peaks", T.ArrayType(PEAK))]
     if profiles:
         fields += [T.StructField("profile", T.ArrayType(T.DoubleType())), T.StructField("background", T.ArrayType(T.DoubleType()))]
 
+    fields += [recs.schema[c] for c in keep]
+
     def run(batch: pa.RecordBatch) -> dict:
         ids, seqs = batch.column("record_id").to_pylist(), [symbols.codes(s or "") for s in batch.column("seq").to_pylist()]
         found = [kernel.analyze(i or "", s, cfg) for i, s in zip(ids, seqs, strict=True)]
         out = {"record_id": ids, "length_bp": [len(s) for s in seqs], "peaks": [peak_rows(p) for p, *_ in found]}
-        return out | ({"profile": [p for _, p, _ in found], "background": [b for *_, b in found]} if profiles else {})
+        out |= {"profile": [p for _, p, _ in found], "background": [b for *_, b in found]} if profiles else {}
+        return out | {c: batch.column(c) for c in keep}
 
-    return map_records(recs.select("record_id", "seq"), run, T.StructType(fields))
+    return map_records(recs.select("record_id", "seq", *keep), run, T.StructType(fields))
 
 
 def long_peaks(pgrams: DataFrame) -> DataFrame:

@@ -92,10 +92,14 @@ def diversity(recs: DataFrame, k: int = 6) -> DataFrame:
     return agg.select("record_id", "distinct", (F.col("distinct") / F.col("length_bp")).alias("distinct_per_bp"), (F.log2("total") - F.col("weighted") / F.col("total")).alias("entropy_bits"), (F.col("single") / F.col("distinct")).alias("singleton_share"))
 
 
+def from_text_column(text: Column, *, unknown: bool = False) -> Column:
+    """Prose as a sequence: letters map to A, C, G, T in turn; other characters go, or become N."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _ALPHABET, _AS_SYMBOLS), "[^ACGT]", "N" if unknown else "")
+
+
 def from_text(table: DataFrame, key: str, text: str = "text", *, unknown: bool = False) -> DataFrame:
-    """Prose as sequences: letters map to A, C, G, T in turn; other characters go, or become N."""
-    mapped = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ALPHABET, _AS_SYMBOLS)
-    return table.select(F.col(key).cast("string").alias("record_id"), F.regexp_replace(mapped, "[^ACGT]", "N" if unknown else "").alias("seq"))
+    """Prose as sequences, see from_text_column."""
+    return table.select(F.col(key).cast("string").alias("record_id"), from_text_column(F.col(text), unknown=unknown).alias("seq"))
 
 
 def from_events(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

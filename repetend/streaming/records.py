@@ -11,9 +11,10 @@ from repetend.operators import periodogram, sequences, verdicts
 from repetend.sources import fasta
 
 
-def read_fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Records (record_id, seq) of files that arrive in a folder."""
-    raw = spark.readStream.option("lineSep", fasta.FASTA_BREAK).text(folder).filter(F.col("value").rlike(r"\S"))
+def read_fasta_stream(spark: SparkSession, folder: str, *, max_files: int | None = None) -> DataFrame:
+    """Records (record_id, seq) of files that arrive in a folder; max_files of them at most make a micro-batch."""
+    reader = spark.readStream.option("lineSep", fasta.FASTA_BREAK)
+    raw = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(folder).filter(F.col("value").rlike(r"\S"))
     return raw.select(*fasta.fasta_columns(F.col("value")))
 
 

@@ -66,6 +66,7 @@ def test_the_rest_works_without_the_corpus_package():
         import shutil
 
         shutil.copytree(root / "repetend", f"{folder}/repetend", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copytree(root / "jobs", f"{folder}/jobs")
         shutil.copy(root / "__spark_entry__.py", folder)
         code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
         assert subprocess.run([sys.executable, "-c", code], cwd=folder, env={"PATH": "/usr/bin"}).returncode == 0
