@@ -4,14 +4,13 @@ How often equal k-mers follow one another at a distance is summed over all array
 number of places where arrays are long enough for it. Local maxima of that are the cohort's peaks; they are scored as
 peaks of one array are.
 
-    OUTPUT/spectrum/cohort=C    d, h, places, rate
-    OUTPUT/peaks/cohort=C       rank, period, peak_height, n_arrays, score, score2_norm
+    OUTPUT/cohort=C    d, h, places, n_arrays, rate, and of peaks rank and score2_norm
 
-Histograms are summed by cohort and distance while still in the task that makes them, so what is shuffled depends on
-cohorts and distances and not on rows: a cohort that holds most of the table is no hot key. Places come from counts of
-lengths by running sums that spread over ranges. Both tables are written with dynamic overwrite: a run replaces the
-cohorts that it works out and leaves others, and the same run again gives the same files' rows, as all sums are whole
-numbers. Peaks are made of the spectrum as it was written.
+The row of distance 0 holds the cohort's arrays and k-mers. Histograms are summed by cohort and distance while still in
+the task that makes them, so what is shuffled depends on cohorts and distances and not on rows: a cohort that holds
+most of the table is no hot key. Places come from counts of lengths by running sums that spread over ranges. The table
+is written with dynamic overwrite: a run replaces the cohorts that it works out, each of which has a row at least, and
+leaves others. The same run again gives the same rows, as everything that is summed is a whole or decimal number.
 
     python -m jobs.pooled_periods --source TABLE --output FOLDER [--config FILE]
 """
@@ -27,10 +26,12 @@ from pyspark.sql import functions as F
 
 from jobs import arrays, command, configured, log
 from repetend.operators import periodogram
+from repetend.operators.long_records import local_maxima
 from repetend.operators.running import ranged, running
+from repetend.operators.shared import checkpointed
 
 CONFIG = Path(__file__).with_suffix(".toml")
-TABLES = ("spectrum", "peaks")
+COLUMNS = "d int, h long, places long, n_arrays long, rate double, rank int, score2_norm double, cohort string"
 
 
 @dataclass(frozen=True)
@@ -51,60 +52,54 @@ def places(distances: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     An array with n k-mers has n - d of them. Longer arrays come first along the order, so both sums run over those
     that are long enough.
     """
-    counts = lengths.withColumn("words", F.col("length_bp") - k + 1).filter("words > 0")
+    counts = lengths.withColumn("words", (F.col("length_bp") - k + 1).cast("bigint")).filter("words > 0")
     # at one place distances stand before lengths: an array must be longer
     rows = counts.select("cohort", (-F.col("words")).cast("bigint").alias("pos"), F.lit(1).alias("side"), F.col("n").alias("n"), (F.col("n") * F.col("words")).alias("words"))
     asked = distances.select("cohort", (-F.col("d")).cast("bigint").alias("pos"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("words"), *[c for c in distances.columns if c != "cohort"])
     both = ranged(rows.unionByName(asked, allowMissingColumns=True), ["cohort"], ["pos", "side"])
     summed = running(both, ["cohort"], ["pos", "side"], sums={"n_arrays": "n", "sum_words": "words"}).filter("side = 0")
-    return summed.select(*distances.columns, "n_arrays", (F.col("sum_words") - F.col("n_arrays") * F.col("d")).alias("places"))
+    return summed.select(*[F.col(c).cast(kind) for c, kind in distances.dtypes], "n_arrays", (F.col("sum_words") - F.col("n_arrays") * F.col("d")).alias("places"))
 
 
 def spectrum(recs: DataFrame, k: int) -> DataFrame:
     """cohort, d, h, n_arrays, places and rate of arrays (cohort, seq)."""
     pooled = periodogram.distance_histogram(recs.select(F.col("cohort").alias("record_id"), "seq"), k)
-    found = pooled.groupBy(F.col("record_id").alias("cohort"), "d").agg(F.sum("h").alias("h"))
     lengths = recs.groupBy("cohort", F.length("seq").alias("length_bp")).agg(F.count("*").alias("n"))
+    none = lengths.select("cohort", F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("h")).distinct()
+    found = pooled.groupBy(F.col("record_id").alias("cohort"), "d").agg(F.sum("h").alias("h")).unionByName(none)
     return places(found, lengths, k).withColumn("rate", F.col("h") / F.greatest("places", F.lit(1)))
 
 
-def peaks(pooled: DataFrame, cfg: Config) -> DataFrame:
-    """Ranked local maxima of each cohort's rate; absent distances have the rate 0.
-
-    A cohort has at most as many rows as its longest array has symbols.
-    """
-    own = Window.partitionBy("cohort").orderBy("d")
-    beside = lambda f, step: F.when(f("d").over(own) == F.col("d") + step, f("rate").over(own)).otherwise(0.0)
-    tops = pooled.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)}).filter("rate > below and rate > above and d > 1")
-    score2 = tops.withColumn("score2", F.col("rate") * F.log2("d"))
-    share = F.col("score2") / F.sum("score2").over(Window.partitionBy("cohort").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shared = score2.withColumn("score2_norm", share).filter(F.col("score2_norm") > cfg.least_share)
+def ranked(pooled: DataFrame, cfg: Config) -> DataFrame:
+    """The rows with rank and share of the score of peaks: local maxima of the rate, where absent distances have 0."""
+    # decimals add up to the same in any order
+    score = (F.col("rate") * F.log2("d")).cast("decimal(38,18)")
+    tops = local_maxima(pooled.filter("d > 0"), "cohort", "d", "rate").filter("d > 1").select("cohort", "d", score.alias("score2"))
+    total = tops.groupBy("cohort").agg(F.sum("score2").cast("double").alias("total"))
+    shared = tops.join(total, "cohort").withColumn("score2_norm", F.col("score2").cast("double") / F.col("total")).filter(F.col("score2_norm") > cfg.least_share)
+    # a cohort has fewer of these than its least share has parts
     rank = F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc("score2"), "d"))
-    ranked = shared.withColumn("rank", rank).filter(F.col("rank") <= cfg.top)
-    return ranked.select("cohort", "rank", F.col("d").alias("period"), F.col("h").alias("peak_height"), "n_arrays", F.col("rate").alias("score"), "score2_norm")
+    best = shared.select("cohort", "d", rank.alias("rank"), "score2_norm").filter(F.col("rank") <= cfg.top)
+    return pooled.join(best, ["cohort", "d"], "left")
 
 
-def run(spark: SparkSession, source: str, output: str, cfg: Config = Config()) -> dict[str, int]:
-    """Work the cohorts out; rows written of each table."""
+def run(spark: SparkSession, source: str, output: str, cfg: Config = Config()) -> int:
+    """Work the cohorts out; rows that the table has then."""
     table = spark.read.parquet(source)
     cohort = F.coalesce(F.col(cfg.cohort).cast("string"), F.lit(""))
     table = table.filter(cohort.isin(list(cfg.cohorts))) if cfg.cohorts else table
     recs = arrays(table, cfg.key, cfg.text, cfg.alphabet, cohort.alias("cohort"))
 
-    write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cohort").parquet(f"{output}/{name}")
-    write(spectrum(recs, cfg.k).repartition("cohort", F.col("d") % 16), "spectrum")
-    fresh = read(spark, output, "spectrum")
-    fresh = fresh.filter(F.col("cohort").isin(list(cfg.cohorts))) if cfg.cohorts else fresh
-    write(peaks(fresh, cfg), "peaks")
-    kept = {t: read(spark, output, t).count() for t in TABLES}
-    log.info("%s: read %d rows; %s now hold %s rows", source, table.count(), output, kept)
+    found = ranked(checkpointed(spectrum(recs, cfg.k)), cfg).select("d", "h", "places", "n_arrays", "rate", "rank", "score2_norm", "cohort")
+    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cohort").parquet(output)
+    kept = read(spark, output).count()
+    log.info("%s: took %d arrays; %s has %d rows", source, table.count(), output, kept)
     return kept
 
 
-def read(spark: SparkSession, output: str, table: str) -> DataFrame:
-    """A table as it stands; the empty cohort's folder has the name that Spark gives to null."""
-    kinds = {"spectrum": "d int, h long, n_arrays long, places long, rate double, cohort string", "peaks": "rank int, period int, peak_height long, n_arrays long, score double, score2_norm double, cohort string"}
-    return spark.read.schema(kinds[table]).parquet(f"{output}/{table}").fillna({"cohort": ""})
+def read(spark: SparkSession, output: str) -> DataFrame:
+    """The table as it stands; the empty cohort's folder has the name that Spark gives to null."""
+    return spark.read.schema(COLUMNS).parquet(output).fillna({"cohort": ""})
 
 
 def main() -> None:
@@ -112,7 +107,7 @@ def main() -> None:
         cfg = configured(Config, args.config)
         run(spark, args.source, args.output, cfg)
 
-    command("pooled_periods: repeat periods that the arrays of a cohort share", {"source": "table of arrays", "output": "folder of both tables"}, CONFIG, job)
+    command("pooled_periods: repeat periods that the arrays of a cohort share", {"source": "table of arrays", "output": "folder of the result"}, CONFIG, job)
 
 
 if __name__ == "__main__":

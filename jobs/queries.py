@@ -33,12 +33,12 @@ def job1_screen_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job2_pooled_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks of the pooled periodogram of each language's documents."""
+    """The pooled periodogram of each language's documents with its ranked peaks."""
     folder, cfg = _folder(spark, "job2"), configured(pooled_periods.Config, pooled_periods.CONFIG)
     for _ in range(2):
         pooled_periods.run(spark, f"{sf_dir}/documents.parquet", f"{folder}/out", cfg)
-    found = pooled_periods.read(spark, f"{folder}/out", "peaks")
-    return found.select("cohort", "rank", "period", "peak_height", "n_arrays", _six("score"), _six("score2_norm"))
+    found = pooled_periods.read(spark, f"{folder}/out")
+    return found.select("cohort", "d", "h", "places", "n_arrays", _six("rate"), "rank", _six("score2_norm"))
 
 
 QUERIES = {"job1_screen_arrays": job1_screen_arrays, "job2_pooled_periods": job2_pooled_periods}
@@ -56,16 +56,19 @@ FROM seqs JOIN verdicts v USING (record_id) LEFT JOIN periods USING (record_id)"
 cohorts AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, coalesce(lang, '') AS cohort FROM documents),
 pooled AS (SELECT cohort, d, sum(h) AS h FROM hist JOIN cohorts USING (record_id) GROUP BY cohort, d),
 lengths AS (SELECT cohort, length(seq) - 5 AS words, count(*) AS n FROM seqs JOIN cohorts USING (record_id) WHERE length(seq) > 5 GROUP BY ALL),
+asked AS (SELECT cohort, d, h FROM pooled UNION ALL SELECT DISTINCT cohort, 0, 0 FROM cohorts),
 spectrum AS (
-  SELECT p.cohort, d, h, sum(n) AS n_arrays, h / greatest(sum(n * (words - d)), 1)::DOUBLE AS rate
-  FROM pooled p JOIN lengths l ON p.cohort = l.cohort AND words > d GROUP BY p.cohort, d, h),
+  SELECT p.cohort, d, h, coalesce(sum(n), 0) AS n_arrays, coalesce(sum(n * (words - d)), 0) AS places
+  FROM asked p LEFT JOIN lengths l ON p.cohort = l.cohort AND words > d GROUP BY p.cohort, d, h),
+rated AS (SELECT *, h / greatest(places, 1)::DOUBLE AS rate FROM spectrum),
 around AS (
   SELECT *, CASE WHEN lag(d) OVER w = d - 1 THEN lag(rate) OVER w ELSE 0 END AS below, CASE WHEN lead(d) OVER w = d + 1 THEN lead(rate) OVER w ELSE 0 END AS above
-  FROM spectrum WINDOW w AS (PARTITION BY cohort ORDER BY d)),
-scored AS (SELECT *, rate * log2(d) AS s FROM around WHERE rate > below AND rate > above AND d > 1),
-shared AS (SELECT *, s / sum(s) OVER (PARTITION BY cohort) AS score2_norm FROM scored)
-SELECT * FROM (
-  SELECT cohort, CAST(row_number() OVER (PARTITION BY cohort ORDER BY s DESC, d) AS INTEGER) AS rank, CAST(d AS INTEGER) AS period,
-    CAST(h AS BIGINT) AS peak_height, CAST(n_arrays AS BIGINT) AS n_arrays, {oracles.rounded("rate", "score")}, {oracles.rounded("score2_norm")}
-  FROM shared WHERE score2_norm > 0.001) WHERE rank <= 50""",
+  FROM rated WINDOW w AS (PARTITION BY cohort ORDER BY d)),
+scored AS (SELECT *, CAST(rate * log2(d) AS DECIMAL(38, 18)) AS s FROM around WHERE rate > below AND rate > above AND d > 1),
+shared AS (SELECT *, CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY cohort) AS DOUBLE) AS score2_norm FROM scored),
+best AS (
+  SELECT cohort, d, score2_norm, row_number() OVER (PARTITION BY cohort ORDER BY s DESC, d) AS rank FROM shared WHERE score2_norm > 0.001)
+SELECT r.cohort, CAST(r.d AS INTEGER) AS d, CAST(h AS BIGINT) AS h, CAST(places AS BIGINT) AS places, CAST(n_arrays AS BIGINT) AS n_arrays, {oracles.rounded("rate")},
+  CAST(rank AS INTEGER) AS rank, {oracles.rounded("score2_norm")}
+FROM rated r LEFT JOIN best b ON r.cohort = b.cohort AND r.d = b.d AND rank <= 50""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,29 @@ def histogram(code: np.ndarray, k: int) -> np.ndarray:
     return np.bincount(symbols.neighbours(symbols.words(code, k))[1], minlength=len(code) + 1).astype(np.float64)
 
 
+@dataclass(frozen=True)
+class Part:
+    """What a stretch of a sequence adds: distances within it, and the first and last place of each of its k-mers."""
+
+    distance: np.ndarray
+    count: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def part(code: np.ndarray, k: int) -> Part:
+    word = symbols.words(code, k)
+    places = np.flatnonzero(word >= 0)
+    places = places[np.argsort(word[places], kind="stable")]
+    known = word[places]
+    same = known[1:] == known[:-1]
+    distance, count = np.unique((places[1:] - places[:-1])[same], return_counts=True)
+    heads = np.flatnonzero(np.append(True, ~same)[: len(known)])
+    tails = np.append(heads[1:], len(known))[: len(heads)] - 1
+    return Part(distance, count, known[heads], places[heads], places[tails])
+
+
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; beyond the ends stand zeros."""
     if sigma <= 0:
@@ -53,19 +77,24 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, weights / weights.sum())[reach : reach + len(values)]
 
 
+def random_codes(name: str, counts: np.ndarray, length: int, replicates: int, start: int = 0) -> Iterator[np.ndarray]:
+    """Symbols from start on of each random sequence with these shares of A, C, G and T; its seed follows from the name."""
+    edges = np.cumsum(counts)[:3] / counts.sum()
+    base = symbols.fnv1a(name.encode())
+    seeds = np.array([(base + GOLDEN * (j + 1)) & symbols.MASK or 1 for j in range(replicates)], np.uint64)
+    for states in xorshift.runs(xorshift.skipped(seeds, start), length):
+        u = states.astype(np.float64) / float(symbols.MASK)
+        yield ((u >= edges[0]).astype(np.uint8) + (u >= edges[1]) + (u >= edges[2])).astype(np.uint8)
+
+
 def background(code: np.ndarray, name: str, cfg: PeriodogramConfig) -> np.ndarray:
     """Smoothed envelope of random sequences of the same composition; their seed follows from the name."""
     n = len(code)
     counts = np.bincount(code, minlength=5)[:4]
     if n < cfg.k or cfg.replicates == 0 or not counts.sum():
         return np.zeros(n + 1)
-    edges = np.cumsum(counts)[:3] / counts.sum()
-    base = symbols.fnv1a(name.encode())
-    seeds = np.array([(base + GOLDEN * (j + 1)) & symbols.MASK or 1 for j in range(cfg.replicates)], np.uint64)
     envelope = np.zeros(n + 1)
-    for states in xorshift.runs(seeds, n):
-        u = states.astype(np.float64) / float(symbols.MASK)
-        drawn = ((u >= edges[0]).astype(np.uint8) + (u >= edges[1]) + (u >= edges[2])).astype(np.uint8)
+    for drawn in random_codes(name, counts, n, cfg.replicates):
         np.maximum(envelope, histogram(drawn, cfg.k), out=envelope)
     level = smooth(envelope, cfg.sigma)
     half = slice(0, n // 2 + 1)

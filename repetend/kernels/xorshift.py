@@ -21,6 +21,29 @@ def _step(state: np.ndarray) -> np.ndarray:
     return state ^ (state << _U(17))
 
 
+def _product(table: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """States after the steps that the table stands for."""
+    return np.bitwise_xor.reduce([table[b][(state >> _U(8 * b)) & _U(255)] for b in range(8)])
+
+
+@lru_cache(64)
+def _doubled(power: int) -> np.ndarray:
+    """The table of 2**power steps."""
+    if power == 0:
+        return _step((np.arange(256, dtype=np.uint64)[None, :] << (_U(8) * np.arange(8, dtype=np.uint64))[:, None]).copy())
+    half = _doubled(power - 1)
+    return _product(half, half)
+
+
+def skipped(seeds: np.ndarray, steps: int) -> np.ndarray:
+    """The states a number of steps after each seed; a part of a run can begin there."""
+    state = seeds.astype(np.uint64)
+    for power in range(steps.bit_length()):
+        if steps >> power & 1:
+            state = _product(_doubled(power), state)
+    return state
+
+
 @lru_cache(1)
 def _ahead() -> np.ndarray:
     """Contribution of each value of each of the 8 bytes of a state to the state STRIDE steps later."""
@@ -37,7 +60,7 @@ def runs(seeds: np.ndarray, length: int) -> np.ndarray:
     state = seeds.astype(np.uint64)
     for p in range(parts):
         first[:, p] = state
-        state = np.bitwise_xor.reduce([table[b][(state >> _U(8 * b)) & _U(255)] for b in range(8)])
+        state = _product(table, state)
     out = np.empty((len(seeds), parts, STRIDE), np.uint64)
     for i in range(STRIDE):
         first = _step(first)

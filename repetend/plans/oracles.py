@@ -361,3 +361,5 @@ SELECT record_id, CAST(length_bp AS INTEGER) AS length_bp, CASE WHEN total_pct >
   total_pct AS ssr_raw_total_coverage_pct, CAST(n_regions AS BIGINT) AS ssr_raw_n_regions
 FROM shares""",
 }
+#: The forms for long records give the same rows.
+ORACLE_SQL |= {"kmer_histogram_chunks": ORACLE_SQL["kmer_histogram"], "peaks_chunks": ORACLE_SQL["peaks"]}

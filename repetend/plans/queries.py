@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repetend.kernels.rescoring import RescoreConfig
-from repetend.operators import detect, evaluate, generate, homology, irregularity, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
+from repetend.operators import detect, evaluate, generate, homology, irregularity, long_records, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
 from repetend.operators.periodogram import PeriodogramConfig
 from repetend.plans import pipelines
 from repetend.plans.oracles import ORACLE_SQL as ORACLE_SQL
@@ -56,6 +56,21 @@ def kmer_histogram_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodogram.distance_histogram_sql(_benchmark(spark, sf_dir))
 
 
+#: Symbols of a chunk in the queries: documents are shorter than the chunks of the operator.
+CHUNK = 4096
+
+
+def kmer_histogram_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histogram with records cut into chunks."""
+    return long_records.distance_histogram(_documents(spark, sf_dir), size=CHUNK)
+
+
+def peaks_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same peaks with records cut into chunks, and distances into stretches."""
+    found = long_records.peaks(_documents(spark, sf_dir), PLAIN, CHUNK, CHUNK)
+    return found.select("record_id", "array_length", "rank", "period", "peak_height", _six("score"), _six("score2"), _six("score2_norm"))
+
+
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sequences.diversity(sequences.records(_benchmark(spark, sf_dir)))
     return found.select("record_id", "distinct", _six("distinct_per_bp"), _six("entropy_bits"), _six("singleton_share"))
@@ -302,6 +317,8 @@ QUERIES = {
     "composition": composition,
     "kmer_histogram": kmer_histogram,
     "kmer_histogram_sql": kmer_histogram_sql,
+    "kmer_histogram_chunks": kmer_histogram_chunks,
+    "peaks_chunks": peaks_chunks,
     "diversity": diversity,
     "motif_forms": motif_forms,
     "peaks": peaks,
