@@ -363,3 +363,98 @@ FROM shares""",
 }
 #: The forms for long records give the same rows.
 ORACLE_SQL |= {"kmer_histogram_chunks": ORACLE_SQL["kmer_histogram"], "peaks_chunks": ORACLE_SQL["peaks"]}
+
+ORACLE_SQL["pair_statistics"] = f"""
+WITH rows_ AS (
+  SELECT l_orderkey % 40 AS n, CAST(l_linenumber AS INTEGER) AS rank, CAST(l_linenumber * 7 + 20 AS INTEGER) AS period, 3000 + l_orderkey % 40 * 10 AS len, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+placed AS (SELECT *, len - 2 * period - 10 AS last, l_partkey * 31 % (len - 2 * period - 10 + 1) AS anchor FROM rows_),
+pairs AS (
+  SELECT CAST(n AS VARCHAR) AS record_id, rank, period, last, anchor,
+    (CASE WHEN n % 5 = 0 THEN CASE WHEN anchor * 3 < last THEN q + 900 ELSE q * 3 + 300 END ELSE q * 10 + n % 6 * 100 END) / 1003::DOUBLE AS identity,
+    CAST(l_suppkey % 5 - 2 + CASE WHEN n % 3 = 0 THEN 9 ELSE 0 END AS INTEGER) AS shift
+  FROM placed),
+whole AS (
+  SELECT record_id, rank, period, quantile_cont(identity, 0.25) AS p25, quantile_cont(identity, 0.5) AS p50, quantile_cont(identity, 0.75) AS p75, count(*) AS n,
+    avg(CASE WHEN identity >= 0.7 THEN 1 ELSE 0 END) AS cov, list_sort(list(shift) FILTER (WHERE identity >= 0.5)) AS shifts
+  FROM pairs GROUP BY record_id, rank, period),
+shifted AS (SELECT *, CASE WHEN len(shifts) >= 5 THEN shifts[len(shifts) // 2 + 1] END AS med FROM whole),
+agreed AS (SELECT *, CASE WHEN med IS NOT NULL THEN len(list_filter(shifts, lambda x: abs(x - med) <= 1)) / len(shifts)::DOUBLE END AS agree FROM shifted),
+bins AS (
+  SELECT record_id, rank, period, least(anchor * 10 // (last + 1), 9) AS bin, avg(CASE WHEN identity >= 0.7 THEN 1 ELSE 0 END) AS share
+  FROM pairs WHERE last > 0 GROUP BY ALL HAVING count(*) >= 5),
+spread AS (SELECT record_id, rank, period, max(share) - min(share) AS contrast FROM bins GROUP BY ALL HAVING count(*) >= 2),
+marked AS (SELECT *, abs(med) / period::DOUBLE > 0.05 AND agree >= 0.5 AS phantom FROM agreed LEFT JOIN spread USING (record_id, rank, period)),
+flagged AS (
+  SELECT *, CASE WHEN coalesce(phantom, false) THEN false WHEN contrast IS NOT NULL
+      THEN p75 >= 0.7 AND greatest(p75 - p25, 0) >= 0.15 AND p50 < 0.7 AND cov BETWEEN 0.1 AND 0.5 AND contrast >= 0.4 END AS sub,
+    arg_min(period, rank) FILTER (WHERE p50 >= 0.7 AND NOT coalesce(phantom, false)) OVER (PARTITION BY record_id) AS founder
+  FROM marked)
+SELECT record_id, rank, period, {rounded("p50", "identity_med")}, {rounded("greatest(p75 - p25, 0)", "identity_iqr")}, {rounded("p25", "identity_p25")}, CAST(n AS INTEGER) AS identity_n,
+  med AS shift_med, {rounded("agree", "shift_consistency")}, phantom, {rounded("cov", "coverage_frac")}, {rounded("contrast", "spatial_contrast")},
+  CASE WHEN sub AND period > founder * 0.25 THEN false ELSE sub END AS subrepeat, founder AS founder_period
+FROM flagged"""
+
+ORACLE_SQL["irregularities"] = (
+    chain(CONTROLS, hist(), peaks())
+    + f""",
+base AS (
+  SELECT s.record_id, length(seq) AS n, p.period FROM seqs s LEFT JOIN (SELECT record_id, arg_max(period, (score2_norm, rank)) AS period FROM peaks GROUP BY record_id) p USING (record_id)),
+fit AS (SELECT * FROM base WHERE period > 0 AND n >= 10 * period),
+known AS (SELECT w.record_id, w, i - 1 AS pos FROM words w JOIN fit USING (record_id) WHERE NOT regexp_matches(w, '[^ACGT]')),
+top AS (
+  SELECT record_id, w FROM (
+    SELECT record_id, w, row_number() OVER (PARTITION BY record_id ORDER BY count(*) DESC, w) AS place FROM known GROUP BY record_id, w) WHERE place <= 100),
+copies AS (
+  SELECT k.record_id, k.w, pos, lag(pos) OVER (PARTITION BY k.record_id, k.w ORDER BY pos) AS prior FROM known k JOIN top USING (record_id, w)),
+steps AS (SELECT *, pos - prior AS gap FROM copies WHERE prior IS NOT NULL),
+usual AS (
+  SELECT record_id, w, gap AS usual FROM (
+    SELECT record_id, w, gap, row_number() OVER (PARTITION BY record_id, w ORDER BY count(*) DESC, gap) AS place FROM steps GROUP BY record_id, w, gap)
+  WHERE place = 1 AND (record_id, w) IN (SELECT (record_id, w) FROM copies GROUP BY record_id, w HAVING count(*) >= 3)),
+rated AS (
+  SELECT s.*, u.usual, f.period, f.n, floor(gap / u.usual::DOUBLE + 0.5) AS k FROM steps s JOIN usual u USING (record_id, w) JOIN fit f USING (record_id)
+  WHERE EXISTS (SELECT 1 FROM (VALUES (1.0::DOUBLE), (2.0), (3.0)) AS m(x) WHERE abs(u.usual - m.x * f.period) / (m.x * f.period) <= 0.05)
+    OR EXISTS (SELECT 1 FROM (VALUES (1.0::DOUBLE), (2.0), (3.0), (4.0), (5.0)) AS m(x) WHERE abs(u.usual - f.period / m.x) / (f.period / m.x) <= 0.05)),
+locked AS (
+  SELECT record_id, w FROM rated GROUP BY record_id, w
+  HAVING avg(CASE WHEN k BETWEEN 1 AND 6 AND abs(gap - k * usual) <= 0.05 * greatest(k, 1) * usual THEN 1 ELSE 0 END) >= 0.6),
+n_locked AS (SELECT record_id, count(*) AS n_locked FROM locked GROUP BY record_id),
+phases AS (
+  SELECT record_id, w, ph // 6 AS phase FROM (
+    SELECT c.record_id, c.w, pos % period AS ph, row_number() OVER (PARTITION BY c.record_id, c.w ORDER BY count(*) DESC, pos % period) AS place
+    FROM copies c JOIN locked USING (record_id, w) JOIN fit USING (record_id) GROUP BY c.record_id, c.w, ph) WHERE place = 1),
+n_phases AS (SELECT record_id, count(DISTINCT phase) AS n_phases FROM phases JOIN n_locked USING (record_id) WHERE n_locked >= 3 GROUP BY record_id),
+parts AS (
+  SELECT r.record_id, phase, floor(((prior + pos) // 2) / r.period::DOUBLE) AS bin, gap - k * usual AS rest, k - 1 AS skip
+  FROM rated r JOIN phases USING (record_id, w) JOIN n_phases USING (record_id) WHERE n_phases >= 3 AND k BETWEEN 1 AND 6),
+n_groups AS (SELECT record_id, count(DISTINCT phase) AS n_groups, count(*) AS n_pairs, CAST(sum(skip) AS BIGINT) AS drops, median(rest) AS mid FROM parts GROUP BY record_id),
+noise AS (
+  SELECT record_id, CASE WHEN any_value(n_pairs) < 2 THEN 1.0 ELSE greatest(1.0, 1.4826::DOUBLE * median(abs(rest - mid)) * 3) END AS jitter FROM parts JOIN n_groups USING (record_id) WHERE n_groups >= 3 GROUP BY record_id),
+inner_ AS (SELECT record_id, bin, phase, median(rest) AS m FROM parts GROUP BY record_id, bin, phase),
+shifts AS (SELECT record_id, bin, count(*) AS g, median(m) AS shift, list(m) AS ms FROM inner_ JOIN noise USING (record_id) GROUP BY record_id, bin),
+judged AS (
+  SELECT s.*, abs(shift) >= greatest(jitter, 0.05 * period) AS large,
+    abs(shift) >= greatest(jitter, 0.05 * period) AND g >= greatest(3, ceil(0.5 * n_groups)) AND len(list_filter(ms, lambda x: sign(x) = sign(shift))) / g::DOUBLE >= 0.7 AS passes
+  FROM shifts s JOIN noise USING (record_id) JOIN n_groups USING (record_id) JOIN fit USING (record_id)),
+turned AS (SELECT *, CASE WHEN sign(shift) = lag(sign(shift)) OVER (PARTITION BY record_id ORDER BY bin) THEN 0 ELSE 1 END AS turn FROM judged),
+signed AS (SELECT *, sum(turn) OVER (PARTITION BY record_id ORDER BY bin) AS run FROM turned),
+passing AS (
+  SELECT record_id, run, bin, CASE WHEN bin - lag(bin) OVER w <= 2 THEN 0 ELSE 1 END AS opens FROM signed WHERE passes WINDOW w AS (PARTITION BY record_id, run ORDER BY bin)),
+spans AS (
+  SELECT record_id, run, e, min(bin) AS a, max(bin) AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY record_id, run ORDER BY bin) AS e FROM passing) GROUP BY record_id, run, e),
+events AS (
+  SELECT x.record_id, x.run, e, median(shift) AS shift FROM spans x JOIN signed b ON b.record_id = x.record_id AND b.run = x.run AND b.bin BETWEEN a AND z AND large GROUP BY ALL),
+moved AS (SELECT record_id, count(*) AS n_events, sum(abs(shift)) AS total, max(abs(shift)) AS most, abs(sum(shift)) AS drift FROM events GROUP BY record_id),
+done AS (
+  SELECT b.record_id, b.n, b.period, n_locked, n_phases, n_groups, n_pairs, drops, jitter, n_events, total, most, drift,
+    CASE WHEN b.period IS NULL OR b.period <= 0 THEN 'no_period' WHEN b.n < 10 * b.period THEN 'too_short'
+      WHEN coalesce(n_locked, 0) < 3 OR coalesce(n_phases, 0) < 3 OR coalesce(n_groups, 0) < 3 THEN 'no_register_lock' ELSE 'ok' END AS flag
+  FROM base b LEFT JOIN n_locked USING (record_id) LEFT JOIN n_phases USING (record_id) LEFT JOIN n_groups USING (record_id) LEFT JOIN noise USING (record_id) LEFT JOIN moved USING (record_id))
+SELECT record_id, CAST(n AS INTEGER) AS array_length, CAST(period AS DOUBLE) AS period_p,
+  CAST(CASE WHEN flag IN ('no_period', 'too_short') THEN 0 WHEN coalesce(n_locked, 0) < 3 THEN coalesce(n_locked, 0) WHEN n_phases < 3 THEN n_phases ELSE coalesce(n_groups, 0) END AS INTEGER) AS n_kmer_groups,
+  CASE WHEN flag = 'ok' THEN n_pairs ELSE 0 END AS n_pairs_total, {rounded("CASE WHEN flag = 'ok' THEN jitter END", "baseline_jitter_bp")},
+  CAST(CASE WHEN flag = 'ok' THEN coalesce(n_events, 0) END AS INTEGER) AS indel_event_count, {rounded("CASE WHEN flag = 'ok' THEN coalesce(total, 0) / n::DOUBLE * 100 END", "indel_burden_pct")},
+  {rounded("CASE WHEN flag = 'ok' THEN coalesce(most, 0) END", "indel_max_shift_bp")}, {rounded("CASE WHEN flag = 'ok' THEN coalesce(drift, 0) / n::DOUBLE * 1000 END", "indel_drift_bp_per_kb")},
+  CASE WHEN flag = 'ok' THEN drops END AS dropout_event_count, {rounded("CASE WHEN flag = 'ok' THEN drops / greatest(n_pairs, 1)::DOUBLE END", "dropout_rate_per_pair")}, flag
+FROM done"""
+)

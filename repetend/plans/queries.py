@@ -210,7 +210,9 @@ def class_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def irregularities(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = _controls(spark, sf_dir)
     periods = periodogram.periodograms(recs, PLAIN).select("record_id", periodogram.top_period().alias("period"))
-    return irregularity.scan(recs.join(periods, "record_id", "left"))
+    found = irregularity.scan(recs.join(periods, "record_id", "left"))
+    sixes = ("baseline_jitter_bp", "indel_burden_pct", "indel_max_shift_bp", "indel_drift_bp_per_kb", "dropout_rate_per_pair")
+    return found.withColumns({c: _six(c) for c in sixes}).drop("notes")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +220,24 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rescored_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best peaks of the documents, aligned at 50 anchors."""
+    """All peaks of the controls; the ten best of each are aligned at 200 anchors."""
     recs = _controls(spark, sf_dir)
-    return rescore.rescore(_peaks(recs).filter("rank <= 5"), recs, RescoreConfig(samples=50, max_period=400))
+    return rescore.rescore(_peaks(recs), recs)
+
+
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of pairs made of line items: the order's number gives the record, the line the rank, the part the anchor.
+
+    Every fifth record is alike at its beginning only; every third one's copies are shifted by 7 to 11 places.
+    """
+    record, last = F.col("l_orderkey") % 40, F.col("length_bp") - 2 * F.col("period") - 10
+    rows = _table(spark, sf_dir, "lineitem").select(record.alias("n"), F.col("l_linenumber").cast("int").alias("rank"), (F.col("l_linenumber") * 7 + 20).cast("int").alias("period"), (3000 + record * 10).cast("int").alias("length_bp"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    placed = rows.withColumn("anchor", F.col("l_partkey") * 31 % (last + 1))
+    part = F.when(F.col("anchor") * 3 < last, F.col("q") + 900).otherwise(F.col("q") * 3 + 300)
+    identity = F.when(F.col("n") % 5 == 0, part).otherwise(F.col("q") * 10 + F.col("n") % 6 * 100) / 1003
+    pairs = placed.select(F.col("n").cast("string").alias("record_id"), "rank", "period", "length_bp", "anchor", identity.alias("identity"), (F.col("l_suppkey") % 5 - 2 + F.when(F.col("n") % 3 == 0, 9).otherwise(0)).cast("int").alias("shift"))
+    sixes = ("identity_med", "identity_iqr", "identity_p25", "shift_consistency", "coverage_frac", "spatial_contrast")
+    return rescore.pair_statistics(pairs).withColumns({c: _six(c) for c in sixes})
 
 
 def self_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +357,7 @@ QUERIES = {
     "irregularities": irregularities,
     "reports": reports,
     "rescored_peaks": rescored_peaks,
+    "pair_statistics": pair_statistics,
     "self_matches": self_matches,
     "detections": detections,
     "column_information": column_information,

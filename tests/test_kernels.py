@@ -135,9 +135,10 @@ def test_rescoring_of_known_arrays():
     unit = dna(rnd, 100)
     clean, noise = symbols.codes(unit * 80), symbols.codes(dna(rnd, 8000))
     cfg = rescoring.RescoreConfig()
-    own, other = rescoring.pair_stats(clean, 100, "a", cfg), rescoring.pair_stats(noise, 100, "a", cfg)
+    stats = lambda code, period: rescoring.pair_stats(rescoring.pairs_of(code, [period], "a", cfg)[0], len(code), cfg)
+    own, other = stats(clean, 100), stats(noise, 100)
     assert own.median == 1.0 and own.shift == 0 and not own.phantom and other.median < 0.7
-    assert rescoring.pair_stats(clean, 103, "a", cfg).shift == -3 and rescoring.pair_stats(clean[:150], 100, "a", cfg) is None
+    assert stats(clean, 103).shift == -3 and stats(clean[:150], 100) is None
     assert rescoring.self_match(clean, 100, 0.55, 3) == (1, 7900) and rescoring.self_match(clean[:300], 100, 0.55, 3) is None
     half = symbols.codes(dna(rnd, 4000) + unit * 40)
     assert 0.45 < rescoring.self_match(half, 100, 0.55, 3)[1] / 8000 < 0.56
@@ -230,3 +231,29 @@ def test_least_rotation_of_short_and_long_words():
                 assert motifs.canonical(word) == min(every, default="")
     word = "".join(rnd.choice("ACGT") for _ in range(6000))
     assert motifs.canonical(word) == motifs.canonical(word[4321:] + word[:4321])
+
+
+def test_bands_of_bits_against_the_recurrence():
+    rng = np.random.default_rng(1)
+    for trial in range(50):
+        period = int(rng.integers(20, 700))
+        code = np.tile(rng.integers(0, 4, period), 4).astype(np.uint8) if trial % 2 else rng.integers(0, 4, 4 * period).astype(np.uint8)
+        changed = rng.random(len(code)) < rng.choice((0.0, 0.02, 0.3))
+        code[changed] = rng.integers(0, 5, changed.sum())
+        for _ in range(int(rng.integers(0, 15))):
+            at = int(rng.integers(0, len(code) - 1))
+            code = np.concatenate((code[:at], code[at + 1 :], code[:1]))
+        cfg = rescoring.RescoreConfig(slop=int(rng.choice((0, 1, 10, 20))), band=int(rng.choice((0, 3, 20, 90))))
+        at = rng.integers(cfg.slop, 2 * period - cfg.slop, 20)
+        for got, want in zip(rescoring.distances(code, at, np.full(20, period), cfg), rescoring.align(code, at, period, cfg), strict=True):
+            assert (got == want).all()
+
+
+def test_periods_together_as_each_alone():
+    code = np.random.default_rng(3).integers(0, 5, 9000).astype(np.uint8)
+    for cfg in (rescoring.RescoreConfig(samples=7), rescoring.RescoreConfig(samples=7, gap=2)):
+        periods = [1500, 20, 4490, 300, 301, 21]
+        for p, found in zip(periods, rescoring.pairs_of(code, periods, "x", cfg), strict=True):
+            distance, end = rescoring.align(code, rescoring.anchors(code, p, "x", cfg), p, cfg)
+            assert (found.distance == distance).all() and (found.end == end).all()
+    assert [len(p.at) for p in rescoring.pairs_of(code[:30], [20, 25], "x", rescoring.RescoreConfig())] == [0, 0]
