@@ -9,6 +9,7 @@ from repetend.kernels.motifs import MotifConfig
 from repetend.kernels.periodogram import PeriodogramConfig
 from repetend.kernels.register import RegisterConfig
 from repetend.operators import irregularity, motifs, periodogram, verdicts
+from repetend.operators.shared import checkpointed
 from repetend.operators.sequences import round_half_away
 
 
@@ -32,7 +33,7 @@ def clusters_text(clusters: DataFrame) -> DataFrame:
 
 def report(recs: DataFrame, pcfg: PeriodogramConfig = PeriodogramConfig(), mcfg: MotifConfig = MotifConfig(), rcfg: RegisterConfig = RegisterConfig(), tol: float = 0.015) -> DataFrame:
     """Twenty columns a record; recs has record_id and seq as read."""
-    pgrams = periodogram.periodograms(recs, pcfg).persist()
+    pgrams = checkpointed(periodogram.periodograms(recs, pcfg))
     found = clusters_text(verdicts.clusters(periodogram.long_peaks(pgrams), tol))
     periods = pgrams.select("record_id", periodogram.top_period().alias("top_period"))
     with_period = recs.select("record_id", "seq").join(periods, "record_id", "left")

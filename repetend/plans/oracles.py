@@ -458,3 +458,52 @@ SELECT record_id, CAST(n AS INTEGER) AS array_length, CAST(period AS DOUBLE) AS
   CASE WHEN flag = 'ok' THEN drops END AS dropout_event_count, {rounded("CASE WHEN flag = 'ok' THEN drops / greatest(n_pairs, 1)::DOUBLE END", "dropout_rate_per_pair")}, flag
 FROM done"""
 )
+
+ORACLE_SQL["edge_blocks"] = (
+    chain(DOCUMENTS)
+    + """,
+long AS (SELECT record_id, seq, length(seq) // 64 - 1 AS n FROM seqs WHERE length(seq) >= 128),
+sized AS (SELECT *, CASE WHEN n <= 8 THEN 1 ELSE CAST(pow(2, ceil(log2(ceil(n / 8::DOUBLE)))) AS BIGINT) END AS h0 FROM long),
+levels AS (SELECT s.*, h0 * CAST(pow(2, l) AS BIGINT) AS height FROM sized s, range(0, 4) AS r(l) WHERE l = 0 OR ceil(n / (h0 * pow(2, l - 1))) > 1),
+sym AS (SELECT record_id, n, i // 64 AS r, i % 64 AS c, substr(seq, i + 1, 1) <> substr(seq, i + 65, 1) AS x FROM (SELECT record_id, n, seq, unnest(range(0, n * 64)) AS i FROM long)),
+cells AS (
+  SELECT l.record_id, height, r // height AS block, c, count(*) AS pairs, count(CASE WHEN x THEN 1 END) AS changed FROM sym JOIN levels l USING (record_id) GROUP BY ALL)
+SELECT record_id, CAST(height AS INTEGER) AS height, CAST(block AS INTEGER) AS block, CAST(any_value(pairs) AS INTEGER) AS pairs, string_agg(CAST(changed AS VARCHAR), ',' ORDER BY c) AS changed
+FROM cells GROUP BY record_id, height, block"""
+)
+ORACLE_SQL["column_fields"] = (
+    chain(DOCUMENTS)
+    + f""",
+long AS (SELECT record_id, seq, length(seq) // 64 AS n FROM seqs WHERE length(seq) >= 128),
+sym AS (SELECT record_id, n, i, substr(seq, i + 1, 1) AS b, substr(seq, i + 65, 1) AS z FROM (SELECT record_id, seq, n, unnest(range(0, length(seq))) AS i FROM long)),
+share AS (SELECT record_id, b, count(*) / sum(count(*)) OVER (PARTITION BY record_id)::DOUBLE AS q FROM sym GROUP BY record_id, b),
+cells AS (SELECT record_id, n, i % 64 AS c, b, count(*) AS k, count(CASE WHEN i < (n - 1) * 64 AND b <> z THEN 1 END) AS x FROM sym WHERE i < n * 64 GROUP BY record_id, n, c, b)
+SELECT record_id, CAST(c AS INTEGER) AS "column", {rounded("sum(k / n::DOUBLE * log2(k / n::DOUBLE / q))", "ic")}, {rounded("sum(x) / any_value(n - 1)::DOUBLE", "edge_rate")}
+FROM cells JOIN share USING (record_id, b) GROUP BY record_id, c"""
+)
+ORACLE_SQL["paired_periods"] = """
+WITH periods AS (
+  SELECT CASE WHEN o_custkey % 10 = 0 THEN '' WHEN o_custkey % 7 = 0 THEN 'x' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS key,
+    CAST(o_orderkey % 500 + 2 AS INTEGER) AS period, max((o_orderkey % 101) / 100::DOUBLE) AS score FROM orders GROUP BY ALL),
+grouped AS (SELECT key, CAST(count(*) AS INTEGER) AS n, arg_min(period, (-score, period)) AS period, max(score) AS score FROM periods GROUP BY key),
+met AS (SELECT c_custkey, g.* FROM customer LEFT JOIN grouped g ON key = CAST(c_custkey AS VARCHAR)),
+taker AS (SELECT min(c_custkey) AS c_custkey FROM met WHERE key IS NULL)
+SELECT CAST(m.c_custkey AS VARCHAR) AS record_id, coalesce(m.n, f.n, 0) AS n_periods, coalesce(m.period, f.period) AS best_period, coalesce(m.score, f.score) AS best_score
+FROM met m LEFT JOIN taker ON m.c_custkey = taker.c_custkey LEFT JOIN grouped f ON f.key = '' AND m.key IS NULL AND taker.c_custkey IS NOT NULL"""
+
+#: Line numbers are 1 to 7, so that many steps settle all spans.
+ORACLE_SQL["resolved_aliases"] = (
+    """WITH spans AS (
+  SELECT DISTINCT l_partkey, l_orderkey % 1000 AS s, l_orderkey % 1000 + CAST(l_quantity AS BIGINT) AS e, l_linenumber AS period FROM lineitem WHERE CAST(l_quantity AS BIGINT) > 0),
+kept1 AS (SELECT * FROM spans WHERE period = 1)"""
+    + "".join(
+        f""",
+kept{n} AS (
+  SELECT * FROM kept{n - 1} UNION ALL
+  SELECT * FROM spans x WHERE period = {n} AND NOT EXISTS (
+    SELECT 1 FROM kept{n - 1} k WHERE k.l_partkey = x.l_partkey AND least(k.e, x.e) - greatest(k.s, x.s) >= 0.5 * (x.e - x.s)))"""
+        for n in range(2, 8)
+    )
+    + """
+SELECT l_partkey, s AS "start", e AS "end", CAST(period AS BIGINT) AS period FROM kept7"""
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repetend.kernels.motifs import MotifConfig
 from repetend.kernels.periodogram import PeriodogramConfig
 from repetend.operators import motifs, periodogram, summary, tandem, verdicts
+from repetend.operators.shared import checkpointed
 from repetend.operators.summary import ClassConfig
 from repetend.operators.tandem import TandemConfig
 from repetend.operators.verdicts import VerdictConfig
@@ -33,16 +34,13 @@ class Analysis:
     motifs: DataFrame
     summary: DataFrame
 
-    def unpersist(self) -> None:
-        self.periodograms.unpersist()
-
 
 def analyze(records: DataFrame, cfg: AnalyzeConfig = AnalyzeConfig()) -> Analysis:
     """Periodogram, verdict, spatial validation and motifs, merged into one class a record.
 
-    The periodograms are kept, as three steps read them; their rows are small beside the sequences.
+    The periodograms are written to the shared folder, as three steps read them; their rows are small beside the sequences.
     """
-    pgrams = periodogram.periodograms(records, cfg.periodogram).persist()
+    pgrams = checkpointed(periodogram.periodograms(records, cfg.periodogram))
     found = verdicts.verdicts(periodogram.long_peaks(pgrams), records, cfg.verdict)
     checked = tandem.validate(records, found, pgrams, cfg.tandem, cfg.windows)
     periods = pgrams.select("record_id", periodogram.top_period().alias("top_period"))

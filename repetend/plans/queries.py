@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repetend.kernels.rescoring import RescoreConfig
-from repetend.operators import detect, evaluate, generate, homology, irregularity, long_records, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
+from repetend.operators import detect, evaluate, fields, generate, homology, irregularity, long_records, motifs, periodogram, report, rescore, sequences, summary, tandem, verdicts
 from repetend.operators.periodogram import PeriodogramConfig
+from repetend.operators.shared import checkpointed
 from repetend.plans import pipelines
 from repetend.plans.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -124,7 +125,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emitted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = _controls(spark, sf_dir)
-    found = _peaks(recs)
+    found = checkpointed(_peaks(recs))  # three steps read it
     return verdicts.emitted_periods(verdicts.short_verdicts(verdicts.verdicts(found, recs)), found)
 
 
@@ -157,7 +158,7 @@ def window_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tandem_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = _controls(spark, sf_dir)
-    pgrams = periodogram.periodograms(recs, PLAIN)
+    pgrams = checkpointed(periodogram.periodograms(recs, PLAIN))
     return tandem.validate(recs, verdicts.verdicts(periodogram.long_peaks(pgrams), recs), pgrams, windows_cfg=PLAIN)
 
 
@@ -260,14 +261,41 @@ def column_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.features_at(recs, 64).select("record_id", "rows", _six("column_ic"), _six("fraction_conserved_columns"), _six("vertical_edge_rate"))
 
 
+def edge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How rows of each document, wrapped to 64 symbols, change in each column, from 8 blocks at most up to one."""
+    found = fields.edge_pyramid(_documents(spark, sf_dir), 64, 8)
+    return found.withColumn("changed", F.array_join(F.col("changed").cast("array<string>"), ","))
+
+
+def column_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information and rate of change of every column of each document, wrapped to 64 symbols."""
+    return fields.column_fields(_documents(spark, sf_dir), 64).select("record_id", "column", _six("ic"), _six("edge_rate"))
+
+
+def paired_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the periods of their orders: some of these have another's id, some none."""
+    recs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), "c_custkey", F.lit("ACGT").alias("seq"))
+    number = F.col("o_custkey")
+    key = F.when(number % 10 == 0, F.lit(None)).when(number % 7 == 0, F.concat(F.lit("x"), number.cast("string"))).otherwise(number.cast("string"))
+    periods = _table(spark, sf_dir, "orders").select(key.cast("string").alias("record_id"), (F.col("o_orderkey") % 500 + 2).cast("int").alias("period_bp"), (F.col("o_orderkey") % 101 / 100).alias("period_score"))
+    found = detect.arrays_with_periods(recs, periods, "c_custkey", allow_missing=True, allow_extra=True)
+    best = F.get("own", F.lit(0))
+    return found.select("record_id", F.coalesce(F.size("own"), F.lit(0)).alias("n_periods"), best["period_bp"].alias("best_period"), best["period_score"].alias("best_score"))
+
+
+def resolved_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each part's line items that remain when those of smaller line numbers come first."""
+    return evaluate.resolve_aliases(_spans(spark, sf_dir, F.col("l_linenumber").alias("period")), ["l_partkey"])
+
+
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined spans of each part's line items: a span begins at the order's number and is as long as the quantity."""
     return evaluate.union_intervals(_spans(spark, sf_dir), ["l_partkey"])
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     start = F.col("l_orderkey") % 1000
-    return _table(spark, sf_dir, "lineitem").select("l_partkey", start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"))
+    return _table(spark, sf_dir, "lineitem").select("l_partkey", start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"), *more)
 
 
 def interval_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,6 +389,10 @@ QUERIES = {
     "self_matches": self_matches,
     "detections": detections,
     "column_information": column_information,
+    "edge_blocks": edge_blocks,
+    "column_fields": column_fields,
+    "paired_periods": paired_periods,
+    "resolved_aliases": resolved_aliases,
     "interval_union": interval_union,
     "interval_occupancy": interval_occupancy,
     "harmonic_families": harmonic_families,
