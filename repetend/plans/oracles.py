@@ -507,3 +507,56 @@ kept{n} AS (
     + """
 SELECT l_partkey, s AS "start", e AS "end", CAST(period AS BIGINT) AS period FROM kept7"""
 )
+
+_PLANNED = ORACLE_SQL["window_plans"].partition("\nSELECT record_id, floor((host)")[0]
+_THREE = "printf('%.3f', floor(({x}) * 1000 + 0.5) / 1000)"
+
+
+def _decimals(x: str, digits: int, name: str) -> str:
+    return f"floor(({x}) * 1e{digits} + 0.5) / 1e{digits} AS {name}"
+
+
+ORACLE_SQL["tandem_validation"] = (
+    _PLANNED
+    + f""",
+planned AS (SELECT *, least(w, n) AS window_bp FROM stepped WHERE gate IS NULL),
+wins AS (
+  SELECT record_id, 0 AS s, n AS e FROM planned WHERE w >= n
+  UNION ALL SELECT record_id, unnest(range(0, n - w + 1, step)) AS s, s + w FROM planned WHERE w < n
+  UNION ALL SELECT record_id, n - w, n FROM planned WHERE w < n AND (n - w) % step > 0),
+wtext AS (SELECT record_id || '|' || s AS record_id, substr(seq, s + 1, e - s) AS seq FROM wins JOIN seqs USING (record_id)),
+wpeaks AS (WITH seqs AS (SELECT * FROM wtext), {hist()}, {peaks()} SELECT record_id AS win, rank, period, score2_norm FROM peaks),
+wtop AS (SELECT win, max(score2_norm) AS top, arg_max(period, (score2_norm, rank)) AS period FROM wpeaks GROUP BY win),
+cases_ AS (SELECT c.*, row_number() OVER (PARTITION BY record_id ORDER BY place) AS c FROM cand c JOIN planned USING (record_id)),
+near_ AS (
+  SELECT win, c.record_id, c.c, sum(p.score2_norm) AS near FROM cases_ c JOIN wins v USING (record_id) JOIN wpeaks p ON p.win = v.record_id || '|' || v.s
+  WHERE c.kind = 'founder' AND abs(p.period - c.period) / c.period <= 0.02 GROUP BY ALL),
+seen AS (
+  SELECT c.record_id, c.c, c.kind, c.period, h.host, h.window_bp,
+    CASE WHEN t.top IS NULL OR t.top <= 0 THEN 0 WHEN c.kind = 'founder' THEN CAST(coalesce(near, 0) / t.top >= 0.2 AS INTEGER)
+      ELSE CAST(abs(t.period - c.period) / c.period <= 0.02 AND t.top >= 0.3 AS INTEGER) END AS shown,
+    greatest(0, least(9, CAST(floor((v.s + v.e) / 2.0::DOUBLE / greatest(h.n, 1) * 10) AS INTEGER))) AS place,
+    greatest(0, least(9, CAST(floor((floor((v.s + v.e) / 2.0::DOUBLE) % greatest(floor(h.host + 0.5), 1)) / greatest(floor(h.host / 10 + 0.5), 1)) AS INTEGER))) AS phase
+  FROM cases_ c JOIN planned h USING (record_id) JOIN wins v USING (record_id) LEFT JOIN wtop t ON t.win = v.record_id || '|' || v.s
+    LEFT JOIN near_ q ON q.win = v.record_id || '|' || v.s AND q.c = c.c),
+whole AS (SELECT record_id, c, kind, period, host, window_bp, count(*) AS n, sum(shown) AS x FROM seen GROUP BY ALL),
+spatial AS (SELECT record_id, c, CASE WHEN count(*) >= 2 THEN max(r) - min(r) ELSE 0.0 END AS sc FROM (SELECT record_id, c, place, sum(shown) / count(*)::DOUBLE AS r FROM seen GROUP BY ALL) GROUP BY record_id, c),
+turned AS (SELECT record_id, c, CASE WHEN count(*) >= 2 THEN max(r) - min(r) END AS turn FROM (SELECT record_id, c, phase, sum(shown) / count(*)::DOUBLE AS r FROM seen GROUP BY ALL) GROUP BY record_id, c),
+scored_ AS (
+  SELECT w.*, x / n::DOUBLE AS density, sc, CASE WHEN window_bp < host * 0.95 THEN turn END AS pc FROM whole w JOIN spatial USING (record_id, c) JOIN turned USING (record_id, c)),
+decided AS (
+  SELECT *, CASE WHEN x < 3 THEN 'no_signal' WHEN density <= 0.35 OR sc >= 0.4 OR coalesce(pc >= 0.4, false) THEN 'localized'
+    WHEN density >= 0.7 AND sc <= 0.15 AND coalesce(pc <= 0.15, true) THEN 'uniform' ELSE 'ambiguous' END AS decision FROM scored_),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE decision WHEN 'localized' THEN 0 WHEN 'ambiguous' THEN 1 WHEN 'uniform' THEN 2 ELSE 3 END, -(sc + coalesce(pc, 0)), c) AS r,
+    kind || '/' || CAST(CAST(floor(period + 0.5) AS BIGINT) AS VARCHAR) || ':d=' || {_THREE.format(x="density")} || ':sc=' || {_THREE.format(x="sc")} || ':pc=' || CASE WHEN pc IS NULL THEN 'nan' ELSE {_THREE.format(x="pc")} END || ':' || decision AS said
+  FROM decided),
+texts AS (SELECT record_id, CAST(count(*) AS INTEGER) AS n, string_agg(said, ';' ORDER BY r) AS said FROM ordered GROUP BY record_id)
+SELECT s.record_id, verdict, {_decimals("s.host", 2, "host_period")}, CAST(CASE WHEN gate = 'no_host' AND s.host IS NULL THEN multiplicity ELSE copies END AS INTEGER) AS multiplicity,
+  CASE WHEN gate IS NULL THEN CAST(least(w, s.n) AS INTEGER) END AS window_bp, coalesce(t.n, 0) AS n_candidates, coalesce(t.said, '') AS candidates,
+  {_decimals("b.period", 1, "best_candidate_period")}, b.kind AS best_candidate_kind, {_decimals("b.density", 4, "density")}, {_decimals("b.sc", 4, "spatial_contrast")}, {_decimals("b.pc", 4, "phase_contrast")},
+  CAST(coalesce(b.n, 0) AS INTEGER) AS n_windows_total, CAST(coalesce(b.x, 0) AS INTEGER) AS n_windows_present,
+  CASE WHEN gate IS NOT NULL THEN gate WHEN b.decision = 'localized' THEN 'localized_subrepeat' WHEN b.decision = 'uniform' THEN 'confirms_host' ELSE b.decision END AS decision_hint,
+  CASE WHEN gate IS NOT NULL THEN gate ELSE b.kind || ':' || b.decision END AS reason
+FROM stepped s LEFT JOIN texts t USING (record_id) LEFT JOIN ordered b ON b.record_id = s.record_id AND b.r = 1"""
+)

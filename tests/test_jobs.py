@@ -140,7 +140,7 @@ def test_pooled_periods_replace_their_cohorts(spark, docs, tmp_path):
 
 def test_command_line(docs, tmp_path):
     docs.limit(30).write.parquet(str(tmp_path / "in"))
-    env = os.environ | {"PYTHONPATH": str(ROOT)}
+    env = os.environ | {"PYTHONPATH": str(ROOT), "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=2 --conf spark.ui.enabled=false pyspark-shell"}
     for job, more in (("pooled_periods", []), ("screen_arrays", ["--checkpoint", str(tmp_path / "mark")])):
         done = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--source", str(tmp_path / "in"), "--output", str(tmp_path / job), *more], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0 and "30" in done.stderr, done.stderr[-2000:]
