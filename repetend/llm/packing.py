@@ -11,6 +11,9 @@ emptiest, and dealt round to step groups: every group gets the same mix of tiers
 Placement needs lengths only, and there are at most `size` different ones. So the plan is made for counts of lengths,
 not for pieces: its input and output are bounded whatever the corpus holds. A piece finds its place by its rank among
 pieces of its length; ranks are counted within salted parts of each length and offset, so no task holds a whole length.
+A length has SALTS parts, or as many as keep PART_PIECES pieces in each where it has more, as whole windows have. So the
+offsets of parts that are broadcast are at most size * SALTS rows and one for each PART_PIECES pieces.
+A piece may stand across two windows of a sequence, as the gap of one is carried to the next.
 
 Defined results: a null or empty text is the end id alone. Rows that are equal in every column are packed each on
 their own. A null doc_id is kept. Columns besides doc_id and text are ignored. An empty table gives no rows.
@@ -35,6 +38,8 @@ SIZE, END_ID = 2048, 1
 TIERS = (256, 512, 1024, 2048)
 #: Sequences of one step group; parts of each length's rank.
 GROUP_SEQUENCES, SALTS = 64, 64
+#: Pieces that a part of a length holds on average at most.
+PART_PIECES = 1_000_000
 #: From here on characters go through the slower library, whose Unicode tables decide.
 PLAIN_BELOW = "ɐ"
 SPECIAL = "<|endoftext|>"
@@ -142,12 +147,15 @@ def slots(sequences: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, i
     return out
 
 
-def place(cut: DataFrame, *, size: int = SIZE, tiers: tuple[int, ...] = TIERS, group_sequences: int = GROUP_SEQUENCES, salts: int = SALTS) -> DataFrame:
-    """Pieces with sequence_id, offset, their tier, the tier of the sequence and step_group. cut is read twice; keep it first."""
+def place(cut: DataFrame, *, size: int = SIZE, tiers: tuple[int, ...] = TIERS, group_sequences: int = GROUP_SEQUENCES, salts: int = SALTS, part_pieces: int = PART_PIECES) -> DataFrame:
+    """Pieces with sequence_id, offset, their tier, the tier of the sequence and step_group. cut is read three times; keep it first."""
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    parts = reliable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most size * salts rows
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
+    sizes = reliable(cut.groupBy("length").agg(F.count("*").alias("n")))  # at most size rows
+    counts = {r["length"]: r["n"] for r in sizes.collect()}
+    n_parts = F.greatest(F.lit(salts).cast("long"), F.ceil(F.col("n") / part_pieces))
+    salted = cut.join(F.broadcast(sizes.select("length", n_parts.alias("n_parts"))), "length")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "n_parts")).drop("n_parts")
+    parts = reliable(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     sequences = plan(counts, size, tiers)
     groups = max(1, -(-sum(n for n, *_ in sequences) // group_sequences))
     targets = spark.createDataFrame(slots(sequences), "length long, low long, high long, first long, offset long, sequence_tier int")

@@ -106,3 +106,16 @@ def test_step_groups_are_balanced(corpus):
     for tier in packing.TIERS:
         of = [len({r.sequence_id for r in rows if r.sequence_tier == tier and r.step_group == g}) for g in tokens]
         assert max(of) - min(of) <= 1
+
+
+def test_parts_of_a_length_follow_its_count(corpus, monkeypatch):
+    cut = packing.reliable(packing.pieces(corpus([(i, "a b c d " * (1500 if i % 2 else 1 + i % 5)) for i in range(300)])))
+    kept = []
+    monkeypatch.setattr(packing, "reliable", lambda df: kept.append(df.checkpoint()) or kept[-1])
+    rows = packing.place(cut, salts=2, part_pieces=20).collect()
+    check(rows, packing.SIZE)
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
+    assert sorted(map(key, rows)) == sorted(map(key, cut.collect()))
+    whole = [r for r in kept[1].collect() if r.length == packing.SIZE]
+    n = sum(r.n for r in whole)
+    assert n >= 300 and n // 20 - 3 <= len(whole) <= n // 20 + 1 and max(r.n for r in whole) < 60
