@@ -1,13 +1,14 @@
 """Language identification with hyperdimensional profiles.
 
-Every symbol has a random vector of +1 and -1. A trigram's vector binds its symbols' vectors, rotated once for each
-place to the right end, by multiplying them; a text's vector bundles (adds) its trigrams' vectors. A language's
-prototype bundles all its training texts. A text gets the language whose prototype has the greatest cosine with its
-vector. Vectors follow from a seed, so executors make them alike.
+Every letter, case folded, and white space (any run of other characters) has a random vector of +1 and -1, hashed from its
+code point and a seed, so executors make them alike and letters of any script have their own. A trigram's vector binds its
+letters' vectors, rotated once for each place to the right end, by multiplying them; a text's vector bundles (adds) its
+trigrams' vectors. A language's prototype bundles all its training texts. A text gets the language whose prototype has the
+greatest cosine with its vector.
 
-Training counts each language's trigrams over every training document; bundling is linear, so the prototype comes from
-the counts, which are bundled where they are: DIMENSIONS numbers a language come to the driver, whatever the corpus holds.
-reject() needs the counts themselves, at most SYMBOLS ** 3 rows a language.
+Training bundles every training document where it is, as bundling is linear: a task gives DIMENSIONS numbers a language,
+and as many come to the driver, whatever the corpus holds. reject() needs counts of trigrams, of folded letters put into
+SYMBOLS classes: at most SYMBOLS ** 3 rows a language.
 
 reject() decides on the gain, not on the cosine: the mean over a text's trigrams of the log of their chance in a language
 over the even chance of 1 / SYMBOLS ** 3, from the same counts. A cosine falls with a text's length as with its being foreign, so
@@ -15,7 +16,7 @@ no least cosine tells a short text from noise. Texts of the learnt languages gai
 texts about 3, unlearnt languages and letter noise less than 2, mostly below 1; relatives of a learnt one come nearest
 (Dutch beside German 2.0 to 2.3). The mean of few trigrams varies more, so short texts need less.
 
-Symbols are white space (any run of other characters), a to z, and 37 classes of other letters, case folded.
+Classes are white space, a to z, and 37 of other letters.
 Defined results: a text that is null or has no letter is `und` with score 0. Equal cosines go to the first language in
 order of name. Without training rows every text is `und`. A null doc_id is taken as no id: such rows are not held out
 and do train. Rows stand on their own; columns besides doc_id, text and lang are ignored. Texts are read whole.
@@ -39,61 +40,82 @@ from repetend.llm._common import SLICE_ROWS, map_slices
 DIMENSIONS, SEED, SYMBOLS = 512, 20_231, 64
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
-#: Cosine about the noise of DIMENSIONS places; reject() does not decide by it.
-LEAST = 0.05
 #: Least gain of a text of many trigrams, and how much less one of n trigrams needs, times sqrt(n); see reject().
 LEAST_GAIN, SHORT = 2.75, 4.5
 #: Share of the even chance of all trigrams in a language's chances.
 EVEN = 0.1
 #: Trigrams bundled at a time.
 BLOCK = 4096
+#: Bits of a code point.
+POINT = 21
+
+
+def _fold(c: str) -> int:
+    return ord(c.lower()[0]) if unicodedata.category(c)[0] == "L" else 0
 
 
 @lru_cache(1)
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 65,536: 0 for what is no letter."""
-    table = np.zeros(1 << 16, np.uint8)
-    for code in range(1 << 16):
-        c = chr(code)
-        if unicodedata.category(c)[0] == "L":
-            low = c.lower()[0]
-            table[code] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 37
-    return table
+def fold_table() -> np.ndarray:
+    """Code point of each letter below 65,536, case folded: 0 for what is no letter."""
+    return np.array([_fold(chr(code)) for code in range(1 << 16)], np.int64)
 
 
-@lru_cache(2)
-def symbol_vectors(dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Vectors of the symbols at the first, second and last place of a trigram."""
-    base = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+def letters(text: str) -> np.ndarray:
+    """Folded letters with one 0 at each end and for what stands between words."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = fold_table()
+    found = table[np.minimum(codes, len(table) - 1)]
+    high = codes >= len(table)
+    if high.any():
+        found[high] = [_fold(chr(c)) for c in codes[high]]
+    found = np.concatenate(([0], found, [0]))
+    return found[np.concatenate(([True], (found[1:] != 0) | (found[:-1] != 0)))]
+
+
+def _threes(found: np.ndarray, base: int) -> np.ndarray:
+    if len(found) < 3:
+        return np.empty(0, found.dtype)
+    return (found[:-2] * base + found[1:-1]) * base + found[2:]
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Codes of all trigrams, with one white space at each end and between words; none if the text has no letter."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = symbol_table()
-    if len(codes) and codes.max() >= len(table):
-        letters = np.array([unicodedata.category(chr(c))[0] == "L" for c in codes[codes >= len(table)]])
-        symbols = table[np.minimum(codes, len(table) - 1)]
-        symbols[codes >= len(table)] = np.where(letters, 27 + codes[codes >= len(table)] % 37, 0)
-    else:
-        symbols = table[codes]
-    symbols = np.concatenate(([0], symbols, [0])).astype(np.int32)
-    symbols = symbols[np.concatenate(([True], (symbols[1:] != 0) | (symbols[:-1] != 0)))]
-    if len(symbols) < 3:
-        return np.empty(0, np.int32)
-    return (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    """Codes of all trigrams of classes; none if the text has no letter."""
+    found = letters(text)
+    latin = (found >= ord("a")) & (found <= ord("z"))
+    return _threes(np.where(latin, found - 96, np.where(found > 0, 27 + found % 37, 0)).astype(np.int32), SYMBOLS)
+
+
+def letter_trigrams(text: str) -> np.ndarray:
+    """Codes of all trigrams of letters, POINT bits each; none if the text has no letter."""
+    return _threes(letters(text), 1 << POINT)
+
+
+def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
+    """A row of +1 and -1 for each code point: bits of mixed counters, 64 places each, the low bit first."""
+    words = -(-dimensions // 64)
+    x = points.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)
+    x = (x + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))).astype("<u8")
+    bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
 
 
 def bundle(grams: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
-    """Sum of the trigrams' vectors, each as often as counted."""
-    first, second, last = symbol_vectors(dimensions, seed)
+    """Sum of the vectors of trigrams of letters, each as often as counted."""
+    mask = (1 << POINT) - 1
+    points, at = np.unique(np.concatenate((grams >> 2 * POINT, grams >> POINT & mask, grams & mask)), return_inverse=True)
+    i, j, k = at.reshape(3, -1)
+    base = letter_vectors(points, dimensions, seed)
+    first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
+    # whole numbers below 2 ** 24 add up exactly in any order
+    kind = np.float32 if counts.sum() < 1 << 24 else np.float64
     total = np.zeros(dimensions, np.float64)
-    for at in range(0, len(grams), BLOCK):
-        g = grams[at : at + BLOCK]
-        bound = first[g // (SYMBOLS * SYMBOLS)] * second[g // SYMBOLS % SYMBOLS] * last[g % SYMBOLS]
-        # whole numbers below 2 ** 24 add up exactly in any order
-        total += counts[at : at + BLOCK].astype(np.float32) @ bound.astype(np.float32) if counts.sum() < 1 << 24 else counts[at : at + BLOCK].astype(np.float64) @ bound.astype(np.float64)
+    for start in range(0, len(grams), BLOCK):
+        now = slice(start, start + BLOCK)
+        bound = first[i[now]] * second[j[now]] * base[k[now]]
+        total += counts[now].astype(kind) @ bound.astype(kind)
     return total
 
 
@@ -136,15 +158,28 @@ def sum_vectors(training: DataFrame, dimensions: int, seed: int) -> DataFrame:
     """lang, place, value: sums of the vectors of all training texts, bundled where the texts are; whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            value = np.concatenate(list(sums.values()))
+            return pa.RecordBatch.from_pydict({"lang": pa.array([x for x in sums for _ in range(dimensions)], pa.string()), "place": pa.array(list(range(dimensions)) * len(sums), pa.int32()), "value": value})
+
         for batch in batches:
-            grams = np.asarray(batch.column("gram"))
-            n, names = np.asarray(batch.column("n")), np.asarray(batch.column("lang").to_pylist(), object)
-            for name in sorted(set(names.tolist())):
-                own = names == name
-                value = bundle(grams[own], n[own], dimensions, seed)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "place": pa.array(range(dimensions), pa.int32()), "value": value})
-
-    parts = count_trigrams(training).mapInArrow(run, "lang string, place int, value double")
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                by: dict[str, list[np.ndarray]] = {}
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                    by.setdefault(lang, []).append(letter_trigrams(text))
+                for lang, grams in by.items():
+                    if lang not in sums and len(sums) >= 1024:  # what is summed so far goes out; memory stays bounded
+                        yield rows()
+                        sums.clear()
+                    value = bundle(*np.unique(np.concatenate(grams), return_counts=True), dimensions, seed)
+                    sums[lang] = sums[lang] + value if lang in sums else value
+        if sums:
+            yield rows()
+
+    parts = training.select("text", "lang").mapInArrow(run, "lang string, place int, value double")
     return parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
 
 
@@ -197,7 +232,7 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, *, dimensio
 
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         def one(text: str | None) -> tuple[str, float]:
-            grams = trigrams(text or "")
+            grams = letter_trigrams(text or "")
             if not len(grams) or not len(names):
                 return UNKNOWN, 0.0
             vector = bundle(*np.unique(grams, return_counts=True), dimensions, seed)

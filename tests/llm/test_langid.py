@@ -1,5 +1,7 @@
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,13 +46,64 @@ def test_held_out_rows_never_train(spoken):
     assert names == again == sorted(WORDS) and np.array_equal(vectors, same)
 
 
+def slow_letters(text):
+    """Folded letters, 0 for each run of other characters and for both ends."""
+    parts = "".join(c.lower()[0] if unicodedata.category(c)[0] == "L" else " " for c in text).split()
+    return [0, *[x for part in parts for x in [*map(ord, part), 0]]]
+
+
+def slow_vector(text, dimensions=langid.DIMENSIONS):
+    """Sum of bound vectors, a place and a trigram at a time."""
+
+    def bit(point, place):
+        x = (point * (dimensions // 64) + place // 64 + langid.SEED) * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return 1 if (x ^ x >> 31) >> place % 64 & 1 else -1
+
+    found = slow_letters(text)
+    own = {p: [bit(p, d) for d in range(dimensions)] for p in set(found)}
+    threes = list(zip(found, found[1:], found[2:]))
+    return np.array([sum(own[a][d - 2] * own[b][d - 1] * own[c][d] for a, b, c in threes) for d in range(dimensions)], float)
+
+
 def test_bundle_is_the_sum_of_bound_vectors():
-    grams = langid.trigrams("Où est-ce? 中a")
-    first, second, last = langid.symbol_vectors()
-    slow = sum(first[g // 4096].astype(int) * second[g // 64 % 64] * last[g % 64] for g in grams)
-    found, counts = np.unique(grams, return_counts=True)
-    assert np.array_equal(langid.bundle(found, counts), slow)
-    assert len(langid.trigrams("")) == len(langid.trigrams("123 !")) == 0 and len(langid.trigrams("a")) == 1
+    text = "Où est-ce? 中a Ωμέγα 𐐀𐐩 \u0130x"
+    assert np.array_equal(langid.bundle(*np.unique(langid.letter_trigrams(text), return_counts=True)), slow_vector(text))
+    for grams in (langid.trigrams, langid.letter_trigrams):
+        assert len(grams("")) == len(grams("123 !")) == 0 and len(grams("a")) == 1
+
+
+def test_predictions_and_scores_against_the_definition(spark):
+    rows = [(i, " ".join((WORDS[lang] * 2)[i : i + 6]) + "!", lang) for i in range(10) for lang in ("en", "de")]
+    rows += [(40 + i, t, lang) for i, (t, lang) in enumerate((("αβγ δεζ ηθι", "el"), ("абв где жзи", "ru"), ("ηθι αβγ", None), ("где абв", None), ("", None), ("42", "en")))]
+    found = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    sums = {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + slow_vector(text)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    want = {}
+    for _, text, _ in rows:
+        own = {lang: float(unit(v) @ unit(slow_vector(text))) for lang, v in sums.items()}
+        best = max(sorted(own), key=lambda x: round(own[x], 9))
+        want[text] = (best, max(0.0, own[best])) if len(slow_letters(text)) > 1 else ("und", 0.0)
+    texts = Counter((i, text) for i, text, _ in rows)
+    assert len(found) == len(rows) and sum(texts.values()) == len(rows)
+    by = {}
+    for i, text, _ in rows:
+        by.setdefault(i, set()).add((want[text][0], round(want[text][1], 6)))
+    assert all((r.lang_pred, round(r.score, 6)) in by[r.doc_id] for r in found)
+    assert sorted((r.doc_id, r.lang_pred) for r in found) == sorted((i, want[text][0]) for i, text, _ in rows)
+
+
+def test_scripts_do_not_collide(spark):
+    """Letters 37 code points apart are of one class, but have vectors of their own."""
+    far = "".join(chr(ord(c) + 37 * 4) for c in "αβγδεζηθικλμ")
+    rows = [(i, x, lang) for i in range(40) for x, lang in (("αβγ δεζ ηθι κλμ", "el"), (" ".join(far[k : k + 3] for k in (0, 3, 6, 9)), "zz"))]
+    assert np.array_equal(langid.trigrams(rows[0][1]), langid.trigrams(rows[1][1]))
+    found = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert Counter(r.lang_pred for r in found.collect()) == {"el": 40, "zz": 40}
 
 
 def test_odd_rows(odd, spark):
