@@ -72,7 +72,7 @@ def test_empty_documents_pass(spark):
 def test_sql_of_queries(spark):
     for name, sql in queries.ORACLE_SQL.items():
         with duckdb.connect() as c:
-            for table in ("documents", "pages", "benchmark"):
+            for table in ("documents", "pages", "benchmark", "labels"):
                 c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
             found = queries.QUERIES[name](spark, SMALL)
             columns = ", ".join(sorted(found.columns))
