@@ -1,16 +1,27 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on every long token.
 
 Candidates are the parts between equals signs of the runs of [A-Za-z0-9+/_=-], with at least MIN_LENGTH symbols. The
-smallest alphabet that holds all symbols of a candidate is its inferred encoding. Three tests are made on it: chi-squared for a uniform alphabet, runs
-(changes of symbol class) and serial correlation at lag 1. Each gives two p-values: one if the symbols were drawn at
-random from the alphabet, one if the token were ordinary text or an identifier. Fisher's method combines the second
-kind. Benjamini-Hochberg, with weights in proportion to length, bounds the false discoveries among all candidates of the
-corpus: a first pass counts p-values divided by length in STEPS bins a factor e, at most BINS of them, and the second
-takes every candidate from the bin on that the counts allow (cut). What it selects is reported when the first kind does
-not reject randomness either. Spans of the patterns always stay; a selected candidate that overlaps one adds nothing.
+smallest alphabet that holds all symbols of a candidate is its inferred encoding. Two hypotheses are tested.
+
+That the token is ordinary: the runs test takes the changes of symbol class (digit, lower, upper, other), the serial test
+each letter given the one before it, by the letter pairs of the corpus's own words (all text outside candidates, case
+folded). Each gives the log of a likelihood ratio, drawn at random to ordinary, and they add up: the ratio of the chance of
+the token under some encoding, all equally likely, to its chance as ordinary text. If ordinary tokens follow that model,
+the ratio exceeds x with chance 1 / x at most, at every length, so its inverse is a p-value without any approximation.
+
+That the symbols are random: chi-squared for a uniform alphabet, runs above and below the alphabet's median, and serial
+correlation at lag 1. A token that one of them rejects at REJECT counts as ordinary with p-value 1.
+
+Benjamini-Hochberg, with weights in proportion to length, bounds the false discoveries among all candidates of the
+corpus: a pass over the texts counts p-values divided by length in STEPS bins a factor e, at most BINS of them, and the
+last takes every candidate from the bin on that the counts allow. Spans of the patterns always stay; a selected candidate
+that overlaps one adds nothing.
+
+Tokens of digits alone are no candidates of the method: nothing tells random ones from numbers in use. They count as
+ordinary; the patterns still apply.
 
 Defined results: null text is empty and has no spans; base spans of a row depend on its text alone, random ones on the
-corpus too, through the cut; a corpus without candidates has none. A null doc_id is kept; columns
+corpus too, through its letter pairs and the cut; a corpus without candidates has none. A null doc_id is kept; columns
 besides doc_id and text are ignored; offsets are code points, the end exclusive. Texts are scanned whole, in linear time.
 """
 
@@ -21,7 +32,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +55,13 @@ MIN_LENGTH = 20
 DISCOVERY, REJECT = 1e-3, 1e-4
 #: Bins of -log(p / length): steps a unit, and how many at most.
 STEPS, BINS = 8, 8 * 720
-#: Of ordinary text: chance that two letters are equal, changes of symbol class a symbol, correlation of vowels at lag 1.
-COINCIDENCE, CHANGES, VOWELS = 0.066, 0.15, -0.35
+#: Of ordinary tokens: chances of the next symbol's class (digit, lower, upper, other) by this one's, so that words, words
+#: joined by signs or by capitals, and names with a number are ordinary.
+CLASSES = ((0.85, 0.05, 0.05, 0.05), (0.05, 0.85, 0.05, 0.05), (0.05, 0.3, 0.6, 0.05), (0.3, 0.3, 0.3, 0.1))
+#: Share of even chance in the chances of a next letter.
+EVEN = 0.02
+#: Stands before a letter that begins a word: one after no letter, or a capital after a small one.
+START = 26
 
 DIGIT, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from the smallest alphabet to the largest.
@@ -62,6 +80,18 @@ ENCODINGS = (
     ("any", DIGIT + UPPER + LOWER + "+/_=-"),
 )
 _ALPHABETS = tuple((name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS)
+_CLASS = {c: 0 for c in DIGIT} | {c: 1 for c in LOWER} | {c: 2 for c in UPPER} | {c: 3 for c in "+/_=-"}
+_CHANGE = tuple(tuple(math.log(p) for p in row) for row in CLASSES)
+_LETTER = np.full(256, START, np.int64)
+for _i in range(26):
+    _LETTER[ord("a") + _i] = _LETTER[ord("A") + _i] = _i
+
+
+class Rule(NamedTuple):
+    """What the corpus decides: logs of the chances of a letter by the one before it, and the least bin taken."""
+
+    pairs: list[list[float]]
+    least: int | None
 
 
 def _upper(z: float) -> float:
@@ -81,34 +111,72 @@ def _correlation(values: list[float]) -> float:
     return sum((values[i] - mean) * (values[i + 1] - mean) for i in range(n - 1)) / spread if spread else 0.0
 
 
-def battery(token: str) -> tuple[str, float, float]:
-    """Inferred encoding, p-value as ordinary text, least p-value as random symbols (times the number of tests)."""
-    body = token.rstrip("=")
+def count_pairs(text: str) -> np.ndarray:
+    """Letters by the letter before them (or START), of the text outside candidates."""
+    codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8)  # a byte for each code point
+    found = _LETTER[codes]
+    for start, end in candidates(text):
+        found[start:end] = START
+    before = np.concatenate(([START], found[:-1]))
+    before[1:][(codes[:-1] >= ord("a")) & (codes[1:] <= ord("Z"))] = START
+    kept = found < START
+    return np.bincount(before[kept] * 26 + found[kept], minlength=27 * 26)
+
+
+def log_pairs(counts: np.ndarray) -> list[list[float]]:
+    """Logs of the chances of each letter by the one before it; EVEN of them is even, the rest as counted."""
+    n = counts.reshape(27, 26).astype(np.float64)
+    letter = (n.sum(0) + 1 / 26) / (n.sum() + 1)
+    seen = (n + letter) / (n.sum(1, keepdims=True) + 1)
+    return np.log((1 - EVEN) * seen + EVEN / 26).tolist()
+
+
+def ratio(body: str, pairs: list[list[float]]) -> float:
+    """Log of the token's chance as random symbols over that as ordinary text: runs and serial test together."""
+    n, symbols = len(body), set(body)
+    logs = [-n * math.log(len(index)) for _, letters, index in _ALPHABETS if symbols <= letters]
+    at_random = logs[0] + math.log(sum(math.exp(x - logs[0]) for x in logs) / len(_ALPHABETS))
+    runs, serial = -math.log(4), 0.0
+    kind, letter = None, START
+    for c in body:
+        now = _CLASS[c]
+        if kind is not None:
+            runs += _CHANGE[kind][now]
+        if now == 0 or now == 3:
+            serial -= math.log(10 if now == 0 else 5)
+            letter = START
+        else:
+            following = int(_LETTER[ord(c)])
+            serial += pairs[START if (kind, now) == (1, 2) else letter][following]
+            letter = following
+        kind = now
+    return at_random - runs - serial
+
+
+def rejection(body: str) -> tuple[str, float]:
+    """Inferred encoding, and the least p-value of the three tests of random symbols, times their number."""
     symbols = set(body)
-    if len(body) < MIN_LENGTH or symbols <= set(DIGIT):
-        return "number", 1.0, 0.0
     name, _, index = next(x for x in _ALPHABETS if symbols <= x[1])
     n, k = len(body), len(index)
     chi = k * sum(c * c for c in Counter(body).values()) / n - n
-    classes = [0 if c in DIGIT else 1 if c in LOWER else 2 if c in UPPER else 3 for c in body]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    sizes = Counter(0 if c in DIGIT else 1 if c in LOWER else 2 if c in UPPER else 3 for c in index)
-    at_random = 1 - sum((v / k) ** 2 for v in sizes.values())
-    serial = _correlation([float(index[c]) for c in body])
-    vowels = _correlation([float(c in "aeiouAEIOU") for c in body])
-    # if ordinary
-    uneven = (k - 1) + n * (k * COINCIDENCE - 1)
-    p_chi = _upper((uneven - chi) / math.sqrt(2 * (k - 1) + 4 * n * k * COINCIDENCE))
-    p_runs = _upper((changes - 0.5 - CHANGES * (n - 1)) / math.sqrt(CHANGES * (1 - CHANGES) * (n - 1)))
-    p_serial = _upper((vowels - VOWELS) * math.sqrt(n))
-    half = -sum(math.log(p) for p in (p_chi, p_runs, p_serial))
-    ordinary = math.exp(-half) * (1 + half + half * half / 2)
-    # if random
+    places = [index[c] for c in body]
+    above = [2 * i >= k for i in places]
+    changes = sum(a != b for a, b in zip(above, above[1:], strict=False))
+    expected = 2 * ((k + 1) // 2) * (k // 2) / (k * k)
     q_chi = _chi_upper(chi, k - 1)
-    spread = math.sqrt(max(at_random * (1 - at_random), 1e-9) * (n - 1))
-    q_runs = 2 * _upper(abs(changes - at_random * (n - 1)) / spread) if at_random else 1.0
-    q_serial = 2 * _upper(abs(serial) * math.sqrt(n))
-    return name, ordinary, min(1.0, 3 * min(q_chi, q_runs, q_serial))
+    q_runs = 2 * _upper((abs(changes - expected * (n - 1)) - 0.5) / math.sqrt(expected * (1 - expected) * (n - 1)))
+    q_serial = 2 * _upper(abs(_correlation([float(i) for i in places])) * math.sqrt(n))
+    return name, min(1.0, 3 * min(q_chi, q_runs, q_serial))
+
+
+def battery(token: str, pairs: list[list[float]]) -> tuple[str, float]:
+    """Inferred encoding and -log of the p-value as an ordinary token; 0 if the symbols are not random either."""
+    body = token.rstrip("=")
+    if len(body) < MIN_LENGTH or not set(body) - set(DIGIT):
+        return "number", 0.0
+    evidence = ratio(body, pairs)
+    name, random = rejection(body)
+    return name, 0.0 if random < REJECT else max(0.0, evidence)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -116,9 +184,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [(run.start() + m.start(), run.start() + m.end()) for run in RUN.finditer(text) for m in PART.finditer(run[0]) if len(m[0]) >= MIN_LENGTH]
 
 
-def bin_of(ordinary: float, length: int) -> int:
-    """Bin of a candidate's weighted p-value; the higher, the less ordinary."""
-    return BINS if ordinary <= 0 else max(0, min(BINS, math.floor(STEPS * (math.log(length) - math.log(ordinary)))))
+def bin_of(evidence: float, length: int) -> int:
+    """Bin of a candidate's weighted p-value, from its -log; the higher, the less ordinary."""
+    return max(0, min(BINS, math.floor(STEPS * (math.log(length) + evidence))))
 
 
 def cut_of(counts: dict[int, tuple[int, int]], level: float = DISCOVERY) -> int | None:
@@ -137,35 +205,51 @@ def cut_of(counts: dict[int, tuple[int, int]], level: float = DISCOVERY) -> int
     return found
 
 
-def tested(text: str) -> list[tuple[int, int, int, float]]:
-    """(start, end, bin, p-value as random symbols) of the candidates."""
-    out = []
-    for start, end in candidates(text):
-        _, ordinary, random = battery(text[start:end])
-        out.append((start, end, bin_of(ordinary, end - start), random))
-    return out
+def tested(text: str, pairs: list[list[float]]) -> list[tuple[int, int, int]]:
+    """(start, end, bin) of the candidates."""
+    return [(start, end, bin_of(battery(text[start:end], pairs)[1], end - start)) for start, end in candidates(text)]
+
+
+def corpus_pairs(docs: DataFrame) -> np.ndarray:
+    """count_pairs() of every text of docs together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(27 * 26, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for text in batch.slice(at, SLICE_ROWS).column("text").to_pylist():
+                    sums += count_pairs(text or "")
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(found.astype(np.int32)), "n": pa.array(sums[found])})
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "place int, n long")
+    counts = np.zeros(27 * 26, np.int64)
+    for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most 702 rows
+        counts[r["place"]] = r["n"]
+    return counts
 
 
-def cut(docs: DataFrame) -> int | None:
-    """cut_of() over every candidate of docs; at most BINS + 1 rows come to the driver."""
+def rule(docs: DataFrame) -> Rule:
+    """Letter pairs of docs and cut_of() over every candidate; at most BINS + 1 rows come to the driver."""
+    pairs = log_pairs(corpus_pairs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, lengths = Counter(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for text in batch.slice(at, SLICE_ROWS).column("text").to_pylist():
-                    for start, end, b, _ in tested(text or ""):
+                    for start, end, b in tested(text or "", pairs):
                         n[b] += 1
                         lengths[b] += end - start
         yield pa.RecordBatch.from_pydict({"bin": pa.array(list(n), pa.int32()), "n": pa.array(list(n.values()), pa.int64()), "length": pa.array([lengths[b] for b in n], pa.int64())})
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin int, n long, length long")
     rows = counted.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
-    return cut_of({r["bin"]: (r["n"], r["length"]) for r in rows})
+    return Rule(pairs, cut_of({r["bin"]: (r["n"], r["length"]) for r in rows}))
 
 
-def scan(text: str, least: int | None) -> list[tuple[int, int, int]]:
-    """(start, end, place in KINDS) of all spans, in order of start and then kind; least is the corpus's cut."""
+def scan(text: str, of: Rule | None) -> list[tuple[int, int, int]]:
+    """(start, end, place in KINDS) of all spans, in order of start and then kind, by the corpus's rule."""
     found = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
@@ -176,11 +260,11 @@ def scan(text: str, least: int | None) -> list[tuple[int, int, int]]:
             found += [(at + m.start(), at + m.end(), 1) for m in ACCESS.finditer(token) if len(m[0]) >= ACCESS_LENGTH]
         if len(token) >= HEX_LENGTH:
             found += [(at + m.start(), at + m.end(), 2) for m in HEX.finditer(token) if len(m[0]) >= HEX_LENGTH]
-    if least is not None:
+    if of is not None and of.least is not None:
         base = sorted(found)
         at = 0
-        for start, end, b, random in tested(text):
-            if b < least or random < REJECT:
+        for start, end, b in tested(text, of.pairs):
+            if b < of.least:
                 continue
             while at < len(base) and base[at][1] <= start:
                 at += 1
@@ -204,12 +288,12 @@ def secrets(docs: DataFrame) -> DataFrame:
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([docs.schema["doc_id"], T.StructField("spans", T.ArrayType(span)), T.StructField("redacted", T.StringType())])
 
-    least = cut(docs)
+    of = rule(docs)
 
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         def run(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            spans = [scan(x or "", least) for x in texts]
+            spans = [scan(x or "", of) for x in texts]
             return {
                 "doc_id": batch.column("doc_id"),
                 "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in row] for row in spans],
@@ -225,13 +309,13 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and spans as text."""
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_random", T.LongType())])
 
-    least = cut(docs)
+    of = rule(docs)
 
     def kernel() -> Callable[[pa.RecordBatch], dict]:
         said = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
         def run(batch: pa.RecordBatch) -> dict:
-            found = [scan(x or "", least) for x in batch.column("text").to_pylist()]
+            found = [scan(x or "", of) for x in batch.column("text").to_pylist()]
             base = [said([x for x in row if x[2] < 3]) for row in found]
             return {
                 "doc_id": batch.column("doc_id"),
@@ -247,14 +331,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact_texts(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; all other columns stay."""
-    least = cut(docs)
+    of = rule(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                texts = [x and redact(x, scan(x, least)) for x in part.column(place).to_pylist()]
+                texts = [x and redact(x, scan(x, of)) for x in part.column(place).to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -51,8 +51,8 @@ def test_stages_against_brute_force(stages, spark):
     gone = every_earlier({i: r.text for i, r in known.items()}, 50)
     assert {i: r.text for i, r in edited.items()} == {i: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i]) for i, r in known.items()}
     assert set(single) == least_of_groups({i: r.text for i, r in edited.items()})
-    least = secret_scan.cut(spark.createDataFrame([(r.text,) for r in single.values()], "text string"))
-    assert {i: (r.text, r.n_chars) for i, r in safe.items()} == {i: (t := secret_scan.redact(r.text, secret_scan.scan(r.text, least)), len(t)) for i, r in single.items()}
+    rule = secret_scan.rule(spark.createDataFrame([(r.text,) for r in single.values()], "text string"))
+    assert {i: (r.text, r.n_chars) for i, r in safe.items()} == {i: (t := secret_scan.redact(r.text, secret_scan.scan(r.text, rule)), len(t)) for i, r in single.items()}
     check(packed, packing.SIZE)
     assert {r.doc_id for r in packed} == set(safe)
 

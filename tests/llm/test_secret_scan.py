@@ -24,54 +24,177 @@ def test_base_spans_on_random_texts():
         assert [x for x in s.scan(text, None) if x[2] < 3] == base(text), text
 
 
-BASE64, BASE32, HEX = string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", "0123456789abcdef"
-PLAIN = ("internationalization_of_things", "usr/local/lib/python3/dist-packages", "getUserAccountBalanceByIdentifier", "a" * 64, "-" * 80, "1234567890" * 4, "Donaudampfschifffahrtsgesellschaft", "THIS_IS_A_LONG_CONSTANT_NAME_2", "name=internationalization_of_things")
+D, U, L = string.digits, string.ascii_uppercase, string.ascii_lowercase
+#: Encodings of planted tokens.
+PLANTED = {"hex": D + "abcdef", "HEX": D + "ABCDEF", "lower": L, "upper": U, "base32": U + "234567", "base36": D + L, "letters": U + L, "base62": D + U + L, "base64": D + U + L + "+/", "base64url": D + U + L + "-_"}
+PLAIN = ("internationalization_of_things", "usr/local/lib/python3/dist-packages", "getUserAccountBalanceByIdentifier", "a" * 64, "-" * 80, "1234567890" * 4, "Donaudampfschifffahrtsgesellschaft", "THIS_IS_A_LONG_CONSTANT_NAME_2", "name=internationalization_of_things", "2024-01-02/2024-01-03_12-30", "XMLHttpRequestEventTargetFactoryBean", D * 3)
+PROSE = "the request that was sent to the internal account of a user is either balanced or identified by the constant name of its long path and things such as ships are on the way to the local society "
+
+
+def words(rnd, n):
+    syllables = [a + b for a in "b c d f g l m n p r s t st tr sch".split() for b in "a e i o u ei au ie en er".split()]
+    return ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 14))) for _ in range(n)]
+
+
+def brute_pairs(texts):
+    """Chance of a letter after another (or at a word's start), counted symbol by symbol outside candidates."""
+    n = {}
+    for text in texts:
+        inside = {i for a, b in s.candidates(text) for i in range(a, b)}
+        for i, c in enumerate(text):
+            if c in U + L and i not in inside:
+                p = text[i - 1] if i and i - 1 not in inside else " "
+                p = p.lower() if p in U + L and not (p in L and c in U) else ""
+                n[p, c.lower()] = n.get((p, c.lower()), 0) + 1
+    total = sum(n.values())
+    letter = {c: (sum(v for (_, x), v in n.items() if x == c) + 1 / 26) / (total + 1) for c in L}
+    chance = {}
+    for p in ("", *L):
+        all_ = sum(v for (x, _), v in n.items() if x == p)
+        for c in L:
+            chance[p, c] = 0.98 * (n.get((p, c), 0) + letter[c]) / (all_ + 1) + 0.02 / 26
+    return chance
+
+
+def kind(c):
+    return 0 if c in D else 1 if c in L else 2 if c in U else 3
+
+
+def brute_evidence(token, chance):
+    """The battery from its definition: products of chances, exact to floating point for short tokens."""
+    body = token.rstrip("=")
+    if len(body) < 20 or all(c in D for c in body):
+        return 0.0
+    fits = [a for _, a in s.ENCODINGS if all(c in a for c in body)]
+    ordinary = 0.25
+    for i, c in enumerate(body):
+        p = body[i - 1] if i else ""
+        ordinary *= s.CLASSES[kind(p)][kind(c)] if i else 1
+        if kind(c) in (1, 2):
+            ordinary *= chance[p.lower() if i and kind(p) in (1, 2) and (kind(p), kind(c)) != (1, 2) else "", c.lower()]
+        else:
+            ordinary *= 1 / 10 if c in D else 1 / 5
+    log = math.log(sum(len(a) ** -len(body) for a in fits) / len(s.ENCODINGS) / ordinary)
+    alphabet, n = fits[0], len(body)
+    x, k = [alphabet.index(c) for c in body], len(fits[0])
+    chi, df = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k)), k - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    below = sum(2 * v < k for v in range(k)) / k
+    change = 2 * below * (1 - below)
+    seen = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:]))
+    z_runs = (abs(seen - change * (n - 1)) - 0.5) / (change * (1 - change) * (n - 1)) ** 0.5
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    z_serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread) * n**0.5 if spread else 0.0
+    upper = lambda z: 0.5 * math.erfc(z / 2**0.5)
+    least = 3 * min(upper(z_chi), 2 * upper(z_runs), 2 * upper(z_serial))
+    return 0.0 if least < s.REJECT else max(0.0, log)
 
 
 def brute_spans(texts, level=1e-3):
     """Benjamini-Hochberg over all candidates at once, on the bins' bounds, straight from its definition."""
+    chance = brute_pairs(texts)
     found = []
     for k, text in enumerate(texts):
         for start, end in s.candidates(text):
-            name, ordinary, random_ = s.battery(text[start:end])
-            found.append((k, start, end, s.bin_of(ordinary, end - start), random_))
+            found.append((k, start, end, math.floor(8 * (math.log(end - start) + brute_evidence(text[start:end], chance)))))
     m = len(found)
     mean = sum(x[2] - x[1] for x in found) / m
     order = sorted(found, key=lambda x: -x[3])
     last = 0
     for i, x in enumerate(order, 1):
         # the bound of the bin holds for the last of it
-        if (i == m or order[i][3] < x[3]) and m * mean * math.exp(-x[3] / s.STEPS) <= level * i:
+        if (i == m or order[i][3] < x[3]) and m * mean * math.exp(-x[3] / 8) <= level * i:
             last = i
-    return {(k, a, b) for k, a, b, _, r in order[:last] if r >= s.REJECT}
+    return {(k, a, b) for k, a, b, _ in order[:last]}
+
 
+def planted_corpus(rnd, each=12, plain=600):
+    planted = {}
+    for name, alphabet in PLANTED.items():
+        for n in (24, 30, 40):
+            for _ in range(each):
+                planted[len(planted)] = (name, "".join(rnd.choice(alphabet) for _ in range(n)))
+    docs = {i: f"key is {t} here" for i, (_, t) in planted.items()}
+    docs |= {10_000 + i: f"{PROSE}{PLAIN[i % len(PLAIN)]} there{i}" for i in range(plain)}
+    return planted, docs
 
-def test_random_tokens_are_found_and_words_are_not(corpus):
-    rnd = random.Random(4)
-    planted = {i: "".join(rnd.choice(BASE64) for _ in range(40)) for i in range(60)}
-    docs = {i: f"key is {t} here" for i, t in planted.items()} | {100 + i: f"see {PLAIN[i % len(PLAIN)]} there{i}" for i in range(400)}
+
+def test_planted_tokens_of_every_encoding_are_found_and_words_are_not(corpus):
+    planted, docs = planted_corpus(random.Random(4))
     rows = {r.doc_id: r.spans for r in s.digests(corpus(list(docs.items()), parts=3)).collect()}
-    assert sum(rows[i] == "random:7:47" for i in planted) >= 55
-    assert not any("random" in rows[i] for i in docs if i >= 100)
+    for name in PLANTED:
+        own = [i for i, (x, _) in planted.items() if x == name]
+        # hex of 32 symbols and more is a span of the patterns
+        assert sum(rows[i] == f"{'hex' if name == 'hex' and len(planted[i][1]) >= 32 else 'random'}:7:{7 + len(planted[i][1])}" for i in own) >= 0.9 * len(own), name
+    assert not any("random" in rows[i] for i in docs if i >= 10_000)
+
+
+def test_spans_equal_brute_force(corpus):
+    planted, docs = planted_corpus(random.Random(8), each=3, plain=120)
+    rows = {r.doc_id: r.spans.split(",") for r in s.digests(corpus(list(docs.items()), parts=4)).collect()}
     keys = sorted(docs)
-    want = brute_spans([docs[k] for k in keys])
-    assert {(keys[k], f"random:{a}:{b}") for k, a, b in want} == {(i, x) for i, x in rows.items() if "random" in x}
+    base_hex = {i for i, (x, t) in planted.items() if x == "hex" and len(t) >= 32}
+    want = {(keys[k], f"random:{a}:{b}") for k, a, b in brute_spans([docs[k] for k in keys]) if keys[k] not in base_hex}
+    assert want == {(i, x) for i, xs in rows.items() for x in xs if x.startswith("random")} and len(want) > 70
+
+
+def test_evidence_equals_its_definition():
+    rnd = random.Random(2)
+    texts = [" ".join(words(rnd, 400)), "Getting aBc XyZ 3d x_y " + PROSE, "no" + "q" * 30 + "es", ""]
+    pairs = s.log_pairs(sum(s.count_pairs(t) for t in texts))
+    chance = brute_pairs(texts)
+    for p, row in zip((*L, ""), pairs):
+        assert all(math.isclose(math.exp(v), chance[p, c], rel_tol=1e-9) for c, v in zip(L, row))
+    tokens = [t for t in PLAIN if "=" not in t] + ["".join(rnd.choice(a) for _ in range(rnd.randrange(20, 60))) for a in PLANTED.values() for _ in range(20)]
+    for t in tokens:
+        assert math.isclose(s.battery(t, pairs)[1], brute_evidence(t, chance), rel_tol=1e-6, abs_tol=1e-6), t
+
+
+def test_chance_of_evidence_among_ordinary_tokens_is_bounded():
+    """Tokens drawn from the ordinary model reach a ratio of x with chance 1 / x at most, at every length."""
+    rnd = random.Random(3)
+    chance = brute_pairs([" ".join(words(rnd, 3000))])
+    pairs = s.log_pairs(s.count_pairs(" ".join(words(random.Random(3), 3000))))
+    signs = (D, L, U, "+/_-=")
+    for n in (20, 40, 80):
+        found = []
+        for _ in range(4000):
+            k, p, out = rnd.randrange(4), "", []
+            for i in range(n):
+                was, k = k, rnd.choices(range(4), s.CLASSES[k])[0] if i else k
+                if k in (1, 2):
+                    at = "" if not out or was not in (1, 2) or (was, k) == (1, 2) else p
+                    p = rnd.choices(L, [chance[at, c] for c in L])[0]
+                    out.append(p.upper() if k == 2 else p)
+                else:
+                    out.append(rnd.choice(signs[k]))
+            found.append(s.ratio("".join(out), pairs))
+        for x in (10, 100):
+            assert sum(v >= math.log(x) for v in found) <= 1.5 * len(found) / x
+
+
+def test_random_symbols_are_seldom_rejected():
+    rnd = random.Random(6)
+    for alphabet in PLANTED.values():
+        for n in (20, 32, 64):
+            assert sum(s.rejection("".join(rnd.choice(alphabet) for _ in range(n)))[1] < 1e-2 for _ in range(600)) <= 18
 
 
 def test_false_discoveries_among_a_whole_corpus():
     """1 token in 50 is random: the share of ordinary ones among what is found stays low, whatever the text they stand in."""
     rnd = random.Random(11)
-    syllables = [a + b for a in "b c d f g l m n p r s t st tr sch".split() for b in "a e i o u ei au ie en er".split()]
-    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(8, 14)))
-    ordinary = [x for x in (word() for _ in range(4000)) if len(x) >= s.MIN_LENGTH]
-    secret = ["".join(rnd.choice(rnd.choice((BASE64, BASE64, HEX))) for _ in range(rnd.randrange(28, 45))) for _ in range(len(ordinary) // 50)]
+    all_words = words(rnd, 9000)
+    ordinary = [x for x in all_words if len(x) >= s.MIN_LENGTH]
+    secret = ["".join(rnd.choice(a) for _ in range(rnd.randrange(24, 45))) for a in rnd.choices(list(PLANTED.values()), k=len(ordinary) // 50)]
+    pairs = s.log_pairs(s.count_pairs(" ".join(all_words)))
     counts = {}
     for token in ordinary + secret:
-        b = s.bin_of(s.battery(token)[1], len(token))
+        b = s.bin_of(s.battery(token, pairs)[1], len(token))
         n, length = counts.get(b, (0, 0))
         counts[b] = n + 1, length + len(token)
-    least = s.cut_of(counts)
-    taken = lambda tokens: sum(bool([x for x in s.scan(f"a {t} b", least) if x[2] == 3]) for t in tokens)
+    rule = s.Rule(pairs, s.cut_of(counts))
+    taken = lambda tokens: sum(bool([x for x in s.scan(f"a {t} b", rule) if x[2] >= 2]) for t in tokens)
     assert taken(secret) >= 0.9 * len(secret) and taken(ordinary) <= 0.01 * taken(secret)
     assert s.cut_of({}) is None and s.cut_of({5: (100, 3000)}) is None
 
