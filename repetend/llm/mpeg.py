@@ -2,7 +2,7 @@
 
 parse() walks any bytes: it skips ID3v2 and ID3v1 tags and reads their text frames, finds frame headers (MPEG 1, 2 and
 2.5, layers I to III), accepts a header after lost synchronisation only if the next one agrees with it, reads Xing, Info
-and VBRI tables, verifies the 16-bit checksums of protected layer III and layer I frames, and gives exact durations
+and VBRI tables, verifies the 16-bit checksums of protected frames of all three layers, and gives exact durations
 and the byte offset of every frame.
 
 wrap() stores bytes without loss as a valid silent MPEG 1 layer III stream: every frame has an empty side information
@@ -10,7 +10,7 @@ block under a checksum, and the payload stands in the ancillary bytes after it.
 bitrate that holds the rest, so the rate varies and the file begins with a Xing table and its seek points.
 
 Defined results: a null text is an empty payload, an empty payload is one block of 64 zero bytes; bytes without any
-frame have no frames and a null duration; damaged frames are skipped and counted as bytes out of synchronisation.
+frame have no frames and a null duration; damaged frames are skipped and counted as bytes out of synchronisation, and so are frames of free format, which state no bitrate.
 Equal texts give equal bytes. Rows stand on their own; columns besides doc_id and text are ignored.
 """
 
@@ -44,6 +44,16 @@ RATES_2 = {
 }
 HERTZ = {10: (44100, 48000, 32000), 20: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 
+#: Layer II, fixed as well: (subbands, bits of an allocation) from the lowest subband on. Of MPEG 1: middle rates, high rates,
+#: low rates, low rates at 32 kHz; of MPEG 2: all.
+ALLOCATIONS = {
+    "middle": ((11, 4), (12, 3), (4, 2)),
+    "high": ((11, 4), (12, 3), (7, 2)),
+    "low": ((2, 4), (6, 3)),
+    "low 32": ((2, 4), (10, 3)),
+    "half": ((4, 4), (7, 3), (19, 2)),
+}
+
 BLOCK = 64
 #: wrap(): 32 kHz mono, layer III, with checksum.
 WRAP_HERTZ, HEAD = 32000, 4 + 2 + 17
@@ -87,16 +97,49 @@ for _i in range(256):
 
 
 @lru_cache(65536)
-def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0x8005 and start 0xFFFF, highest bit first."""
+def crc16(data: bytes, bits: int = 0) -> int:
+    """CRC-16 with polynomial 0x8005 and start 0xFFFF, highest bit first; of the last byte only so many bits, if given."""
     value = 0xFFFF
-    for byte in data:
+    for byte in data[:-1] if bits else data:
         value = (value << 8 & 0xFF00) ^ _TABLE[value >> 8 ^ byte]
+    for k in range(bits):
+        value ^= (data[-1] >> 7 - k & 1) << 15
+        value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
     return value
 
 
+def allocation(h: Header) -> str:
+    """Which of ALLOCATIONS a layer II frame follows."""
+    each = h.kbits if h.mono else h.kbits // 2
+    if h.version > 10:
+        return "half"
+    if each <= 48:
+        return "low 32" if h.hertz == 32000 else "low"
+    return "middle" if h.hertz == 48000 or each <= 80 else "high"
+
+
+def second_bits(data: bytes, at: int, h: Header) -> int:
+    """Bits after the checksum of a layer II frame that it covers: allocations, and a selection for each that is not nought."""
+    field = int.from_bytes(data[at + 6 : at + 46].ljust(40, b"\0"))
+    shared = 4 * (h.extension + 1) if h.mode == 1 else 32
+    used = coded = 0
+    for subband, width in enumerate(width for n, width in ALLOCATIONS[allocation(h)] for _ in range(n)):
+        alone = h.mono or subband < shared
+        for _ in range(1 if h.mono or not alone else 2):
+            used += width
+            if field >> 320 - used & (1 << width) - 1:
+                coded += 1 if alone else 2
+    return used + 2 * coded
+
+
+def intact(data: bytes, at: int, h: Header) -> bool:
+    """Whether the checksum of a protected frame is that of what it covers."""
+    bits = second_bits(data, at, h) if h.layer == 2 else 8 * side_length(h)
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8], bits % 8) == int.from_bytes(data[at + 4 : at + 6])
+
+
 def side_length(h: Header) -> int:
-    """Bytes that the checksum covers after it; 0 where they aren't known from the header."""
+    """Bytes that the checksum covers after it in layers III and I."""
     if h.layer == 3:
         return (17 if h.mono else 32) if h.version == 10 else (9 if h.mono else 17)
     if h.layer == 1:
@@ -199,10 +242,9 @@ def parse(data: bytes) -> Audio:
             following = end if following < 0 else following
             unsynced, at, synced = unsynced + following - at, following, False
             continue
-        covered = side_length(h) if h.protected else 0
-        if covered:
+        if h.protected:
             checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) != int.from_bytes(data[at + 4 : at + 6])
+            bad += not intact(data, at, h)
         if not synced and table is None and not offsets and (table := _table_of(data, at, h)):
             pass
         else:

@@ -42,6 +42,82 @@ def test_headers_of_all_kinds():
         assert mpeg.header(bytes.fromhex(bad)) is None
 
 
+def bitwise(bits):
+    value = 0xFFFF
+    for b in bits:
+        top = (value >> 15) ^ int(b)
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
+#: Second, third and fourth byte of protected layer II headers, channels, subbands sent apart, bits of each subband's allocation.
+SECOND = (
+    ("fc8400", 2, 32, [4] * 11 + [3] * 12 + [2] * 4),  # 128 kbit/s, 48 kHz, stereo
+    ("fc8000", 2, 32, [4] * 11 + [3] * 12 + [2] * 4),  # 128, 44.1
+    ("fca050", 2, 8, [4] * 11 + [3] * 12 + [2] * 7),  # 192, 44.1, joint from the eighth subband
+    ("fc80c0", 1, 32, [4] * 11 + [3] * 12 + [2] * 7),  # 128, 44.1, mono
+    ("fc20c0", 1, 32, [4] * 2 + [3] * 6),  # 48, 44.1, mono
+    ("fc28c0", 1, 32, [4] * 2 + [3] * 10),  # 48, 32, mono
+    ("f48040", 2, 4, [4] * 4 + [3] * 7 + [2] * 19),  # MPEG 2: 64, 22.05, joint from the fourth subband
+)
+
+
+def test_checksums_of_layer_two():
+    rnd = random.Random(1)
+    assert sorted({sum(x[3]) for x in SECOND}) == [26, 38, 75, 88, 94]  # sums that the standard prints
+    for head, channels, apart, widths in SECOND:
+        for _ in range(20):
+            bits = picks = ""
+            for sb, width in enumerate(widths):
+                for _ in range(channels if sb < apart else 1):
+                    value = rnd.choice((0, rnd.randrange(1 << width)))
+                    bits += f"{value:0{width}b}"
+                    for _ in range((channels if sb >= apart else 1) if value else 0):
+                        picks += f"{rnd.randrange(4):02b}"
+            covered = bits + picks
+            first = bytes.fromhex("ff" + head)
+            h = mpeg.header(first)
+            crc = bitwise(f"{int.from_bytes(first[2:]):016b}" + covered)
+            filled = covered + "".join(rnd.choice("01") for _ in range(-len(covered) % 8))
+            frame = (first + crc.to_bytes(2) + int(filled, 2).to_bytes(len(filled) // 8)).ljust(h.length, b"\x55")
+            assert h.layer == 2 and h.protected and mpeg.second_bits(frame, 0, h) == len(covered)
+            audio = mpeg.parse(frame * 3)
+            assert (audio.checked, audio.bad, len(audio.offsets)) == (3, 0, 3)
+            at = 48 + rnd.randrange(len(covered))
+            hurt = bytearray(frame)
+            hurt[at // 8] ^= 128 >> at % 8
+            assert mpeg.parse(bytes(hurt) * 3).bad == 3
+            at = 48 + len(covered)
+            hurt = bytearray(frame)
+            hurt[at // 8] ^= 128 >> at % 8  # the first bit that it does not cover
+            assert mpeg.parse(bytes(hurt) * 3).bad == 0
+
+
+def brute_feature(media):
+    """Of files that wrap() makes: a tag of size bytes, then frames of 32 kHz, 1,152 samples each, by their rate alone."""
+    at = 10 + (media[6] << 21 | media[7] << 14 | media[8] << 7 | media[9])
+    rates = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    frames = []
+    while at < len(media):
+        rate = rates[media[at + 2] >> 4]
+        frames.append((at, rate))
+        at += 1152 // 8 * 1000 * rate // 32000
+    frames = frames[1:]  # the first holds the table
+    kbits = "+".join(f"{r}x{sum(x == r for _, x in frames)}" for r in sorted({x for _, x in frames}))
+    seek = zlib.crc32(b"".join(o.to_bytes(8, "little") for o, _ in frames))
+    n = len(frames)
+    return f"frames={n};samples={1152 * n};hertz=32000;duration_us={36_000 * n};kbits={kbits};checked={n + 1};bad=0;unsynced=0;seek_crc32={seek}"
+
+
+def test_features_of_short_and_very_long_texts(corpus):
+    rnd = random.Random(4)
+    texts = [None, "", "a", "é" * 500, "".join(rnd.choice("abc \n") for _ in range(3000)), "z" * 2_000_000]
+    rows = {r.doc_id: r for r in mpeg.digests(corpus(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        assert rows[i].feature == brute_feature(mpeg.wrap(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))), i
+
+
 def test_tags_at_both_ends():
     frames = mpeg.wrap(b"p" * 100)
     audio = mpeg.parse(frames + b"TAG" + b"Title".ljust(30, b"\0") + b"Artist".ljust(30, b"\0") + bytes(65))
