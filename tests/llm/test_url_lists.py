@@ -48,3 +48,13 @@ def test_entries_with_deeper_paths_and_parent_domains_with_paths(spark):
     ]
     captures, events = frames(spark, [(i, url, day(1), "") for i, url, _ in cases], listed)
     assert {r.page_id: r.pattern for r in url_lists.evaluate(captures, events).collect()} == {i: want for i, _, want in cases}
+
+
+def test_columns_with_clashing_names_and_a_very_long_url(spark):
+    captures, listed = frames(spark, [(1, "http://a.b/" + "x/" * 200, day(1), ""), (2, "http://c.d/" + "y" * 200_000, day(1), "")], [("a.b/x/x", "c", "add", day(0), 9), ("c.d", "c", "add", day(0), 9)])
+    for name in ("host", "salt", "copies", "category", "since", "n_active", "best", "until", "blocked"):
+        captures = captures.withColumn(name, captures["page_id"] * 7)
+        listed = listed if name in listed.columns else listed.withColumn(name, listed["since"])
+    found = url_lists.evaluate(captures, listed)
+    assert found.columns == ["page_id", "url", "day", "host", "blocked", "pattern", "category", "since", "n_active"]
+    assert sorted((r.page_id, r.host, r.pattern, r.since, r.n_active) for r in found.collect()) == [(1, "a.b", "a.b/x/x", day(0), 1), (2, "c.d", "c.d", day(0), 1)]
