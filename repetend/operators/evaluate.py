@@ -30,7 +30,8 @@ def union_intervals(spans: DataFrame, key: list[str]) -> DataFrame:
     rows = ranged(spans.select(*key, "start", "end").filter("end > start"), key, ["start", "end"])
     seen = running(rows, key, ["start", "end"], maxima={"before": "end"}, before=True)
     new = checkpointed(seen.withColumn("new", F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).drop("before"))
-    runs = running(new, key, ["start", "end"], sums={"run": "new"})
+    # of equal spans the one that begins a run stands first, whatever order they come in
+    runs = running(new, key, ["start", "end", F.desc("new")], sums={"run": "new"})
     return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
 
 

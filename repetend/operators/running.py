@@ -29,10 +29,10 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[f"{n}_"]) for n in names))
 
 
-def running(rows: DataFrame, key: list[str], order: list[str], sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, *, before: bool = False) -> DataFrame:
+def running(rows: DataFrame, key: list[str], order: list[str | Column], sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, *, before: bool = False) -> DataFrame:
     """rows of ranged() with running sums and maxima (new name: column), each up to its row, or with before up to the one before it.
 
-    Equal rows of the order stand in any order among themselves. Sums start at 0, maxima at null. Values are integers:
+    Equal rows of the order stand in any order among themselves; order may go on where that of ranged() ends. Sums start at 0, maxima at null. Values are integers:
     sums of these are the same whatever the ranges are.
     """
     sums, maxima = sums or {}, maxima or {}
