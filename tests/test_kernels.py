@@ -257,3 +257,25 @@ def test_periods_together_as_each_alone():
             distance, end = rescoring.align(code, rescoring.anchors(code, p, "x", cfg), p, cfg)
             assert (found.distance == distance).all() and (found.end == end).all()
     assert [len(p.at) for p in rescoring.pairs_of(code[:30], [20, 25], "x", rescoring.RescoreConfig())] == [0, 0]
+
+
+def test_homology_of_many_kinds_is_exact_and_bounded():
+    """Kinds against exact whole numbers, and memory that follows the kinds, not blocks times k-mers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    code = np.where(rng.random(60000) < 0.11, rng.integers(0, 4, 60000), np.tile(rng.integers(0, 4, 20), 3000)).astype(np.uint8)
+    tracemalloc.start()
+    found = homology.probe(code, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.n_blocks > 2990 and found.n_subtypes > 900 and peak < 20 << 20
+
+    few = code[:4000]
+    found, word = homology.probe(few, 20), homology.canonical_words(few, 5)
+    kinds = []
+    for i in range(found.n_blocks):
+        own = np.bincount(word[found.offset + 20 * i : found.offset + 20 * i + 16], minlength=1024)
+        if not any(400 * int(own @ x) ** 2 >= 289 * int(own @ own) * int(x @ x) for x in kinds):
+            kinds.append(own)
+    assert found.n_subtypes == len(kinds) > 50
