@@ -279,3 +279,21 @@ def test_homology_of_many_kinds_is_exact_and_bounded():
         if not any(400 * int(own @ x) ** 2 >= 289 * int(own @ own) * int(x @ x) for x in kinds):
             kinds.append(own)
     assert found.n_subtypes == len(kinds) > 50
+
+
+def test_identities_of_pairs_together():
+    """Pairs of all lengths in one recurrence against a plain one each."""
+    from repetend.kernels import synth
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + int(x != y)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b), 1)
+
+    rng = np.random.default_rng(3)
+    pairs = [tuple(rng.integers(0, 5, int(rng.integers(0, 12))).astype(np.uint8) for _ in range(2)) for _ in range(200)]
+    assert synth.identities(pairs).tolist() == [plain(a.tolist(), b.tolist()) for a, b in pairs]
