@@ -297,3 +297,23 @@ def test_identities_of_pairs_together():
     rng = np.random.default_rng(3)
     pairs = [tuple(rng.integers(0, 5, int(rng.integers(0, 12))).astype(np.uint8) for _ in range(2)) for _ in range(200)]
     assert synth.identities(pairs).tolist() == [plain(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def test_records_are_rescored_together_as_each_alone(monkeypatch):
+    """One alignment serves records of any lengths, and k-mer neighbours of a record are found once for all its rows."""
+    from repetend.operators import rescore
+
+    rnd, cfg = random.Random(8), rescoring.RescoreConfig(samples=50)
+    records = [(symbols.codes("".join(mutated(rnd, unit, 0.05) for _ in range(n))), [len(unit), 2 * len(unit)], str(n)) for n, unit in ((12, dna(rnd, 40)), (30, dna(rnd, 25)), (9, dna(rnd, 90)))]
+    records.insert(1, (symbols.codes("ACGT"), [20], "short"))
+    together = rescoring.pairs_of_records(records, cfg)
+    for (code, periods, name), own in zip(records, together, strict=True):
+        for p, q in zip(rescoring.pairs_of(code, periods, name, cfg), own, strict=True):
+            assert p.period == q.period and all(np.array_equal(getattr(p, n), getattr(q, n)) for n in ("at", "distance", "end"))
+            assert np.array_equal(rescoring.distances(code, q.at, np.full(len(q.at), q.period), cfg)[0], q.distance) if len(q.at) else True
+
+    calls, plain = [], symbols.neighbours
+    monkeypatch.setattr(symbols, "neighbours", lambda word: calls.append(1) or plain(word))
+    rows = [{"rank": i + 1, "period": p, "wanted": i < 2} for i, p in enumerate(range(40, 60))]
+    found = rescore._rescored(records[0][0], "12", rows, cfg, True)
+    assert len(found) == 20 and found[0][-3] == 40 and len(calls) == 1
