@@ -317,3 +317,23 @@ def test_records_are_rescored_together_as_each_alone(monkeypatch):
     rows = [{"rank": i + 1, "period": p, "wanted": i < 2} for i, p in enumerate(range(40, 60))]
     found = rescore._rescored(records[0][0], "12", rows, cfg, True)
     assert len(found) == 20 and found[0][-3] == 40 and len(calls) == 1
+
+
+def test_words_are_locked_together_as_each_alone():
+    """Usual distances of all k-mers in one go, against loops; of equally frequent distances the least counts."""
+    rng = np.random.default_rng(7)
+    words = [np.unique(rng.integers(0, 900, int(rng.integers(1, 40)))) for _ in range(150)] + [np.arange(i, 900, 30) for i in range(5)] + [np.array([0, 30, 90, 120, 180])]
+
+    def alone(places):
+        gaps = np.diff(places).tolist()
+        if len(places) < 3:
+            return None
+        usual = min(gaps, key=lambda g: (-gaps.count(g), g))
+        if not any(abs(usual - t) / t <= register.TOLERANCE for t in [m * 30.0 for m in register.MULTIPLES] + [30.0 / m for m in register.DIVISORS]):
+            return None
+        n = [int(g / usual + 0.5) for g in gaps]
+        near = [1 <= m <= register.MOST_SKIPPED + 1 and abs(g - m * usual) <= register.TOLERANCE * max(m, 1) * usual for g, m in zip(gaps, n)]
+        return usual if sum(near) / len(near) >= register.NEAR_SHARE else None
+
+    want = [(w.tolist(), float(u)) for w in words if (u := alone(w)) is not None]
+    assert [(w.tolist(), u) for w, u in register.locked_words(words, 30.0)] == want and len(want) >= 6
