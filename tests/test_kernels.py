@@ -337,3 +337,18 @@ def test_words_are_locked_together_as_each_alone():
 
     want = [(w.tolist(), float(u)) for w in words if (u := alone(w)) is not None]
     assert [(w.tolist(), u) for w, u in register.locked_words(words, 30.0)] == want and len(want) >= 6
+
+
+def test_replicates_are_counted_together_as_each_alone(monkeypatch):
+    """The envelope of all replicates, and states of stretches made by doubling, against one after the other."""
+    seeds = np.array([3, 5, 1 << 63], np.uint64)
+    plain = [seeds]
+    for _ in range(1000):
+        plain.append(xorshift._step(plain[-1]))
+    assert np.array_equal(xorshift.runs(seeds, 1000), np.stack(plain[1:], axis=1)) and xorshift.STRIDE < 256
+
+    code, cfg = symbols.codes(dna(random.Random(2), 700) + "N" * 9 + "ACGTACGGT" * 40), periodogram.PeriodogramConfig()
+    together, drawn = periodogram.background(code, "x", cfg), list(periodogram.random_codes("x", np.bincount(code, minlength=5)[:4], len(code), 10))
+    assert np.array_equal(periodogram.envelope_of(np.stack(drawn), 6), np.max([periodogram.histogram(d, 6) for d in drawn], axis=0))
+    monkeypatch.setattr(periodogram, "SHORT", 0)
+    assert np.array_equal(together, periodogram.background(code, "x", cfg))
