@@ -352,3 +352,22 @@ def test_replicates_are_counted_together_as_each_alone(monkeypatch):
     assert np.array_equal(periodogram.envelope_of(np.stack(drawn), 6), np.max([periodogram.histogram(d, 6) for d in drawn], axis=0))
     monkeypatch.setattr(periodogram, "SHORT", 0)
     assert np.array_equal(together, periodogram.background(code, "x", cfg))
+
+
+def test_monomers_of_long_periods_take_little_room(monkeypatch):
+    """Words ranked by doubling against words counted as text; room follows the sequence, not sequence times period."""
+    import tracemalloc
+
+    rnd, cfg = random.Random(6), motifs.MotifConfig(least_ratio=0.0, most_monomers=20)
+    cases = [("".join(mutated(rnd, unit, 0.02) for _ in range(12)) + "NN" + dna(rnd, 40), p) for p, unit in ((7, dna(rnd, 7)), (50, dna(rnd, 50)), (64, dna(rnd, 64)))]
+    text = [motifs.monomers(s, p, cfg) for s, p in cases]
+    assert all(len({motifs.canonical(w) for w, _ in own}) == len(own) > 1 for own in text)
+    monkeypatch.setattr(motifs, "TOGETHER", 0)
+    assert [motifs.monomers(s, p, cfg) for s, p in cases] == text
+    monkeypatch.undo()
+    long = dna(rnd, 20000)
+    tracemalloc.start()
+    motifs.monomers(long, 3000, cfg)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
