@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repetend.operators.running import ranged, running
-from repetend.operators.shared import checkpointed
+from repetend.operators.shared import checkpointed, release
 
 
 def accuracy(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -56,40 +56,40 @@ def resolve_aliases(intervals: DataFrame, key: list[str], share: float = 0.5) ->
     """The intervals (key, start, end, period) that remain when shorter periods come first.
 
     An interval goes if one of a shorter period that remains covers at least a share of its length. Equal rows are one;
-    empty intervals go. Whoever covers a share of an interval holds one of the places that stand a share apart in it,
-    so intervals are looked up at those few places among intervals of each size class, by bins of the class's size.
-    Then every round settles the intervals all of whose coverers are settled; there are no more rounds than periods
-    that follow one another so.
+    empty intervals go. Size classes go up by four, and have bins as wide as their intervals may be: an interval stands in
+    two bins of its class at most, and asks the classes that are long enough to cover a share of it, in one and a half bins on
+    average; a pair meets where its overlap begins. Pairs are two numbers each. Every round takes away what a certain interval
+    covers, and with it the pairs of both sides, so what is kept shrinks; there are no more rounds than periods that follow one
+    another so.
     """
     if not 0 < share <= 1:
         raise ValueError("share is above 0 and at most 1")
     own = ["start", "end", "period"]
-    rows = checkpointed(intervals.select(*key, *[F.col(c).cast("bigint").alias(c) for c in own]).filter("end > start").distinct().withColumn("id", F.struct(*key, *own)))
-    class_ = F.floor(F.log2(F.col("end") - F.col("start"))).cast("int")
-    bin_ = lambda place: F.floor(place / F.pow(F.lit(2.0), F.col("class"))).cast("bigint")
-    # an interval is less than twice as long as its class's bins: it meets three at most
-    held = rows.withColumn("class", class_).withColumn("bin", F.explode(F.sequence(bin_(F.col("start")), bin_(F.col("end")))))
-    held = held.select(*[F.col(c).alias(f"{c}_") for c in (*key, *own, "id")], "class", "bin")
-    # of two whole numbers' logarithms there are at most 63
-    classes = [r["class"] for r in rows.select(class_.alias("class")).distinct().collect()]
-    steps = int(1 / share) + 1
+    rows = intervals.select(*key, *[F.col(c).cast("bigint").alias(c) for c in own]).filter("end > start").distinct()
+    rows = checkpointed(rows.withColumn("id", F.monotonically_increasing_id()))
     length = F.col("end") - F.col("start")
-    places = F.array(*[F.least(F.col("end"), F.floor(F.col("start") + length * min(1.0, i * share))) for i in range(steps + 1)])
-    asked = rows.withColumn("place", F.explode(F.array_distinct(F.flatten(F.array(places, F.transform(places, lambda x: x + 1))))))
-    asked = asked.withColumn("class", F.explode(F.array(*map(F.lit, classes or [0])))).withColumn("bin", bin_(F.col("place")))
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]
-    overlap = F.least("end", "end_") - F.greatest("start", "start_")
-    found = asked.join(held.withColumnsRenamed({"class": "class_", "bin": "bin_"}), [*same, F.col("class") == F.col("class_"), F.col("bin") == F.col("bin_"), F.col("period_") < F.col("period"), overlap >= share * length])
-    edges = checkpointed(found.select(F.col("id_").alias("by"), "id").distinct())
-    settled = checkpointed(rows.select("id").join(edges.select("id"), "id", "left_anti").withColumn("kept", F.lit(True)))
-    while True:
-        waiting = edges.join(settled.select(F.col("id").alias("by"), F.col("kept").alias("by_kept")), "by", "left").join(settled.select("id"), "id", "left_anti")
-        decided = waiting.groupBy("id").agg(F.max(F.coalesce("by_kept", F.lit(False))).alias("covered"), F.min(F.col("by_kept").isNotNull()).alias("all_known"))
-        fresh = checkpointed(decided.filter("covered or all_known").select("id", (~F.col("covered")).alias("kept")))
-        if not fresh.limit(1).count():
-            break
-        settled = checkpointed(settled.unionByName(fresh))
-    return rows.join(settled.filter("kept").select("id"), "id", "left_semi").drop("id")
+    class_ = F.floor((F.length(F.bin(length)) - 1) / 2).cast("int")
+    bin_ = lambda place: F.call_function("shiftright", place, 2 * (F.col("class") + 1))
+    in_bins = lambda df: df.withColumn("bin", F.explode(F.sequence(bin_(F.col("start")), bin_(F.col("end") - 1))))
+    # lengths are whole numbers of at most 63 bits, so there are at most 32 classes
+    classes = [r["class"] for r in rows.select(class_.alias("class")).distinct().collect()]
+    long_enough = F.filter(F.array(*map(F.lit, classes or [0])), lambda c: F.pow(F.lit(4.0), c + 1) > share * length)
+    held = in_bins(rows.withColumn("class", class_)).withColumnsRenamed({c: f"{c}_" for c in (*key, *own, "id", "class", "bin")})
+    asked = in_bins(rows.withColumn("class", F.explode(long_enough)))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in (*key, "class", "bin")]
+    first = F.greatest("start", "start_")
+    found = asked.join(held, [*same, F.col("period_") < F.col("period"), F.least("end", "end_") - first >= share * length, bin_(first) == F.col("bin")])
+    edges, covered = checkpointed(found.select(F.col("id_").alias("by"), "id")), []
+    while not edges.isEmpty():
+        certain = edges.select("by").join(edges.select(F.col("id").alias("by")), "by", "left_anti").distinct()
+        gone = checkpointed(edges.join(certain, "by", "left_semi").select("id").distinct())
+        rest = checkpointed(edges.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("by")), "by", "left_anti"))
+        release(edges)
+        covered.append(gone)
+        edges = rest
+    for gone in covered:
+        rows = rows.join(gone, "id", "left_anti")
+    return rows.drop("id")
 
 
 def harmonic_family(peaks: DataFrame, tol: float = 0.02, most: int = 20) -> DataFrame:

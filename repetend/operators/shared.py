@@ -22,3 +22,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, with its lineage cut: it is worked out once, and a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(kept: DataFrame) -> None:
+    """Delete the files of what checkpointed() gave; nothing may read them again."""
+    file = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = kept.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(kept.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -142,3 +142,23 @@ def test_costly_kernels_get_more_parts_as_files_grow(spark, tmp_path, monkeypatc
     one = spark.range(64).selectExpr("'a' record_id", "cast(id as int) first")
     filled = periodogram.spread(one, ("record_id", "first")).rdd.glom().map(len).collect()
     assert sum(n > 0 for n in filled) > 4
+
+
+def test_alias_rounds_keep_no_more_than_the_rows(spark):
+    """Twelve rounds of a chain beside many lone rows: what is kept in the shared folder follows the rows, not rows times rounds."""
+    from pathlib import Path
+
+    from repetend.operators.shared import checkpointed, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    chain = [("chain", 10 * i, 10 * i + 20, i + 1) for i in range(12)]
+    lone = [(f"k{i}", 5, 25, 1) for i in range(4000)]
+    rows = spark.createDataFrame(chain + lone, "k string, start long, end long, period long")
+    before = size()
+    checkpointed(rows.repartition(4))
+    once = size() - before
+    left = evaluate.resolve_aliases(rows, ["k"])
+    kept = size() - before - once
+    assert sorted(r.period for r in left.filter("k = 'chain'").collect()) == [1, 3, 5, 7, 9, 11] and left.count() == 4006
+    assert kept < 3 * once
