@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from repetend.kernels import periodogram as kernel
 from repetend.kernels import symbols
 from repetend.kernels.periodogram import PeriodogramConfig
+from repetend.operators import periodogram
 from repetend.operators.periodogram import PEAK, map_records
 from repetend.operators.sequences import composition
 from repetend.operators.shared import checkpointed
@@ -43,17 +44,27 @@ def chunks(recs: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     return rows.withColumn("start", F.col("chunk").cast("bigint") * size).repartition("record_id", "chunk")
 
 
-_PARTS = "record_id string, replicate int, chunk int, d bigint, h bigint, word bigint, first bigint, last bigint"
+_PARTS = "record_id string, replicate int, chunk int, ds array<struct<d: bigint, h: bigint>>, words array<struct<word: bigint, first: bigint, last: bigint>>"
 
 
 def partial_histograms(recs: DataFrame, cfg: PeriodogramConfig, size: int = CHUNK) -> DataFrame:
-    """What each chunk adds to its record's histogram (replicate OWN) and to those of its random replicates."""
+    """What each chunk adds to its record's histogram (replicate OWN) and to those of its random replicates, a row each.
+
+    Rows are kept only where there are replicates: without them it costs less to make both lists twice than to write them.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType.fromDDL(_PARTS)
-    names = schema.names
+    listed = {n: to_arrow_schema(schema).field(n).type for n in ("ds", "words")}
+
+    def lists(name: str, columns: list[list[np.ndarray]]) -> pa.ListArray:
+        """One list a row, of structs whose columns come as a list of arrays each."""
+        kind = listed[name]
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32()), flat, type=kind)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in names}
+        heads, found = [], []
         for row in batch.to_pylist():
             code = symbols.codes(row["piece"])
             drawn = [(OWN, code)]
@@ -62,31 +73,37 @@ def partial_histograms(recs: DataFrame, cfg: PeriodogramConfig, size: int = CHUN
                 drawn += enumerate(kernel.random_codes(row["record_id"] or "", counts, len(code), cfg.replicates, row["start"]))
             for replicate, own in drawn:
                 p = kernel.part(own, cfg.k)
-                n, m = len(p.distance), len(p.word)
-                gap = np.full(n + m, None)
-                for name, head, tail in (("d", p.distance, gap[:m]), ("h", p.count, gap[:m]), ("word", gap[:n], p.word), ("first", gap[:n], p.first + row["start"]), ("last", gap[:n], p.last + row["start"])):
-                    out[name] += [*head.tolist(), *tail.tolist()]
-                for name, value in (("record_id", row["record_id"]), ("replicate", replicate), ("chunk", row["chunk"])):
-                    out[name] += [value] * (n + m)
-        return out
+                heads.append((row["record_id"], replicate, row["chunk"]))
+                found.append((p.distance, p.count, p.word, p.first + row["start"], p.last + row["start"]))
+        ids, replicates, numbers = map(list, zip(*heads, strict=True))
+        columns = [list(c) for c in zip(*found, strict=True)]
+        return {"record_id": ids, "replicate": replicates, "chunk": numbers, "ds": lists("ds", columns[:2]), "words": lists("words", columns[2:])}
 
     long = recs if not cfg.replicates else recs.select("record_id", "seq").join(composition(recs).select("record_id", *COUNTS), "record_id")
-    return checkpointed(map_records(chunks(long, cfg.k, size), rows, schema, rows=1, costly=False))
+    made = map_records(chunks(long, cfg.k, size), rows, schema, rows=1, costly=False)
+    return checkpointed(made) if cfg.replicates else made
 
 
 def histograms(recs: DataFrame, cfg: PeriodogramConfig, size: int = CHUNK) -> DataFrame:
     """record_id, replicate, d, h over whole records."""
     parts = partial_histograms(recs, cfg, size)
     own = Window.partitionBy("record_id", "replicate", "word").orderBy("chunk")
-    across = parts.filter("word is not null").withColumn("d", F.col("first") - F.lag("last").over(own)).filter("d is not null")
-    both = parts.filter("d is not null").select("record_id", "replicate", "d", "h").unionByName(across.select("record_id", "replicate", "d", F.lit(1).cast("bigint").alias("h")))
+    words = parts.select("record_id", "replicate", "chunk", F.inline("words"))
+    across = words.withColumn("d", F.col("first") - F.lag("last").over(own)).filter("d is not null")
+    both = parts.select("record_id", "replicate", F.inline("ds")).unionByName(across.select("record_id", "replicate", "d", F.lit(1).cast("bigint").alias("h")))
     return both.groupBy("record_id", "replicate", "d").agg(F.sum("h").alias("h"))
 
 
+def in_one_chunk(k: int, size: int) -> Column:
+    """Whether a record is one chunk: nothing of it has to meet, and it fits a task as it is."""
+    return F.length("seq") < size + k
+
+
 def distance_histogram(recs: DataFrame, k: int = 6, size: int = CHUNK) -> DataFrame:
     """record_id, d, h, as operators.periodogram.distance_histogram."""
-    found = histograms(recs, PeriodogramConfig(k=k, replicates=0), size)
-    return found.select("record_id", F.col("d").cast("int").alias("d"), "h")
+    one = in_one_chunk(k, size)
+    found = histograms(recs.filter(~one), PeriodogramConfig(k=k, replicates=0), size)
+    return found.select("record_id", F.col("d").cast("int").alias("d"), "h").unionByName(periodogram.distance_histogram(recs.filter(one), k))
 
 
 def local_maxima(rows: DataFrame, key: str, at: str, value: str, stretch: int = STRETCH) -> DataFrame:
@@ -137,9 +154,14 @@ def background(drawn: DataFrame, lengths: DataFrame, cfg: PeriodogramConfig, str
 
 
 def peaks(recs: DataFrame, cfg: PeriodogramConfig = PeriodogramConfig(), size: int = CHUNK, stretch: int = STRETCH) -> DataFrame:
-    """Ranked peaks of each record as rows, as operators.periodogram.long_peaks gives them."""
+    """Ranked peaks of each record as rows, as operators.periodogram.long_peaks gives them; records of one chunk go that way."""
     if cfg.least_distance > 1:
         raise ValueError("peaks of chunked records have no least distance")
+    one = in_one_chunk(cfg.k, size)
+    return _peaks_of_chunks(recs.filter(~one), cfg, size, stretch).unionByName(periodogram.long_peaks(periodogram.periodograms(recs.filter(one), cfg)))
+
+
+def _peaks_of_chunks(recs: DataFrame, cfg: PeriodogramConfig, size: int, stretch: int) -> DataFrame:
     lengths = recs.filter(F.length("seq") >= cfg.k + 2).select("record_id", F.length("seq").alias("length_bp"))
     found = histograms(recs, cfg, size)
     found = checkpointed(found) if cfg.replicates else found

@@ -66,3 +66,17 @@ def test_parts_of_a_run_and_of_a_sequence():
     assert dict(zip(p.distance.tolist(), p.count.tolist(), strict=True)) == {4: 1, 6: 1, 10: 2}
     assert p.first.tolist() == [0, 1, 2, 3] and p.last.tolist() == [10, 11, 12, 3]
     assert kernel.part(code[:3], 4).word.size == 0
+
+
+def test_chunks_without_replicates_keep_nothing(spark, recs):
+    """Partial histograms are made again rather than written, and a row holds a chunk's lists."""
+    from pathlib import Path
+
+    from repetend.operators.shared import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = sum(1 for _ in folder.rglob("part-*"))
+    found = long_records.peaks(recs, PeriodogramConfig(replicates=0), 500, 500)
+    assert found.count() > 5 and sum(1 for _ in folder.rglob("part-*")) == before
+    parts = long_records.partial_histograms(recs.filter("record_id = 'array'"), PeriodogramConfig(replicates=0), 500)
+    assert parts.count() == len(range(0, 171 * 40 - 5, 500))
