@@ -137,6 +137,7 @@ def test_costly_kernels_get_more_parts_as_files_grow(spark, tmp_path, monkeypatc
     rows = spark.read.parquet(str(tmp_path / "x"))
     least = spark.sparkContext.defaultParallelism * periodogram.SPREAD_PARTS
     assert periodogram.spread(rows).rdd.getNumPartitions() == least
+    assert periodogram.spread(spark.range(9).selectExpr("cast(id as string) record_id").persist()).rdd.getNumPartitions() == least
     monkeypatch.setattr(periodogram, "SPREAD_BYTES", 1 << 14)
     assert periodogram.spread(rows).rdd.getNumPartitions() > 2 * least
     one = spark.range(64).selectExpr("'a' record_id", "cast(id as int) first")
