@@ -6,9 +6,9 @@ peaks of one array are.
 
     OUTPUT/cohort=C    d, h, places, n_arrays, rate, and of peaks rank and score2_norm
 
-The row of distance 0 holds the cohort's arrays and k-mers. Histograms are summed by cohort and distance while still in
-the task that makes them, so what is shuffled depends on cohorts and distances and not on rows: a cohort that holds
-most of the table is no hot key. Places come from counts of lengths by running sums that spread over ranges. The table
+The row of distance 0 holds the cohort's arrays and k-mers. Histograms and counts of lengths come from one reading of the table and
+are summed by cohort while still in the task that makes them, first in its kernel, so what is shuffled depends on cohorts and
+distances and not on rows: a cohort that holds most of the table is no hot key. Places come from counts of lengths by running sums that spread over ranges. The table
 is written with dynamic overwrite: a run replaces the cohorts that it works out, each of which has a row at least, and
 leaves others. The same run again gives the same rows, as everything that is summed is a whole or decimal number.
 
@@ -63,10 +63,10 @@ def places(distances: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
 
 def spectrum(recs: DataFrame, k: int) -> DataFrame:
     """cohort, d, h, n_arrays, places and rate of arrays (cohort, seq)."""
-    pooled = periodogram.distance_histogram(recs.select(F.col("cohort").alias("record_id"), "seq"), k)
-    lengths = recs.groupBy("cohort", F.length("seq").alias("length_bp")).agg(F.count("*").alias("n"))
+    counts = checkpointed(periodogram.pooled_counts(recs, k).groupBy("cohort", "of", "at").agg(F.sum("n").alias("n")))
+    lengths = counts.filter("of = 'length'").select("cohort", F.col("at").alias("length_bp"), "n")
     none = lengths.select("cohort", F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("h")).distinct()
-    found = pooled.groupBy(F.col("record_id").alias("cohort"), "d").agg(F.sum("h").alias("h")).unionByName(none)
+    found = counts.filter("of = 'd'").select("cohort", F.col("at").alias("d"), F.col("n").alias("h")).unionByName(none)
     return places(found, lengths, k).withColumn("rate", F.col("h") / F.greatest("places", F.lit(1)))
 
 

@@ -51,3 +51,13 @@ def test_runs_of_motifs_are_those_of_a_pattern():
         assert motifs._runs(symbols.codes(text, "dna"), length, repeats) == want
         n += len(want)
     assert n > 1000
+
+
+def test_counts_of_a_cohort_leave_python_summed(spark):
+    recs = arrays(spark).coalesce(1).selectExpr("CASE WHEN record_id LIKE 'n%' THEN record_id < 'n4' END AS cohort", "seq")
+    found = periodogram.pooled_counts(recs).collect()
+    assert len({(r.cohort, r.of, r.at) for r in found}) == len(found)  # a slice has each distance of a cohort once
+    single = periodogram.distance_histogram(recs.selectExpr("string(cohort) AS record_id", "seq")).groupBy("record_id", "d").sum("h").collect()
+    assert sorted((str(r.cohort).lower(), r.at, r.n) for r in found if r.of == "d") == sorted((str(r[0]).lower(), r[1], r[2]) for r in single)
+    lengths = recs.selectExpr("cohort", "coalesce(length(seq), 0) AS at").groupBy("cohort", "at").count().collect()
+    assert {(r.cohort, r.at, r.n) for r in found if r.of == "length"} == {tuple(r) for r in lengths}
