@@ -46,24 +46,31 @@ class Config:
 
 
 def arriving(spark: SparkSession, source: str, cfg: Config) -> DataFrame:
-    """record_id and seq of files that arrive at source."""
+    """Rows of files that arrive at source: record_id and seq of FASTA, key and text of Parquet."""
     if cfg.format == "fasta":
         return read_fasta_stream(spark, source, max_files=cfg.max_files)
     if cfg.format != "parquet":
         raise ValueError(f"format is fasta or parquet, not {cfg.format}")
     # a stream has its columns from the files that are there when it starts
     schema = spark.read.parquet(source).select(cfg.key, cfg.text).schema
-    return arrays(spark.readStream.schema(schema).option("maxFilesPerTrigger", cfg.max_files).parquet(source), cfg.key, cfg.text, cfg.alphabet)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", cfg.max_files).parquet(source)
+
+
+def dealt_out(rows: DataFrame, cfg: Config) -> DataFrame:
+    """record_id and seq of rows. Texts are dealt out before they become symbols, which costs as much as the kernel."""
+    if cfg.format == "fasta":
+        return periodogram.spread(rows)
+    return arrays(periodogram.spread(rows, (cfg.key,)), cfg.key, cfg.text, cfg.alphabet)
 
 
 def screen(rows: DataFrame, number: int, output: str, cfg: Config) -> None:
     """The three tables of one micro-batch."""
     spark, at = rows.sparkSession, {t: f"{output}/{t}/batch={number}" for t in TABLES}
-    recs = sequences.records(rows, min_length=cfg.min_length, max_unknown=cfg.max_unknown, fold=cfg.format == "fasta")
+    recs = sequences.records(dealt_out(rows, cfg), min_length=cfg.min_length, max_unknown=cfg.max_unknown, fold=cfg.format == "fasta")
     # arrays without a verdict have no peaks to look for: their sequence needn't go through the kernel
     ok = F.col("status") == sequences.OK
     examined = recs.withColumn("seq", F.when(ok, F.col("seq")).otherwise("")).withColumnRenamed("length_bp", "own_bp")
-    found = periodogram.periodograms(examined, PeriodogramConfig(replicates=cfg.replicates), keep=("own_bp", "n_count", "status"))
+    found = periodogram.periodograms(examined, PeriodogramConfig(replicates=cfg.replicates), keep=("own_bp", "n_count", "status"), dealt=True)
     found.select("record_id", F.col("own_bp").alias("length_bp"), "n_count", "status", "peaks").write.mode("overwrite").parquet(at["arrays"])
 
     kept = spark.read.parquet(at["arrays"]).filter(ok)

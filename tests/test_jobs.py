@@ -72,6 +72,21 @@ def test_screen_takes_only_what_is_new(spark, docs, tmp_path, caplog):
     assert plain(both["periods"].select(periods.columns).collect()) == plain(periods.collect())
 
 
+def test_texts_are_dealt_out_once_and_before_they_become_symbols(docs):
+    recs = screen_arrays.dealt_out(docs, configured(screen_arrays.Config, screen_arrays.CONFIG))
+    plan = periodogram.periodograms(recs, PeriodogramConfig(replicates=0), dealt=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("translate(") < plan.index("RepartitionByExpression")
+
+
+def test_symbols_and_unknown_ones_of_a_text(spark):
+    text = "Aé b\n\nNZ 中9 K̂İ"
+    for unknown in (False, True):
+        low = [c if "a" <= c <= "z" else "N" * unknown for c in spark.sql("SELECT lower(?) AS s", args=[text]).first().s]
+        seq = "".join(("ACGT" * 7)[ord(c) - 97] if c.islower() else c for c in low)
+        got = sequences.records(sequences.from_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", unknown=unknown), fold=False).first()
+        assert (got.seq, got.n_count) == (seq, seq.count("N"))
+
+
 def test_screen_after_a_failure(spark, docs, tmp_path, monkeypatch):
     """A micro-batch that fails halfway runs again into the same folders."""
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
