@@ -35,6 +35,14 @@ LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 BLOCK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (big-endian, 64 bits) have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes())
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned 64-bit fingerprint of a text."""
     from xxhash import xxh64_intdigest
@@ -44,11 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         return 0
     n = max(1, len(words) - shingle + 1)
     grams = map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(g, seed) for g in grams), ">u8", n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes())
+    return majority(np.fromiter((xxh64_intdigest(g, seed) for g in grams), ">u8", n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, tie: Column | None = None) -> DataFrame:
