@@ -163,3 +163,23 @@ def test_alias_rounds_keep_no_more_than_the_rows(spark):
     kept = size() - before - once
     assert sorted(r.period for r in left.filter("k = 'chain'").collect()) == [1, 3, 5, 7, 9, 11] and left.count() == 4006
     assert kept < 3 * once
+
+
+def test_irregularities_drop_no_words_and_no_bins(spark, tmp_path):
+    """Words of filler are the hundred most frequent ones, and an array may have more than 50,000 bins."""
+    from repetend.kernels import register
+
+    rnd = random.Random(31)
+    unit, filler = "".join(rnd.choice("ACGT") for _ in range(60)), "".join(rnd.choice("ACGT") for _ in range(211))
+    text = unit * 30 + filler * 40
+    assert register.analyze(text, 60.0).flag == "no_register_lock"
+    assert register.analyze(text, 60.0, register.RegisterConfig(top_words=None)).flag == "ok"
+    long = register.analyze("ACGTT" * 50_200, 5.0, register.RegisterConfig(k=2, min_groups=1))
+    assert (long.flag, long.events) == ("ok", 0)
+    # the query takes all words
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["irregularities"](spark, str(tmp_path)).collect()[0]
+    seq = plans._controls(spark, str(tmp_path)).collect()[0].seq
+    want = register.analyze(seq, got.period_p, register.RegisterConfig(top_words=None))
+    assert (got.flag, got.n_pairs_total, got.dropout_event_count) == (want.flag, want.n_pairs, want.dropouts)
+    assert want.n_pairs > register.analyze(seq, got.period_p).n_pairs
