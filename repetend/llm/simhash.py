@@ -91,7 +91,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     table = _keyed(distinct, ball=False).withColumnRenamed("fp", "b")
     probes = _keyed(distinct, ball=True).withColumnRenamed("fp", "a")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    found = probes.join(table, (probes["key"] == table["key"]) & (F.col("a") < F.col("b")) & near)
+    # 66 probes for each fingerprint, which Spark doesn't see: by its sizes it would broadcast them
+    found = probes.join(table.hint("merge"), (probes["key"] == table["key"]) & (F.col("a") < F.col("b")) & near)
     return found.select("a", "b").distinct()
 
 

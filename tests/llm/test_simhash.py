@@ -92,3 +92,13 @@ def test_columns_of_clashing_names_stay(corpus):
         docs = docs.withColumn(name, simhash.F.lit("keepme"))
     rows = simhash.keep_one(docs).collect()
     assert {r.doc_id for r in rows} == {1, 3} and all(r.kept_tie_ == r.own_tie == r.kept_id == r.kept_tie == "keepme" for r in rows)
+
+
+def test_probes_are_never_broadcast(spark):
+    """Spark takes the size of 66 probes for that of one fingerprint, which would bring all of them to the driver."""
+    distinct = spark.range(3000).selectExpr("xxhash64(id) fp").distinct()
+    found = simhash.links(distinct)
+    assert found.count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "BroadcastHashJoin" not in plan and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
