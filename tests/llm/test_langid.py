@@ -136,3 +136,26 @@ def test_unlearnt_languages_and_noise_go_and_short_texts_stay(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {i for i in ids if i >= 10**9} == {10**9 + len(noise) + i for i in range(len(short))}
     assert ids >= {r.doc_id for r in docs.select("doc_id", "text").collect() if len(langid.trigrams(r.text or ""))}
+
+
+def test_letters_of_one_class_have_gains_of_their_own(spark):
+    far = "".join(chr(ord(c) + 37 * 4) for c in "αβγδεζηθικλμ")
+    text = "αβγ δεζ ηθι κλμ"
+    other = " ".join(far[k : k + 3] for k in (0, 3, 6, 9))
+    rows = [(i, text, "el") for i in range(40)] + [(100, other, None), (101, text + " " + text, None)]
+    assert np.array_equal(langid.trigrams(text), langid.trigrams(other))
+    kept = langid.reject(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == {*range(40), 101}
+
+
+def test_trigrams_beyond_the_table_are_looked_up(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**9, None, None), (10**9 + 1, "", "en"), (10**9 + 2, "Ωμέγα 中文", None), (None, "Avec.", None), (None, "Avec.", None)]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    rare = [(2 * 10**9 + i, " ".join(WORDS["de"][i % 5 :])[: 12 + i], None) for i in range(40)]
+    docs = docs.union(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    want = Counter(langid.reject(docs).collect())
+    for most in (0, 40, 400):
+        monkeypatch.setattr(langid, "TABLE_GRAMS", most)
+        assert Counter(langid.reject(docs).collect()) == want
+    assert 1000 <= sum(want.values()) < docs.count()
