@@ -371,3 +371,24 @@ def test_monomers_of_long_periods_take_little_room(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_widths_of_an_array_share_its_words_and_shifts_go_together(monkeypatch):
+    """k-mers are worked out once an array, and all shifts of all rows together, in blocks, against loops."""
+    from repetend.kernels import symbols
+
+    calls, words = [], symbols.words
+    monkeypatch.setattr(symbols, "words", lambda code, k: calls.append(k) or words(code, k))
+    rnd = random.Random(41)
+    unit = dna(rnd, 60)
+    found = detector.detect(symbols.codes(unit * 40 + dna(rnd, 300)), [(60, 0.9), (120, 0.5)])
+    assert len(calls) == 1 and len(found.features) > 5
+    rng = np.random.default_rng(41)
+    for n, w, reach, block in ((9, 14, 5, 1 << 16), (30, 3, 5, 1 << 16), (30, 20, 5, 45), (2, 1, 2, 1)):
+        monkeypatch.setattr(width, "SHIFT_BLOCK", block)
+        rows = rng.integers(0, 5, (n, w)).astype(np.uint8)
+        got = width._shares(rows, reach)
+        for s in range(-reach, reach + 1):
+            for r in range(n - 1):
+                hits = [rows[r, i] == rows[r + 1, i + s] for i in range(w) if 0 <= i + s < w]
+                assert got[s + reach, r] == (sum(hits) / len(hits) if hits else 0)
